@@ -30,11 +30,18 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (runs without ASCII white space, A-Z lower-cased), and each text's first position (one more at the end)."""
+#: Lower-cases A-Z and makes ASCII punctuation a space.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
+
+
+def word_hashes(texts: list[bytes], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (runs without ASCII white space, A-Z lower-cased), and each text's first position (one more at the end).
+
+    plain: ASCII punctuation parts words too.
+    """
     from xxhash import xxh3_64_intdigest
 
-    parts = [t.lower().split() for t in texts]
+    parts = [(t.translate(PLAIN) if plain else t.lower()).split() for t in texts]
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=at[1:])
     return np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(parts)), np.uint64, at[-1]), at

@@ -13,7 +13,8 @@ The steps:
    share one of its few smallest shingle hashes: the most central one and the next in size. Links that hold join nodes
    into components.
 4. The prefix join makes candidates only of nodes that still are in different components, with the length and position
-   bounds of each pair. With the links of step 3 this finds all components, whatever step 3 missed.
+   bounds of each pair: they meet at an entry of their shortest prefixes and must share l entries of the lengthened ones.
+   With the links of step 3 this finds all components, whatever step 3 missed.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ VERIFY_COST = 0.25
 
 _SIG = "doc_id {id}, k long, th long, n int, ell int, central int, hubs array<long>, prefix binary"
 _SET = "th long, items binary"
-_POST = "token long, k long, lab long, pos int, n int, ell int"
+_POST = "token long, k long, lab long, pos int, n int"
 
 
 def _sorted_set(s: np.ndarray) -> np.ndarray:
@@ -175,17 +176,22 @@ def _hub_pairs(sig: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(den * lo >= num * hi).select(a.alias("a"), b.alias("b")).groupBy(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).agg(F.min("a.th").alias("ta"), F.min("b.th").alias("tb"))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix entry of each node: (k, lab, n, ell, prefix) to _POST."""
-    for batch in batches:
-        k, lab, n, ell = (batch.column(i).to_numpy() for i in range(4))
-        raw = batch.column(4).to_pylist()
-        for i in range(0, len(raw), 256):
-            part = [np.frombuffer(x, np.int64) for x in raw[i : i + 256]]
-            sizes = [len(x) for x in part]
-            pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-            rep = [pa.array(np.repeat(x[i : i + 256], sizes)) for x in (k, lab, n, ell)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), rep[0], rep[1], pa.array(pos), rep[2], rep[3]], names=["token", "k", "lab", "pos", "n", "ell"])
+def _postings(num: int, den: int):
+    """Function over rows (k, lab, n, prefix) that yields _POST: the entries of each node's shortest prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, lab, n = (batch.column(i).to_numpy() for i in range(3))
+            short = n + (-num * n.astype(np.int64) // den) + 1
+            raw = batch.column(3).to_pylist()
+            for i in range(0, len(raw), 256):
+                part = [np.frombuffer(x, np.int64)[:m] for x, m in zip(raw[i : i + 256], short[i : i + 256].tolist(), strict=True)]
+                sizes = [len(x) for x in part]
+                pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+                rep = [pa.array(np.repeat(x[i : i + 256], sizes)) for x in (k, lab, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), rep[0], rep[1], pa.array(pos), rep[2]], names=["token", "k", "lab", "pos", "n"])
+
+    return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,27 +210,49 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from t.take(pa.array(np.sort(by[keep]))).combine_chunks().to_batches()
 
 
+def _matched(num: int, den: int):
+    """Function over pairs (ka, ta, na, ell, prefix a, kb, tb, nb, prefix b) that keeps those whose lengthened prefixes share l entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, ell, nb = (batch.column(i).to_pylist() for i in (2, 3, 7))
+            keep = []
+            for n, most, x, m, y in zip(na, ell, batch.column(4).to_pylist(), nb, batch.column(8).to_pylist(), strict=True):
+                t = _least_overlap(n, m, num, den)
+                level = min(most, t)
+                both = np.sort(np.concatenate((np.frombuffer(x, np.uint64)[: n - t + level], np.frombuffer(y, np.uint64)[: m - t + level])), kind="stable")
+                keep.append(int(np.count_nonzero(both[1:] == both[:-1])) >= level)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1, 5, 6)], names=["ka", "ta", "kb", "tb"])
+
+    return run
+
+
 def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates of the prefix join among nodes of different components: ka, ta, kb, tb."""
+    """Candidates of the prefix join among nodes of different components: ka, ta, kb, tb.
+
+    A pair meets at an entry of both shortest prefixes (l = 1), within the bounds of its own sizes; it stays if the
+    prefixes lengthened to the larger set's l share l entries.
+    """
     nodes = sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "ell", "prefix")))
-    nodes = nodes.join(lab.toDF("k", "lab"), "k", "left").withColumn("lab", F.coalesce("lab", "k"))
-    posts = nodes.select("k", "lab", "n", "ell", "prefix").mapInArrow(_postings, _POST).repartition("token").mapInArrow(_across, _POST)
-    posts = stored(posts)
+    own = nodes.join(lab.toDF("k", "lab"), "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+    posts = stored(own.select("k", "lab", "n", "prefix").mapInArrow(_postings(num, den), _POST).repartition("token").mapInArrow(_across, _POST))
     r, s = posts.alias("r"), posts.alias("s")
     rn, sn = F.col("r.n").cast("long"), F.col("s.n").cast("long")
     t = F.floor((num * (rn + sn) + num + den - 1) / (num + den))
-    ell = F.least("r.ell", t)
     rule = (
         (F.col("r.token") == F.col("s.token"))
         & (F.col("r.lab") != F.col("s.lab"))
         & ((rn > sn) | ((rn == sn) & (F.col("r.k") > F.col("s.k"))))
         & (den * sn >= num * rn)
-        & (F.col("r.pos") < rn - t + ell)
-        & (F.col("s.pos") < sn - t + ell)
+        & (F.col("r.pos") <= rn - t)
+        & (F.col("s.pos") <= sn - t)
     )
-    met = r.join(s, rule).groupBy(F.col("r.k").alias("ka"), F.col("s.k").alias("kb")).agg(F.count("*").alias("shared"), F.min(ell).alias("ell")).where("shared >= ell")
-    th = nodes.select("k", "th")
-    return met.join(th.toDF("ka", "ta"), "ka").join(th.toDF("kb", "tb"), "kb").select("ka", "ta", "kb", "tb")
+    met = stored(r.join(s, rule).select(F.col("r.k").alias("ka"), F.col("s.k").alias("kb")).distinct())
+    dropped(posts)
+    a = nodes.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("n").alias("na"), "ell", F.col("prefix").alias("pa"))
+    b = nodes.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    both = met.join(a, "ka").join(b, "kb").select("ka", "ta", "na", "ell", "pa", "kb", "tb", "nb", "pb")
+    return both.mapInArrow(_matched(num, den), "ka long, ta long, kb long, tb long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -49,12 +49,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tool_calls import CHAT_SCHEMAS, as_tool_chat, linked
+
+    return linked(as_tool_chat(_table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
+
+
+def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_source_mixing": op5_source_mixing,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op7_tool_calls": op7_tool_calls,
+    "op8_jump_sharding": op8_jump_sharding,
 }
 
 ORACLE: dict[str, str] = {}

@@ -61,6 +61,24 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(_table(spark, sf_dir, "documents"))
 
 
+def op1_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import audio, digests
+
+    return digests(audio(_table(spark, sf_dir, "documents")))
+
+
+def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .inner_products import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
@@ -69,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op7_tool_calls": op7_tool_calls,
     "op8_jump_sharding": op8_jump_sharding,
+    "op1_line_block_text": op1_line_block_text,
+    "op4_audio_features": op4_audio_features,
+    "op6_top_inner_products": op6_top_inner_products,
 }
 
 ORACLE: dict[str, str] = {}

@@ -16,6 +16,8 @@ from colmeta.functions.predicates import without_na
 
 #: Delimiters that are tried.
 DELIMITERS = (",", ";", "\t", "|")
+#: Spark reads Latin-1; where the two differ, Windows-1252 has these characters (or the replacement character).
+_CONTROL, _WINDOWS = bytes(range(128, 160)).decode("latin-1"), bytes(range(128, 160)).decode("cp1252", "replace")
 #: Lines of a file that the delimiter is told from, rows of a sheet that may be the header.
 SNIFFED, HEADER_ROWS = 50, 10
 
@@ -64,9 +66,13 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     if delimiter is None:
         numbered = spark.read.text(path).limit(SNIFFED).select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
         delimiter = sniffed(numbered).first()["delimiter"]
-    read = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
+    windows = encoding == "windows-1252"
+    read = spark.read.option("sep", delimiter).option("encoding", "ISO-8859-1" if windows else encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
     names = read.option("header", False).csv(path).limit(1).first()
     rows = read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(path)
+    if windows:
+        rows = rows.select(*(F.translate(c, _CONTROL, _WINDOWS).alias(c) for c in rows.columns))
+        names = [x and x.translate(str.maketrans(_CONTROL, _WINDOWS)) for x in names]
     return rows.select(*(without_na(F.col(f"c{i}")).alias(n) for i, n in enumerate(unique_names([x or f"Unnamed: {i}" for i, x in enumerate(names)]))))
 
 

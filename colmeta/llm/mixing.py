@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 LEVELS = ("domain", "lang", "source")
+#: Prefix of the columns that stand beside those of documents for a while.
+OWN = "__mixing_"
 #: Bits of a document's place in an epoch, and of the bucket that the place begins with.
 PLACE_BITS, BUCKET_BITS = 60, 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,9 +32,9 @@ def node_weights() -> dict[str, Column]:
 
 
 def _leafed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with the leaf's columns _domain, _lang, _source (null: empty)."""
+    """docs with the leaf's columns, under OWN names (null: empty)."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": source})
+    return docs.withColumns({OWN + "domain": domain_of(source), OWN + "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), OWN + "source": source})
 
 
 def _place(key: Column, seed: int, epoch: Column) -> Column:
@@ -89,7 +91,7 @@ def mixing_plan(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, seed:
     take the whole leaf, rest (tokens of the next epoch), and the place up to which that epoch goes: cut_bucket,
     cut_before (its tokens before that bucket), cut_place (the last document's place).
     """
-    base = _leafed(docs, key, text).select(F.col(key).alias("doc_id"), *(F.col(f"_{c}").alias(c) for c in LEVELS), F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
+    base = _leafed(docs, key, text).select(F.col(key).alias("doc_id"), *(F.col(OWN + c).alias(c) for c in LEVELS), F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
     base = stored(base)
     plan = leaf_budgets(base, share, max_epochs, weights or node_weights())
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int"))
@@ -130,6 +132,7 @@ def mixed_documents(docs: DataFrame, share: float, seed: int = 17, weights: dict
     """The rows of docs that one epoch of the mixture takes, whole, all columns as they are: a filter by the leaf's plan."""
     _, plan = mixing_plan(docs, share, 1, seed, weights, key, text)
     names = docs.columns
-    own = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("epochs").alias("_epochs"), F.col("cut_place").alias("_cut"))
-    took = _leafed(docs, key, text).join(own, [f"_{c}" for c in LEVELS])
-    return took.where((F.col("_epochs") >= 1) | (_place(F.col(key), seed, F.col("_epochs") + 1) <= F.col("_cut"))).select(*names)
+    own = plan.select(*(F.col(c).alias(OWN + c) for c in (*LEVELS, "epochs", "cut_place")))
+    took = _leafed(docs, key, text).join(own, [OWN + c for c in LEVELS])
+    epochs = F.col(OWN + "epochs")
+    return took.where((epochs >= 1) | (_place(F.col(key), seed, epochs + 1) <= F.col(OWN + "cut_place"))).select(*names)

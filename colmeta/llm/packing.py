@@ -178,7 +178,8 @@ def _packed(path: str, names: list[str]):
                 own[:] = sorted((length, number[d], start) for length, d, start in own)
             docs, held = rest, 0
             kinds = [key_type, *[pa.int64()] * 6, pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
         key_type = pa.int64()
         for b in batches:

@@ -68,7 +68,7 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """A row for each plain message, call and unclaimed result: conv_id, turn, kind, call_id, level, name, fault, status, json.
 
     Calls and results meet in a hash join on conversation and identifier. Of calls (or results) that share an identifier
-    in a conversation the first by turn counts. status: answered, unanswered, cycle for calls; orphan for results
+    in a conversation the first by turn counts; a call without one is named #<turn>.<position>. A null conv_id joins nothing. status: answered, unanswered, cycle for calls; orphan for results
     without a call; null for messages. level orders calls topologically: level, then turn. json has sorted keys and no
     spaces; arguments are canonical too, and stay text where they can't be parsed. A text that is no such JSON object is
     a plain message; null texts are messages with a null content. No rows give none; other columns are not read.
@@ -79,7 +79,8 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
         "result": F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", _RESULT)),
     })
     plain = m.where("calls is null and (result is null or result.tool_call_id is null)")
-    calls = m.where("calls is not null").select("conv_id", "turn", F.inline("calls")).where("id is not null")
+    calls = m.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("at", "c")).select("conv_id", "turn", "at", "c.*")
+    calls = calls.withColumn("id", F.coalesce("id", F.concat(F.lit("#"), F.col("turn").cast("string"), F.lit("."), F.col("at").cast("string")))).drop("at")
     calls = calls.groupBy("conv_id", "id").agg(F.min_by(F.struct("turn", "name", "arguments", "after"), F.struct("turn", "name", "arguments")).alias("c")).select("conv_id", "id", "c.*")
     calls = stored(calls)
     results = m.where("calls is null and result.tool_call_id is not null").select("conv_id", "turn", F.col("result.tool_call_id").alias("id"), F.col("result.content").alias("content"))

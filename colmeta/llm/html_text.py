@@ -27,7 +27,8 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "button", "select", "fieldset", "label", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are closed by their own end tag only, or by that of an element around them.
-NESTED = {"article", "aside", "blockquote", "button", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hgroup", "label", "main", "menu", "nav", "ol", "search", "section", "select", "table", "ul"}
+NESTED = {"article", "aside", "blockquote", "button", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hgroup", "label", "li", "main", "menu", "nav", "ol", "search", "section", "select", "table", "ul"}
+LISTS = {"ul", "ol", "menu"}
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bar|sidebars?|rail|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|commentlist|comment\w*|replies|reply|respond|disqus\w*|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|sign-?in|login|register|search\w*|toolbar|footer|foot|masthead|site-?header|page-?header|topbar|header|copyright|legal|skip\w*)(?=$|[\s_-])",
     re.I,
@@ -65,13 +66,14 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
     """Lines of a page: text, whether it is aside, the kind of main element around it, and how much of it is in links."""
     stack: list[tuple[str, str]] = []
     aside = link = linked = 0
+    leaf = False  # the block without an end tag of its own that is open is aside
     mains = {"main": 0, "content": 0}
     text: list[str] = []
     pos, n = 0, len(page)
 
     def line() -> tuple[str, bool, str, int]:
         nonlocal linked
-        out = (" ".join(html.unescape("".join(text)).split()), aside > 0, "main" if mains["main"] else "content" if mains["content"] else "", linked)
+        out = (" ".join(html.unescape("".join(text)).split()), aside > 0 or leaf, "main" if mains["main"] else "content" if mains["content"] else "", linked)
         text.clear()
         linked = 0
         return out
@@ -110,9 +112,16 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
             text.append(" ")
         if tag in BLOCKS or tag in ASIDE:
             yield line()
+            leaf = False
         if tag not in NESTED:
+            if tag in BLOCKS:
+                leaf = not closing and bool(attributes) and _kind(tag, attributes, True) == "aside"
             continue
         link = False
+        if tag == "li" and not closing:  # a new item ends the one before
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in LISTS or stack[i][0] == "li"), -1)
+            while at >= 0 and stack[at][0] == "li" and len(stack) > at:
+                pop()
         if not closing:
             kind = _kind(tag, attributes or "", mains["main"] > 0)
             stack.append((tag, kind))

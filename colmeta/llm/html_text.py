@@ -120,8 +120,9 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
         link = False
         if tag == "li" and not closing:  # a new item ends the one before
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in LISTS or stack[i][0] == "li"), -1)
-            while at >= 0 and stack[at][0] == "li" and len(stack) > at:
-                pop()
+            if at >= 0 and stack[at][0] == "li":
+                while len(stack) > at:
+                    pop()
         if not closing:
             kind = _kind(tag, attributes or "", mains["main"] > 0)
             stack.append((tag, kind))

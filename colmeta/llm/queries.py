@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,5 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_audio_features": op4_audio_features,
     "op6_top_inner_products": op6_top_inner_products,
 }
-
-ORACLE: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the distinct slots (32-bit hashes) of its words, its pairs of neighbours and its pairs around
-one word. FTRL keeps a learning rate for each slot, and its L1 term leaves most slots at exactly zero: the model is a
+A document's features are the distinct slots (32-bit hashes) of its words, of their stems (first bytes, which
+inflected forms share), of its pairs of neighbours and its pairs around one word. FTRL keeps a learning rate for each slot, and its L1 term leaves most slots at exactly zero: the model is a
 short list of slots and weights, whatever the number of slots.
 """
 
@@ -13,25 +13,39 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .fitting import fitted, kept_where, scored
-from .words import grams, mixed, word_hashes
+from .words import PLAIN, grams, mixed
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Bytes of the stems.
+STEMS = (4, 5)
 #: FTRL: rate, its smoothing, L1, L2, passes over the sample; slots of fewer documents are left out.
 ALPHA, BETA, L1, L2, PASSES, LEAST_DOCS = 2.0, 1.0, 6.0, 0.0, 6, 8
 
 
 def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slot and text number of every feature of texts, with repeats."""
-    words, at = word_hashes(texts, plain=True)
-    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    from xxhash import xxh3_64_intdigest
+
+    parts = [t.translate(PLAIN).split() for t in texts]
+    flat = [w for p in parts for w in p]
+    words = np.fromiter(map(xxh3_64_intdigest, flat), np.uint64, len(flat))
+    doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     shift = np.uint64(32)
-    one = mixed(words) >> shift
-    two = grams(words, 2) >> shift
-    skip = grams(np.stack((words[:-2], words[2:]), axis=1).ravel(), 2)[::2] * np.uint64(3) >> shift if len(words) > 2 else words[:0]
-    in2, in3 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-    return np.concatenate((one, two[in2], skip[in3])), np.concatenate((doc, doc[1:][in2], doc[2:][in3]))
+    slots, docs = [mixed(words) >> shift], [doc]
+    for n in STEMS:
+        slots.append(mixed(np.fromiter((xxh3_64_intdigest(w[:n]) for w in flat), np.uint64, len(flat)) ^ np.uint64(n)) >> shift)
+        docs.append(doc)
+    near = doc[1:] == doc[:-1]
+    slots.append((grams(words, 2) >> shift)[near])
+    docs.append(doc[1:][near])
+    if len(words) > 2:
+        around = doc[2:] == doc[:-2]
+        skip = grams(np.stack((words[:-2], words[2:]), axis=1).ravel(), 2)[::2] * np.uint64(3) >> shift
+        slots.append(skip[around])
+        docs.append(doc[2:][around])
+    return np.concatenate(slots), np.concatenate(docs)
 
 
 def _features(texts: list[bytes]) -> list[bytes]:

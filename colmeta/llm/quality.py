@@ -38,7 +38,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each passage of texts, and the first passage of each text (one more at the end). A text without words is one passage of zeros."""
+    """Features of each passage of texts, and the first passage of each text (one more at the end). A text without words is one passage without any."""
     words, at = word_hashes(texts)
     n_words = np.diff(at)
     n_pass = np.maximum((n_words + WORDS - 1) // WORDS, 1)
@@ -53,16 +53,14 @@ def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     start = ~space & np.r_[True, space[:-1]]
     number = np.cumsum(start) - 1
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    if len(words):
-        number = np.maximum(number, 0)
-        of_byte = of_word[number]
-        lead = number < np.repeat(at[:-1], np.diff(np.r_[0, ends]))  # white space before a text's first word
-        of_byte[lead] = np.repeat(first[:-1], np.diff(np.r_[0, ends]))[lead]
-        hist = np.bincount(of_byte * N_CLASSES + CLASSES[raw], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
-        size = np.maximum(hist.sum(axis=1, keepdims=True), 1)
-        x[:, :N_CLASSES] = np.sqrt(hist / size)
-        x[:, N_CLASSES] = np.log1p(size[:, 0] / count) / 3
+    sizes = np.array([len(t) + 1 for t in texts])
+    lead = number < np.repeat(at[:-1], sizes)  # before a text's first word
+    of_byte = np.repeat(first[:-1], sizes)
+    of_byte[~lead] = of_word[number[~lead]]
+    hist = np.bincount(of_byte * N_CLASSES + CLASSES[raw], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
+    size = np.maximum(hist.sum(axis=1, keepdims=True), 1)
+    x[:, :N_CLASSES] = np.sqrt(hist / size)
+    x[:, N_CLASSES] = np.log1p(size[:, 0] / count) / 3
     x[:, N_CLASSES + 1] = np.minimum(count, WORDS) / WORDS
     for k, lag in enumerate(LAGS):
         same = (words[lag:] == words[:-lag]) & (doc[lag:] == doc[:-lag])
@@ -149,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, key: str = "doc_
 def quality(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
-    Every passage of a whole text counts; a null, empty or wordless text is one passage of zeros. Equal texts get equal
+    Every passage of a whole text counts; a null or empty text is one passage without words. Equal texts get equal
     scores, repeated rows are repeated, a null key is not held out, other columns are not read, no rows give none.
     """
     return scored(docs, _scorer(model), FOLDS, HELD, THRESHOLD, key, text)

@@ -56,6 +56,12 @@ def test_the_model_sees_only_its_folds(labelled):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_scores_do_not_depend_on_neighbours():
+    texts = [b"", b" \n", b"one two", b"", b"  lead and trail  ", b"x " * 500, b""]
+    for f in (quality._features, toxicity._features):
+        assert f(texts) == [f([t])[0] for t in texts]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {"W": rng.normal(0, 0.5, (quality.FEATURES, 4)), "b": rng.normal(0, 1, 4), "V": rng.normal(0, 1, (4, 3)), "U": rng.normal(0, 1, (4, 3)), "w": rng.normal(0, 1, 3), "c": rng.normal(0, 1, 4), "d": np.array(0.1)}

@@ -33,12 +33,16 @@ _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bar|sidebars?|rail|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|commentlist|comment\w*|replies|reply|respond|disqus\w*|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|sign-?in|login|register|search\w*|toolbar|footer|foot|masthead|site-?header|page-?header|topbar|header|copyright|legal|skip\w*)(?=$|[\s_-])",
     re.I,
 )
+#: Names of what stands on top: inside an article they hold its title.
+_TOP_NAME = re.compile(r"(?:^|[\s_-])(?:masthead|site-?header|page-?header|topbar|header)(?=$|[\s_-])", re.I)
+#: Names that say what else the page has.
+_HAS_NAME = re.compile(r"(?<![\w-])(?:has|with|no|without)[-_][\w-]+", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|content|contents|main|main-?content|post|post-?content|entry|entry-?content|story|story-?body|bodytext|body-?content)(?=$|[\s])", re.I)
 _ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> str:
-    """What an element is by its name and attributes: "aside", "main" or ""."""
+def _kind(tag: str, attributes: str, inside: bool, by_name: bool = True) -> str:
+    """What an element is by its name and attributes: "aside", "main", "content" or "". by_name: classes and ids count."""
     if tag in ASIDE or (tag == "header" and not inside):
         return "aside"
     named = "main" if tag in ("article", "main") else ""
@@ -53,8 +57,9 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
             return "aside"
         if (name == "role" and value in ("main", "article")) or (name == "itemprop" and value == "articlebody"):
             named = "main"
-        if name in ("class", "id"):
-            names.append(value)
+        if name in ("class", "id") and by_name:
+            value = _HAS_NAME.sub("", value)
+            names.append(_TOP_NAME.sub("", value) if inside else value)
     if tag not in ("body", "html", "main", "article") and any(_ASIDE_NAME.search(n) for n in names):
         return "aside"
     if tag in ("div", "section", "td") and any(_MAIN_NAME.search(n) for n in names):
@@ -62,7 +67,7 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
     return named
 
 
-def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
+def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, bool, str, int]]:
     """Lines of a page: text, whether it is aside, the kind of main element around it, and how much of it is in links."""
     stack: list[tuple[str, str]] = []
     aside = link = linked = 0
@@ -115,7 +120,7 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
             leaf = False
         if tag not in NESTED:
             if tag in BLOCKS:
-                leaf = not closing and bool(attributes) and _kind(tag, attributes, True) == "aside"
+                leaf = not closing and bool(attributes) and _kind(tag, attributes, True, by_name) == "aside"
             continue
         link = False
         if tag == "li" and not closing:  # a new item ends the one before
@@ -124,7 +129,7 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
                 while len(stack) > at:
                     pop()
         if not closing:
-            kind = _kind(tag, attributes or "", mains["main"] > 0)
+            kind = _kind(tag, attributes or "", mains["main"] + mains["content"] > 0, by_name)
             stack.append((tag, kind))
             aside += kind == "aside"
             if kind in mains:
@@ -137,8 +142,12 @@ def lines(page: str) -> Iterator[tuple[str, bool, str, int]]:
 
 
 def main_blocks(page: str) -> list[str]:
-    """Blocks of a page's main text, in page order."""
-    found = list(lines(page))
+    """Blocks of a page's main text, in page order. Where classes and ids leave nothing, they don't count."""
+    return _blocks(list(lines(page))) or _blocks(list(lines(page, by_name=False)))
+
+
+def _blocks(found: list[tuple[str, bool, str, int]]) -> list[str]:
+    """Texts of the lines between surges and dives."""
     kinds = {k for t, a, k, _ in found if t and not a}
     named = "main" if "main" in kinds else "content" if "content" in kinds else ""
     weights = []

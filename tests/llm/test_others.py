@@ -29,6 +29,8 @@ LONG = "A sentence that is long enough to be the text of an article, as articles
         ("<article><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table><pre>x\n  y</pre></article>", ["one", "two", "a b", "x y"]),
         ("<article><p>a<br>b<!-- <p>no</p> --></p><p title=\"x>y\">c</p><p hidden>d</p><p class='advert'>e <b>f</b> g</p><ul><li>h<li class='ad'>i<li>j</ul></article>", ["a b", "c", "h", "j"]),
         ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>t</p></article>", ["Title", "t"]),
+        (f"<div class='page with-sidebar'><div class='content'><div class='post-header'><h1>H</h1></div><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div></div>", ["H", LONG.strip()]),
+        (f"<div class='widget'><p>{LONG}</p></div><nav>n</nav>", [LONG.strip()]),
         ("<p>tiny</p>", []),
         ("", []),
     ],

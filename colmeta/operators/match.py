@@ -13,8 +13,11 @@ from colmeta.functions.vectors import distance
 
 #: Neighbours of a column; rows of a packed block of terms and of queries.
 NEAREST, TERMS, QUERIES = 4, 4096, 1024
-#: Parts that the terms are dealt to: each query meets each part once.
-STRIPES = 16
+
+
+def _stripes(df: DataFrame, stripes: int | None) -> int:
+    """Parts that the terms are dealt to, each met by each query: as many as a shuffle has partitions, if not given."""
+    return stripes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -22,13 +25,14 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_by_expression(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int = STRIPES) -> DataFrame:
+def nearest_by_expression(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None) -> DataFrame:
     """query, id, distance, rank of each query's k nearest terms, as Column expressions.
 
     queries: query, vector; terms: id, vector. A term whose id is the query's own is left out. Terms are dealt to
     stripes and queries sent to each of them, so the pairs are made by an equi-join; every pair is a row for a moment,
     which suits small vocabularies. Larger ones: nearest().
     """
+    stripes = _stripes(terms, stripes)
     t = terms.select("id", F.col("vector").alias("tv"), F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe"))
     q = queries.select("query", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
     pairs = q.join(t, "stripe").where(F.col("query") != F.col("id")).select("query", "id", distance(F.col("qv"), F.col("tv"), metric).alias("distance"))
@@ -69,12 +73,12 @@ def _products(k: int, metric: str):
     return run
 
 
-def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int = STRIPES) -> DataFrame:
+def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None) -> DataFrame:
     """As nearest_by_expression(), by products of packed blocks: each pair of blocks gives k rows a query, not all pairs.
 
     Blocks of terms are dealt to stripes and blocks of queries go to each, whatever the sizes of both.
     """
-    block = "ids binary, xs binary, dim int"
+    block, stripes = "ids binary, xs binary, dim int", _stripes(terms, stripes)
     t = terms.select(F.col("id").cast("long"), "vector").repartition(stripes, "id").mapInArrow(_packed(TERMS), block).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int"))
     q = queries.select(F.col("query").cast("long"), "vector").mapInArrow(_packed(QUERIES), block).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
     pairs = q.join(t, "stripe").select("q_ids", "q_xs", "dim", "ids", "xs").mapInArrow(_products(k, metric), "query long, id long, distance double")

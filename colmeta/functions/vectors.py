@@ -49,6 +49,11 @@ def blended(word: Column, definition: Column, alpha: float = 0.4, normalise: boo
     return normalised(out) if normalise else out
 
 
+def model_folder(name: str) -> str:
+    """A model's name as the name of a folder."""
+    return name.replace("/", "--")
+
+
 def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Element-wise mean of the vectors of each group, not normalised: the columns of `by` and `mean`."""
     parts = df.select(*by, F.posexplode(doubles(F.col(vector))).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmeta.functions.text import EXCERPT_CHARS, cache_key, parsed_answer, prompt
@@ -56,3 +56,27 @@ def described(answers: DataFrame) -> DataFrame:
     error = F.col("found").isNull()
     parts = got.select("table_id", error.alias("parse_error"), F.explode_outer("found").alias("name", "description"))
     return parts.select("table_id", "name", "description", "parse_error")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache at path, empty where there is none. Its versions are folders; the last complete one counts."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], CACHE)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = [f.getPath().getName() for f in found]
+    done = sorted(n for n in names if n.startswith("v") and _exists(spark, f"{path}/{n}/_SUCCESS"))
+    return spark.read.schema(CACHE).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], CACHE)
+
+
+def store_cache(cache: DataFrame, path: str) -> None:
+    """Write the cache as a new version beside the ones before; readers see it when it is complete."""
+    spark, n = cache.sparkSession, 0
+    while _exists(spark, f"{path}/v{n:08d}"):
+        n += 1
+    cache.write.parquet(f"{path}/v{n:08d}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colmeta.functions.vectors import blended, encoded, is_definition
 from colmeta.operators import answers, linking, match, merge, profile, select
+from colmeta.sources import export
 
 
 def table_metadata(df: DataFrame, table_id: str) -> DataFrame:
@@ -65,3 +66,11 @@ def chosen(metadata: DataFrame, hits: DataFrame) -> DataFrame:
     summed = select.summary(hits, by)
     headers = hits.groupBy(*by).agg(F.min("ordinal").alias("first_at"))
     return select.written_back(metadata, select.with_unmatched(summed, headers, by))
+
+
+def exported(metadata: DataFrame, form: str) -> DataFrame:
+    """Metadata as csv rows, or as a tableschema or csvw document for each table."""
+    forms = {"csv": export.to_csv_rows, "tableschema": export.to_table_schema, "csvw": export.to_csvw}
+    if form not in forms:
+        raise ValueError(f"form {form!r} is none of {sorted(forms)}")
+    return forms[form](profile.validated(metadata))

@@ -186,6 +186,17 @@ def test_described_asks_only_what_is_new(spark):
     assert _rows(cache, "version", "context_excerpt") == [(1, "text one")]
 
 
+def test_cache_versions(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert answers.read_cache(spark, path).count() == 0
+    row = ("k", "x", ["a"], "r", 1, None, "p")
+    answers.store_cache(spark.createDataFrame([row], answers.CACHE), path)
+    old = answers.read_cache(spark, path)
+    new = spark.createDataFrame([("k", "c" * 600, ["a"], "again", "p"), ("l", "d", ["a"], "r", "p")], "cache_key string, context string, variables array<string>, response string, provider string")
+    answers.store_cache(answers.upserted(old, new), path)
+    assert _rows(answers.read_cache(spark, path).withColumn("n", F.length("context_excerpt")), "cache_key", "version", "response", "n") == [("k", 2, "again", 500), ("l", 1, "r", 1)]
+
+
 def test_export_and_back(spark):
     rows = [("t", 0, "a", "numeric", "E", "m", "", "d", {"E": "http://e"}), ("t", 1, "b", "string", "", "", "", None, None), ("t", 2, "c", "", "F", "", "how", 'q "x"', {"F": "http://f"})]
     cur = spark.createDataFrame(rows, META)
@@ -195,6 +206,8 @@ def test_export_and_back(spark):
     want = [(r[2], r[3], r[4], r[5], r[6], r[7] or "", r[8]) for r in rows]
     for docs in (export.to_table_schema(cur), export.to_csvw(cur)):
         assert _rows(metadata.from_json(docs), "name", "datatype", "element", "unit", "method", "description", "element_uri") == sorted(want, key=str)
+    assert pipelines.exported(cur, "csvw").count() == 1
+    assert vectors.model_folder("a/b") == "a--b"
     odd = spark.createDataFrame([("t", '{"fields": [{"name": "a", "title": "E", "element_uri": "http://plain"}]}'), ("w", '{"tableSchema": {"columns": [{"name": "a", "titles": "one", "null": "under null"}]}}'), ("x", "{}")], "table_id string, json string")
     got = {r.table_id: r for r in metadata.from_json(odd).collect()}
     assert got["t"].element_uri == {"E": "http://plain"}

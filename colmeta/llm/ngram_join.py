@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = _verified(_hub_pairs(sig, num, den), texts, words, num, den)
     lab = components(first)
     more = _verified(_prefix_pairs(sig, lab, num, den), texts, words, num, den)
-    label = components(first.unionByName(more)).toDF("k", "lab")
+    label = components(lab.toDF("u", "v").unionByName(more)).toDF("k", "lab")
 
     least = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
     least = least.join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k"))

@@ -156,7 +156,7 @@ def audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             i = 0
             while i < len(raw):
                 j, size = i, 0
-                while j < len(raw) and size < CHUNK // 4:
+                while j < len(raw) and size < CHUNK // 2:
                     size += len(raw[j])
                     j += 1
                 media = [encode_wav(padded(x)) for x in raw[i:j]]

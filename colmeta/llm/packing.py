@@ -31,7 +31,7 @@ TIERS = (1024, 512, 256, 128)
 BUFFER = 1 << 21
 STEP_TOKENS = 16 * TIERS[0]
 #: Words that a task's tokenizer remembers at most.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 _ROW = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 

@@ -56,11 +56,17 @@ def _features(texts: list[bytes]) -> list[bytes]:
     return [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _known(xs: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """Slots from low to high that LEAST_DOCS documents or more have; xs are sorted."""
+    part = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in xs]
+    slots, docs = np.unique(np.concatenate([*part, np.zeros(0, np.uint32)]), return_counts=True)
+    return slots[docs >= LEAST_DOCS]
+
+
 def _train(rows: list[bytes], labels: np.ndarray) -> bytes:
     """FTRL-proximal over the sample; returns slots, weights and bias."""
     xs = [np.frombuffer(x, np.uint32) for x in rows]
-    every, docs = np.unique(np.concatenate([*xs, np.zeros(0, np.uint32)]), return_counts=True)
-    every = every[docs >= LEAST_DOCS]
+    every = np.concatenate([_known(xs, a << 28, (a + 1) << 28) for a in range(16)])
     own = []
     for x in xs:
         at = np.minimum(np.searchsorted(every, x), max(len(every) - 1, 0))

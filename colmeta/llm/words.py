@@ -10,7 +10,7 @@ import pyarrow as pa
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of text that are worked on at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -30,18 +29,12 @@ from .shared import text_of
 TIERS = (1024, 512, 256, 128)
 BUFFER = 1 << 21
 STEP_TOKENS = 16 * TIERS[0]
-#: Words that a task's tokenizer remembers at most.
-WORDS_KEPT = 200_000
 
 _ROW = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 
 def token_bytes(path: str) -> Callable[[str], bytes]:
-    """Function that gives a text's ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit numbers.
-
-    A text is parted where a single space stands between two other characters: no token of the file's pattern spans such
-    a place from the left. Each part is encoded once and remembered.
-    """
+    """Function that gives a text's ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit numbers."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -54,26 +47,10 @@ def token_bytes(path: str) -> Callable[[str], bytes]:
     to_byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printed)}
     ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in specials}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    wide = re.compile(r"\s | \s")
-
-    class Known(dict):
-        def __missing__(self, part: str) -> bytes:
-            ids = self[part] = np.array(fast.encode_ordinary(part), "<u4").tobytes()
-            return ids
-
-    known = Known()
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in specials):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if wide.search(text):
-            return np.array(fast.encode_ordinary(text), "<u4").tobytes()
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        first, *rest = text.split(" ")
-        if not first and not rest:
-            return b""
-        return known[first] + b"".join(map(known.__getitem__, [" " + x for x in rest])) if first else b"".join(map(known.__getitem__, [" " + x for x in rest]))
+        ids = whole.encode(text, add_special_tokens=False).ids if any(s in text for s in specials) else fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
     return encode
 

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 #: What float() of Python accepts after the decimal comma became a point (ASCII digits).
 NUMBER = r"(?i)^[+-]?((\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?|inf(inity)?|nan)$"
-#: Date formats, the first that fits wins. Two-part dates need a year of four digits.
-DATE_FORMATS = (
-    "y-M-d", "y/M/d", "y.M.d", "M/d/y", "d/M/y", "M-d-y", "d-M-y", "M.d.y", "d.M.y", "d-MMM-y", "yyyy-M", "M-yyyy", "yyyy/M", "M/yyyy", "MMM-yyyy",
-    "y-M-d H:m[:s[.SSSSSS]][XXX]", "y-M-d'T'H:m[:s[.SSSSSS]][XXX]",
-)
+#: Date formats by the shape of the values that they fit. Two-part dates need a year of four digits.
+DATE_FORMATS = {
+    r":.*T|T.*:": ("y-M-d'T'H:m[:s[.SSSSSS]][XXX]",),
+    r":": ("y-M-d H:m[:s[.SSSSSS]][XXX]",),
+    r"[A-Za-z]": ("d-MMM-y", "MMM-yyyy"),
+    r"^\d+-\d+-": ("y-M-d", "M-d-y", "d-M-y"),
+    r"^\d+/\d+/": ("y/M/d", "M/d/y", "d/M/y"),
+    r"^\d+\.\d+\.": ("y.M.d", "M.d.y", "d.M.y"),
+    r"-": ("yyyy-M", "M-yyyy"),
+    r"/": ("yyyy/M", "M/yyyy"),
+}
 #: Shape of a value that is worth trying as a date.
 DATE_SHAPE = r"^(\d{1,4}[-/.](\d{1,2}|[A-Za-z]{3})[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}.*)?|\d{4}[-/]\d{1,2}|\d{1,2}[-/]\d{4}|[A-Za-z]{3}-\d{4})$"
 #: Words for a missing value in delimited files.
@@ -20,8 +26,8 @@ TYPES = ("string", "numeric", "date")
 
 
 def stripped(value: Column) -> Column:
-    """The value as text without white space around it."""
-    return F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
+    """The value as text without ASCII white space around it."""
+    return F.trim(value.cast("string"), F.lit(" \t\n\v\f\r"))
 
 
 def is_blank(value: Column) -> Column:
@@ -35,9 +41,11 @@ def is_number(value: Column) -> Column:
 
 
 def is_date(value: Column) -> Column:
-    """Whether a trimmed text is a date in one of DATE_FORMATS. Only values of the right shape are parsed."""
-    parsed = F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS))
-    return F.when(value.rlike(DATE_SHAPE), parsed.isNotNull()).otherwise(False)
+    """Whether a trimmed text is a date in one of DATE_FORMATS. Only the formats of the value's shape are tried."""
+    fits = F.when(~value.rlike(DATE_SHAPE), False)
+    for shape, formats in DATE_FORMATS.items():
+        fits = fits.when(value.rlike(shape), F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats)).isNotNull())
+    return F.coalesce(fits.otherwise(False), F.lit(False))
 
 
 def without_na(value: Column) -> Column:

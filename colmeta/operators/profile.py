@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colmeta.functions.predicates import is_date, is_number, stripped, type_label, valid_type
@@ -22,10 +22,14 @@ def cells(df: DataFrame, table_id: str, row_id: str | None = None) -> DataFrame:
     return long.select(F.lit(table_id).alias("table_id"), ordinal[F.col("name")].alias("ordinal"), "name", F.col("__row").alias("row_id"), "value")
 
 
-def _counts(value):
+def _kind(value: Column) -> Column:
+    """What a value is: n(umber), d(ate) or s(tring); null if blank or null. It is told once, below the aggregation."""
     v = stripped(value)
-    number = is_number(v)
-    return F.count_if(v != ""), F.count_if(number), F.count_if(~number & is_date(v))
+    return F.when(v == "", None).when(is_number(v), "n").when(is_date(v), "d").when(v.isNotNull(), "s")
+
+
+def _counts(kind: Column) -> tuple[Column, Column, Column]:
+    return F.count(kind), F.count_if(kind == "n"), F.count_if(kind == "d")
 
 
 def profile_cells(long: DataFrame, sample_size: int | None = None) -> DataFrame:
@@ -38,9 +42,10 @@ def profile_cells(long: DataFrame, sample_size: int | None = None) -> DataFrame:
     if sample_size:
         first = Window.partitionBy("table_id", "ordinal").orderBy("row_id")
         known = known.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample_size)
-    total, numbers, dates = _counts(F.col("value"))
+    known = (known if sample_size else long).select("table_id", "ordinal", "name", _kind(F.col("value")).alias("kind"))
+    total, numbers, dates = _counts(F.col("kind"))
     all_ = long.select("table_id", "ordinal", "name").distinct() if sample_size else None
-    out = (known if sample_size else long).groupBy("table_id", "ordinal", "name").agg(total.alias("n_values"), numbers.alias("n_numeric"), dates.alias("n_date"))
+    out = known.groupBy("table_id", "ordinal", "name").agg(total.alias("n_values"), numbers.alias("n_numeric"), dates.alias("n_date"))
     if sample_size:  # a column without values has a row too
         out = all_.join(out, ["table_id", "ordinal", "name"], "left").fillna(0, ["n_values", "n_numeric", "n_date"])
     return out.withColumn("datatype", type_label(F.col("n_values"), F.col("n_numeric"), F.col("n_date")))
@@ -48,11 +53,12 @@ def profile_cells(long: DataFrame, sample_size: int | None = None) -> DataFrame:
 
 def profile(df: DataFrame, table_id: str) -> DataFrame:
     """As profile_cells() for one table, exactly, in one aggregation: cells are never shuffled."""
+    kinds = df.select(*(_kind(F.col(f"`{c}`")).alias(f"kind_{i}") for i, c in enumerate(df.columns)))
     sums = []
     for i, c in enumerate(df.columns):
-        total, numbers, dates = _counts(F.col(f"`{c}`"))
+        total, numbers, dates = _counts(F.col(f"kind_{i}"))
         sums.append(F.struct(F.lit(table_id).alias("table_id"), F.lit(i).alias("ordinal"), F.lit(c).alias("name"), total.alias("n_values"), numbers.alias("n_numeric"), dates.alias("n_date")))
-    out = df.agg(F.array(*sums).alias("columns")).select(F.inline("columns"))
+    out = kinds.agg(F.array(*sums).alias("columns")).select(F.inline("columns"))
     return out.withColumn("datatype", type_label(F.col("n_values"), F.col("n_numeric"), F.col("n_date")))
 
 

@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines, one for each block of markup. A line's weight is the length of its own text; lines of menus,
-headers, footers, sidebars, notices, adverts, forms and comments weigh nothing, nor do lines outside the element that
-holds the article, if the page names one. Sums of weights over a sliding window surge where text begins and dive where
-it ends; what lies between is kept, but for its weightless lines.
+A page becomes lines, one for each block of markup that has text. A line's weight is the length of its own text; lines
+of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing, nor do lines outside the
+element that holds the article, if the page names one. Sums of weights over a sliding window surge where text begins and
+dive where it ends. What lies between the first surge and the last dive is kept, but for its weightless lines, and so are
+the heading and short lines that lead to the first surge. A page without a surge is short: all that weighs is its text.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; weight at which a window surges where no element names the article, and where one does.
-WINDOW, SURGE, SURGE_INSIDE = 3, 80, 1
+#: Lines of a window; weight at which a window surges where no element names the article, and where one does; least
+#: weight of the fullest window of a page that is all short.
+WINDOW, SURGE, SURGE_INSIDE, LEAST = 3, 80, 1, 10
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>"[^"]*"|'[^']*'|[^'">])*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is no text, blocks, elements that are no article.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "object", "math", "canvas", "audio", "video"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "button", "select", "fieldset", "label", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are closed by their own end tag only, or by that of an element around them.
@@ -67,18 +70,23 @@ def _kind(tag: str, attributes: str, inside: bool, by_name: bool = True) -> str:
     return named
 
 
-def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, bool, str, int]]:
-    """Lines of a page: text, whether it is aside, the kind of main element around it, and how much of it is in links."""
+#: Text, whether it is aside, the kind of main element around it, how much of it is in links, whether it is a heading.
+Line = tuple[str, bool, str, int, bool]
+
+
+def lines(page: str, by_name: bool = True) -> Iterator[Line]:
+    """Lines of a page, one at each block tag, so with empty ones."""
     stack: list[tuple[str, str]] = []
     aside = link = linked = 0
+    heading = False
     leaf = False  # the block without an end tag of its own that is open is aside
     mains = {"main": 0, "content": 0}
     text: list[str] = []
     pos, n = 0, len(page)
 
-    def line() -> tuple[str, bool, str, int]:
+    def line() -> Line:
         nonlocal linked
-        out = (" ".join(html.unescape("".join(text)).split()), aside > 0 or leaf, "main" if mains["main"] else "content" if mains["content"] else "", linked)
+        out = (" ".join(html.unescape("".join(text)).split()), aside > 0 or leaf, "main" if mains["main"] else "content" if mains["content"] else "", linked, heading)
         text.clear()
         linked = 0
         return out
@@ -117,7 +125,7 @@ def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, bool, str, int
             text.append(" ")
         if tag in BLOCKS or tag in ASIDE:
             yield line()
-            leaf = False
+            leaf, heading = False, tag in HEADINGS and not closing
         if tag not in NESTED:
             if tag in BLOCKS:
                 leaf = not closing and bool(attributes) and _kind(tag, attributes, True, by_name) == "aside"
@@ -142,29 +150,49 @@ def lines(page: str, by_name: bool = True) -> Iterator[tuple[str, bool, str, int
 
 
 def main_blocks(page: str) -> list[str]:
-    """Blocks of a page's main text, in page order. Where classes and ids leave nothing, they don't count."""
-    return _blocks(list(lines(page))) or _blocks(list(lines(page, by_name=False)))
+    """Blocks of a page's main text, in page order. Where classes and ids leave nothing, they don't count.
+
+    Only where both ways find no surge the page counts as short, and short lines are its text.
+    """
+    found = []
+    for by_name in (True, False):
+        found.append([x for x in lines(page, by_name) if x[0]])
+        if out := _blocks(found[-1]):
+            return out
+    return _blocks(found[0], short=True) or _blocks(found[1], short=True)
 
 
-def _blocks(found: list[tuple[str, bool, str, int]]) -> list[str]:
-    """Texts of the lines between surges and dives."""
-    kinds = {k for t, a, k, _ in found if t and not a}
+def _between(weights: list[int], headings: list[bool], surge: int) -> range:
+    """From the first surge, or the first heading that no dive parts from it, to the dive after the last surge."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    first, last, start, on = -1, -1, -1, False
+    for i, s in enumerate(sums):
+        if s == 0:
+            on, start = False, -1  # a dive: a whole window without text
+        elif weights[i]:
+            if start < 0 and headings[i]:
+                start = i
+            if not on and s >= surge:
+                on = True
+                first = first if first >= 0 else start if start >= 0 else i
+            last = i if on else last
+    return range(first, last + 1) if first >= 0 else range(0)
+
+
+def _blocks(found: list[Line], short: bool = False) -> list[str]:
+    """Texts of the lines between the first surge and the last dive. found: lines with text."""
+    kinds = {k for _, a, k, _, _ in found if not a}
     named = "main" if "main" in kinds else "content" if "content" in kinds else ""
     weights = []
-    for text, is_aside, kind, in_links in found:
+    for text, is_aside, kind, in_links, _ in found:
         inside = kind == "main" or (named == "content" and kind == "content") if named else True
         weights.append(0 if is_aside or not inside or (not named and 2 * in_links > len(text)) else len(text))
     surge = SURGE_INSIDE if named else SURGE
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    keep, on = [], False
-    for i, s in enumerate(sums):
-        if not on and s >= surge and weights[i]:
-            on = True
-        elif on and s == 0 and not named:
-            on = False  # a dive: a whole window without text
-        if on and weights[i]:
-            keep.append(found[i][0])
-    return keep
+    if short:
+        if max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0) < LEAST:
+            return []
+        surge = 1
+    return [found[i][0] for i in _between(weights, [x[4] for x in found], surge) if weights[i]]
 
 
 def main_text(page: str | None) -> str:

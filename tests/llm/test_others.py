@@ -39,6 +39,20 @@ def test_main_text(body, want):
     assert html_text.main_blocks(_page(body)) == want
 
 
+def test_pages_that_name_no_article():
+    text = LONG.strip()
+    for body, want in (
+        (f"<div><p>{LONG}</p></div><div><div><p>Short end.</p></div></div>", [text, "Short end."]),
+        (f"<div><blockquote>{LONG}</blockquote><ul><li>one</li><li>two</li></ul></div>", [text, "one", "two"]),
+        (f"<div><h1>Head</h1><div><div><p>{LONG}</p></div></div></div>", ["Head", text]),
+        (f"<div><h1>Head</h1><p>By X.</p><p>May 1</p><p>Hm.</p><p>{LONG}</p></div>", ["Head", "By X.", "May 1", "Hm.", text]),
+        (f"<div><p>{LONG}</p><nav><p>a</p><p>b</p><p>c</p></nav><p>Between.</p><p>{LONG}</p></div>", [text, "Between.", text]),
+        ("<nav><p>Menu</p></nav><div><h1>News</h1><p>A short note.</p></div><footer>f</footer>", ["News", "A short note."]),
+        (f"<div class='widget'><p>{LONG}</p></div><p>Hello there you</p>", [text, "Hello there you"]),
+    ):
+        assert html_text.main_blocks(_page(body)) == want
+
+
 def test_cut_pages():
     assert html_text.main_text("<article><p>a</p><p>b &am") == "a\n\nb &am"
     assert html_text.main_text("<article><p>a</p><p>b <a href='x") == "a\n\nb"

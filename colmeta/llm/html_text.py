@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 A page becomes lines, one for each block of markup that has text. A line's weight is the length of its own text; lines
-of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing, nor do lines outside the
-element that holds the article, if the page names one. Sums of weights over a sliding window surge where text begins and
-dive where it ends. What lies between the first surge and the last dive is kept, but for its weightless lines, and so are
+of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing. If the page names the element
+that holds the article, lines in it weigh a surge more, and those outside nothing, unless the windows find several times
+as much text outside: then the name is a teaser's, and all lines count. Sums of weights over a sliding window surge where
+text begins and dive where it ends. What lies between the first surge and the last dive is kept, but for its weightless lines, and so are
 the heading and short lines that lead to the first surge. A page without a surge is short: all that weighs is its text.
 """
 
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; weight at which a window surges where no element names the article, and where one does; least
-#: weight of the fullest window of a page that is all short.
-WINDOW, SURGE, SURGE_INSIDE, LEAST = 3, 80, 1, 10
+#: Lines of a window; weight at which a window surges; least weight of the fullest window of a page that is all short.
+WINDOW, SURGE, LEAST = 3, 80, 10
+#: A name that leaves out this many times the text it holds is no article's name.
+OUTWEIGHS = 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>"[^"]*"|'[^']*'|[^'">])*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -183,16 +185,19 @@ def _blocks(found: list[Line], short: bool = False) -> list[str]:
     """Texts of the lines between the first surge and the last dive. found: lines with text."""
     kinds = {k for _, a, k, _, _ in found if not a}
     named = "main" if "main" in kinds else "content" if "content" in kinds else ""
-    weights = []
-    for text, is_aside, kind, in_links, _ in found:
-        inside = kind == "main" or (named == "content" and kind == "content") if named else True
-        weights.append(0 if is_aside or not inside or (not named and 2 * in_links > len(text)) else len(text))
-    surge = SURGE_INSIDE if named else SURGE
+    inside = [bool(named) and (k == "main" or named == k) for _, _, k, _, _ in found]
+    headings = [x[4] for x in found]
+    held = [0 if a or not i else len(t) for (t, a, _, _, _), i in zip(found, inside, strict=True)]
+    free = [0 if a or i or 2 * in_links > len(t) else len(t) for (t, a, _, in_links, _), i in zip(found, inside, strict=True)]
+    if named and sum(free[i] for i in _between(free, headings, SURGE)) <= OUTWEIGHS * sum(held):
+        free = [0] * len(free)
+    weights = [h + SURGE if h else f for h, f in zip(held, free, strict=True)]
+    surge = SURGE
     if short:
         if max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0) < LEAST:
             return []
         surge = 1
-    return [found[i][0] for i in _between(weights, [x[4] for x in found], surge) if weights[i]]
+    return [found[i][0] for i in _between(weights, headings, surge) if weights[i]]
 
 
 def main_text(page: str | None) -> str:

@@ -53,6 +53,13 @@ def test_pages_that_name_no_article():
         assert html_text.main_blocks(_page(body)) == want
 
 
+def test_windows_overrule_the_name_of_a_teaser():
+    text = LONG.strip()
+    card = "<article><h2>Card</h2><p>Tease.</p></article>"
+    assert html_text.main_blocks(_page(f"<div><h1>Head</h1><p>{LONG}</p><p>End.</p></div>{card}")) == ["Head", text, "End.", "Card", "Tease."]
+    assert html_text.main_blocks(_page(f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>")) == [text]
+
+
 def test_cut_pages():
     assert html_text.main_text("<article><p>a</p><p>b &am") == "a\n\nb &am"
     assert html_text.main_text("<article><p>a</p><p>b <a href='x") == "a\n\nb"

@@ -38,22 +38,35 @@ _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bar|sidebars?|rail|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|commentlist|comment\w*|replies|reply|respond|disqus\w*|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|sign-?in|login|register|search\w*|toolbar|footer|foot|masthead|site-?header|page-?header|topbar|header|copyright|legal|skip\w*)(?=$|[\s_-])",
     re.I,
 )
+#: Whole classes and ids that name no part of an article.
+_ASIDE_ONLY = re.compile(
+    r"ads?|ad[-_]?(?:box|slot|unit|banner|container|wrapper)|advert(?:s|isements?|ising)?|sponsored(?:[-_]\w+)?|promo(?:tion)?s?(?:[-_](?:box|banner))?|cookie[-_]?(?:notice|banner|bar|consent)|gdpr(?:[-_]\w+)?|popup|modal|side-?bar|breadcrumbs?|pagination|pager|nav|navbar|navigation|menu|comments?|comment[-_]?(?:list|form|section|area)|comments[-_](?:list|section|area)|disqus_thread|respond|share[-_](?:buttons?|links|bar|tools)|(?:social|sharing)[-_](?:buttons?|links|share|icons|media)|related[-_](?:posts?|articles?|stories|links|content)|newsletter(?:[-_](?:signup|form|box))?|signup[-_]form|login[-_]form|search[-_](?:form|box)|toolbar|skip[-_]?(?:link|to-content)|(?:site|page)-?footer",
+    re.I,
+)
 #: Names of what stands on top: inside an article they hold its title.
 _TOP_NAME = re.compile(r"(?:^|[\s_-])(?:masthead|site-?header|page-?header|topbar|header)(?=$|[\s_-])", re.I)
 #: Names that say what else the page has.
 _HAS_NAME = re.compile(r"(?<![\w-])(?:has|with|no|without)[-_][\w-]+", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|content|contents|main|main-?content|post|post-?content|entry|entry-?content|story|story-?body|bodytext|body-?content)(?=$|[\s])", re.I)
+#: How far classes and ids count: all, only whole ones of asides, none.
+NAMES, WHOLE, NONE = 2, 1, 0
 _ASIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 
-def _kind(tag: str, attributes: str, inside: bool, by_name: bool = True) -> str:
-    """What an element is by its name and attributes: "aside", "main", "content" or "". by_name: classes and ids count."""
+def _kind(tag: str, attributes: str, inside: bool, by_name: int = NAMES) -> str:
+    """What an element is by its name and attributes: "aside", "main", "content", "doubt" or "".
+
+    Inside the article, and of a section's id, only whole names that name nothing else tell an aside; ids of headings and
+    of other blocks of text are slugs and tell nothing. Other classes inside that sound like an aside's make a doubt: what
+    is mostly links there is aside.
+    """
+    block = tag not in NESTED
     if tag in ASIDE or (tag == "header" and not inside):
         return "aside"
     named = "main" if tag in ("article", "main") else ""
     if not attributes.strip():
         return named
-    names = []
+    names, whole = [], []
     for m in _NAMES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
@@ -62,12 +75,17 @@ def _kind(tag: str, attributes: str, inside: bool, by_name: bool = True) -> str:
             return "aside"
         if (name == "role" and value in ("main", "article")) or (name == "itemprop" and value == "articlebody"):
             named = "main"
-        if name in ("class", "id") and by_name:
+        if name in ("class", "id") and by_name and not (block and name == "id"):
+            whole += value.split()
             value = _HAS_NAME.sub("", value)
-            names.append(_TOP_NAME.sub("", value) if inside else value)
-    if tag not in ("body", "html", "main", "article") and any(_ASIDE_NAME.search(n) for n in names):
-        return "aside"
-    if tag in ("div", "section", "td") and any(_MAIN_NAME.search(n) for n in names):
+            if not (tag == "section" and name == "id"):
+                names.append(_TOP_NAME.sub("", value) if inside else value)
+    if tag not in ("body", "html", "main", "article"):
+        if any(_ASIDE_ONLY.fullmatch(n) for n in whole):
+            return "aside"
+        if by_name == NAMES and any(_ASIDE_NAME.search(n) for n in names):
+            return "doubt" if inside else "aside"
+    if tag in ("div", "section", "td") and any(_MAIN_NAME.search(n) for n in names + whole):
         named = named or "content"
     return named
 
@@ -76,27 +94,30 @@ def _kind(tag: str, attributes: str, inside: bool, by_name: bool = True) -> str:
 Line = tuple[str, bool, str, int, bool]
 
 
-def lines(page: str, by_name: bool = True) -> Iterator[Line]:
+def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
     """Lines of a page, one at each block tag, so with empty ones."""
     stack: list[tuple[str, str]] = []
-    aside = link = linked = 0
+    aside = doubt = link = linked = 0
     heading = False
-    leaf = False  # the block without an end tag of its own that is open is aside
+    leaf = ""  # the kind of the block without an end tag of its own that is open
     mains = {"main": 0, "content": 0}
     text: list[str] = []
     pos, n = 0, len(page)
 
     def line() -> Line:
         nonlocal linked
-        out = (" ".join(html.unescape("".join(text)).split()), aside > 0 or leaf, "main" if mains["main"] else "content" if mains["content"] else "", linked, heading)
+        words = " ".join(html.unescape("".join(text)).split())
+        off = aside > 0 or leaf == "aside" or ((doubt > 0 or leaf == "doubt") and 2 * linked > len(words))
+        out = (words, off, "main" if mains["main"] else "content" if mains["content"] else "", linked, heading)
         text.clear()
         linked = 0
         return out
 
     def pop() -> None:
-        nonlocal aside
+        nonlocal aside, doubt
         _, kind = stack.pop()
         aside -= kind == "aside"
+        doubt -= kind == "doubt"
         if kind in mains:
             mains[kind] -= 1
 
@@ -127,10 +148,10 @@ def lines(page: str, by_name: bool = True) -> Iterator[Line]:
             text.append(" ")
         if tag in BLOCKS or tag in ASIDE:
             yield line()
-            leaf, heading = False, tag in HEADINGS and not closing
+            leaf, heading = "", tag in HEADINGS and not closing
         if tag not in NESTED:
             if tag in BLOCKS:
-                leaf = not closing and bool(attributes) and _kind(tag, attributes, True, by_name) == "aside"
+                leaf = _kind(tag, attributes, True, by_name) if attributes and not closing else ""
             continue
         link = False
         if tag == "li" and not closing:  # a new item ends the one before
@@ -142,6 +163,7 @@ def lines(page: str, by_name: bool = True) -> Iterator[Line]:
             kind = _kind(tag, attributes or "", mains["main"] + mains["content"] > 0, by_name)
             stack.append((tag, kind))
             aside += kind == "aside"
+            doubt += kind == "doubt"
             if kind in mains:
                 mains[kind] += 1
         elif any(t == tag for t, _ in stack):
@@ -152,16 +174,17 @@ def lines(page: str, by_name: bool = True) -> Iterator[Line]:
 
 
 def main_blocks(page: str) -> list[str]:
-    """Blocks of a page's main text, in page order. Where classes and ids leave nothing, they don't count.
+    """Blocks of a page's main text, in page order. Where classes and ids leave nothing, only whole ones count, then none.
 
-    Only where both ways find no surge the page counts as short, and short lines are its text.
+    Where no window surges the page counts as short, and short lines are its text.
     """
     found = []
-    for by_name in (True, False):
+    for by_name in (NAMES, WHOLE):
         found.append([x for x in lines(page, by_name) if x[0]])
         if out := _blocks(found[-1]):
             return out
-    return _blocks(found[0], short=True) or _blocks(found[1], short=True)
+    found.append([x for x in lines(page, NONE) if x[0]])
+    return _blocks(found[0], short=True) or _blocks(found[1], short=True) or _blocks(found[2]) or _blocks(found[2], short=True)
 
 
 def _between(weights: list[int], headings: list[bool], surge: int) -> range:

@@ -60,6 +60,17 @@ def test_windows_overrule_the_name_of_a_teaser():
     assert html_text.main_blocks(_page(f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>")) == [text]
 
 
+def test_article_parts_that_sound_like_asides():
+    slugs = ("discussion", "results-and-discussion", "related-work", "search-algorithms", "legal-framework", "a-brief-history-of-social-media", "comments")
+    for slug in slugs:
+        assert html_text.main_blocks(_page(f"<article><p>A</p><h2 id='{slug}'>H</h2><p id='{slug}'>B</p></article>")) == ["A", "H", "B"]
+        assert html_text.main_blocks(_page(f"<div><p>{LONG}</p><h2 id='{slug}'>H</h2><p>B</p></div>")) == [LONG.strip(), "H", "B"]
+    for slug in slugs[:-1]:
+        assert html_text.main_blocks(_page(f"<article><p>A</p><section id='{slug}'><h2>H</h2><p>B</p></section></article>")) == ["A", "H", "B"]
+    body = "<article><p>A</p><div class='notice'><p>N</p></div><div class='share'><p><a href='x'>Tweet</a></p></div><div class='related-posts'><p>R</p></div><div class='ad'>Buy</div></article>"
+    assert html_text.main_blocks(_page(body)) == ["A", "N"]
+
+
 def test_cut_pages():
     assert html_text.main_text("<article><p>a</p><p>b &am") == "a\n\nb &am"
     assert html_text.main_text("<article><p>a</p><p>b <a href='x") == "a\n\nb"

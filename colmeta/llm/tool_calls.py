@@ -7,7 +7,7 @@ has the role "tool" and a JSON object {tool_call_id, content}. Every other messa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, stored
@@ -68,10 +68,13 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """A row for each plain message, call and unclaimed result: conv_id, turn, kind, call_id, level, name, fault, status, json.
 
     Calls and results meet in a hash join on conversation and identifier. Of calls (or results) that share an identifier
-    in a conversation the first by turn counts; a call without one is named #<turn>.<position>. A null conv_id joins nothing. status: answered, unanswered, cycle for calls; orphan for results
-    without a call; null for messages. level orders calls topologically: level, then turn. json has sorted keys and no
-    spaces; arguments are canonical too, and stay text where they can't be parsed. A text that is no such JSON object is
-    a plain message; null texts are messages with a null content. No rows give none; other columns are not read.
+    in a conversation the first by turn counts, one without a turn last; each other one is a row of its own, a
+    duplicate, whose call_id is null and stands in its json: no two calls of a conversation share a call_id. A call without an identifier is named #<turn>.<position>, and has none if its turn is null. A null
+    conversation or identifier joins nothing. status: answered, unanswered, cycle for calls; orphan for results without
+    a call; duplicate for both; null for messages. level orders calls topologically: level, then turn; duplicates have
+    none, calls that can't be joined are at 0. json has sorted keys and no spaces; arguments are canonical too, and stay
+    text where they can't be parsed. A text that is no such JSON object is a plain message; null texts are messages with
+    a null content. No rows give none; other columns are not read.
     """
     m = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
     m = m.withColumns({
@@ -81,24 +84,33 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     plain = m.where("calls is null and (result is null or result.tool_call_id is null)")
     calls = m.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("at", "c")).select("conv_id", "turn", "at", "c.*")
     calls = calls.withColumn("id", F.coalesce("id", F.concat(F.lit("#"), F.col("turn").cast("string"), F.lit("."), F.col("at").cast("string")))).drop("at")
-    calls = calls.groupBy("conv_id", "id").agg(F.min_by(F.struct("turn", "name", "arguments", "after"), F.struct("turn", "name", "arguments")).alias("c")).select("conv_id", "id", "c.*")
-    calls = stored(calls)
     results = m.where("calls is null and result.tool_call_id is not null").select("conv_id", "turn", F.col("result.tool_call_id").alias("id"), F.col("result.content").alias("content"))
-    results = results.groupBy("conv_id", "id").agg(F.min_by(F.struct("turn", "content"), F.struct("turn", "content")).alias("r")).select("conv_id", "id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
-
+    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+    ranked = []
+    for df, order in ((calls, ("name", "arguments", "after")), (results, ("content",))):
+        first = Window.partitionBy("conv_id", "id").orderBy(F.col("turn").asc_nulls_last(), *order)
+        ranked.append(stored(df.where(keyed).withColumn("nth", F.row_number().over(first))))
+    only = F.lit(1).alias("nth")
+    loose = calls.where(~keyed).select("*", only), results.where(~keyed).select("*", only)
+    calls, results = (df.where("nth = 1").drop("nth") for df in ranked)
     levels = _levels(calls)
-    met = calls.join(results.hint("shuffle_hash"), ["conv_id", "id"], "full_outer").join(levels.withColumn("deep", F.lit(True)), ["conv_id", "id"], "left")
+    is_call = lambda df: df.withColumn("known", F.lit(True))
+    result = lambda df: df.withColumnRenamed("turn", "result_turn").withColumn("answer", F.lit(True))
+    met = is_call(calls).join(result(results).hint("shuffle_hash"), ["conv_id", "id"], "full_outer").join(levels.withColumn("deep", F.lit(True)), ["conv_id", "id"], "left")
+    for n, (df, free) in enumerate(zip(ranked, loose, strict=True)):
+        apart = df.where("nth > 1").unionByName(free)
+        met = met.unionByName((result if n else is_call)(apart), allowMissingColumns=True)
     parsed = F.try_parse_json("arguments")
-    known = F.col("turn").isNotNull()
+    known, again = F.col("known").isNotNull(), F.coalesce(F.col("nth") > 1, F.lit(False))
     met = met.withColumns({
-        "level": F.when(known, F.when(F.col("deep"), F.col("level")).otherwise(0)),
+        "level": F.when(known & ~again, F.when(F.col("deep"), F.col("level")).otherwise(0)),
         "fault": F.when(known, _fault(F.col("name"), F.col("arguments"), parsed, schemas)),
         "canonical": F.coalesce(F.to_json(parsed), F.to_json(F.struct(F.col("arguments").alias("a"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("arguments").alias("a")))) - 6)),
     })
-    met = met.withColumn("status", F.when(~known, "orphan").when(F.col("level").isNull(), "cycle").when(F.col("result_turn").isNotNull(), "answered").otherwise("unanswered"))
+    met = met.withColumn("status", F.when(again, "duplicate").when(~known, "orphan").when(F.col("level").isNull(), "cycle").when(F.col("answer"), "answered").otherwise("unanswered"))
     rest = F.to_json(F.struct("id", "level", "name", F.col("content").alias("result"), "status"), {"ignoreNullFields": "false"})
     whole = F.when(known & F.col("arguments").isNotNull(), F.concat(F.lit('{"arguments":'), F.col("canonical"), F.lit(","), F.substring(rest, 2, 2147483647))).otherwise(rest)
-    out = met.select("conv_id", F.coalesce("turn", "result_turn").alias("turn"), F.when(known, "call").otherwise("result").alias("kind"), F.col("id").alias("call_id"), "level", "name", "fault", "status", whole.alias("json"))
+    out = met.select("conv_id", F.when(known, F.col("turn")).otherwise(F.col("result_turn")).alias("turn"), F.when(known, "call").otherwise("result").alias("kind"), F.when(~again, F.col("id")).alias("call_id"), "level", "name", "fault", "status", whole.alias("json"))
     said = plain.select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("fault"), F.lit(None).cast("string").alias("status"), F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json"))
     return out.unionByName(said)
 

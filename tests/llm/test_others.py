@@ -220,6 +220,22 @@ def test_tool_calls(spark):
     assert tool_calls.linked(df.where("false"), SCHEMAS).count() == 0
 
 
+def test_repeated_and_null_calls(spark):
+    call = lambda a, i="c1": '{"tool_calls":[{"id":"%s","name":"add","arguments":{"a":%d,"b":1}}]}' % (i, a)
+    result = lambda text: '{"tool_call_id":"c1","content":"%s"}' % text
+    rows = [(1, 0, "assistant", call(1)), (1, 1, "assistant", call(2)), (1, 2, "tool", result("one")), (1, 3, "tool", result("late")), (1, 3, "tool", result("late"))]
+    rows += [(None, 0, "assistant", call(3)), (None, 0, "assistant", call(3)), (None, 1, "tool", result("x")), (2, None, "assistant", call(4)), (2, None, "assistant", call(4)), (2, None, "tool", result("y"))]
+    rows += [(3, None, "assistant", '{"tool_calls":[{"name":"add"},{"name":"add"}]}')]
+    got = tool_calls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    want = [(1, 0, "call", "answered"), (1, 1, "call", "duplicate"), (1, 3, "result", "duplicate"), (1, 3, "result", "duplicate")]
+    want += [(None, 0, "call", "unanswered")] * 2 + [(None, 1, "result", "orphan"), (2, None, "call", "answered"), (2, None, "call", "duplicate")] + [(3, None, "call", "unanswered")] * 2
+    assert sorted(((r.conv_id, r.turn, r.kind, r.status) for r in got), key=str) == sorted(want, key=str)
+    assert {r.level for r in got if r.status == "duplicate"} == {None}
+    assert [r.json for r in got if r.conv_id == 1 and r.turn == 1] == ['{"arguments":{"a":2,"b":1},"id":"c1","level":null,"name":"add","result":null,"status":"duplicate"}']
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b"), (4, None, "user", "c"), (4, None, "user", "d"), (None, 1, "assistant", "e")], "conv_id long, turn long, role string, text string")
+    assert tool_calls.linked(tool_calls.as_tool_chat(turns), tool_calls.CHAT_SCHEMAS).where("status in ('unanswered', 'orphan')").count() == 4
+
+
 def test_chat_of_the_table(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     got = QUERIES["op7_tool_calls"](spark, sf_dir).collect()

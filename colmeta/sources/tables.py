@@ -18,19 +18,19 @@ from colmeta.functions.predicates import without_na
 DELIMITERS = (",", ";", "\t", "|")
 #: Spark reads Latin-1; where the two differ, Windows-1252 has these characters (or the replacement character).
 _CONTROL, _WINDOWS = bytes(range(128, 160)).decode("latin-1"), bytes(range(128, 160)).decode("cp1252", "replace")
-#: Lines of a file that the delimiter is told from, rows of a sheet that may be the header.
-SNIFFED, HEADER_ROWS = 50, 10
+#: Rows of a sheet that may be the header.
+HEADER_ROWS = 10
 
 
 def sniffed(lines: DataFrame) -> DataFrame:
-    """file, delimiter, found for lines (file, line_no, value): the delimiter that most lines have equally often.
+    """file, delimiter, found for lines (file, value): the delimiter that most of all lines have equally often.
 
     Quoted spans don't count. Of delimiters that serve as many lines, the one with more columns wins, then the order of
     DELIMITERS. Where none occurs the delimiter is a comma and found is false.
     """
     bare = F.regexp_replace("value", r'"[^"]*"', "")
-    head = lines.where((F.col("line_no") < SNIFFED) & (F.trim("value") != "")).withColumn("bare", bare)
-    each = head.select("file", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), (F.length("bare") - F.length(F.replace("bare", F.lit(d), F.lit("")))).alias("n")) for i, d in enumerate(DELIMITERS)))).alias("x")).select("file", "x.*")
+    full = lines.where(F.trim("value") != "").withColumn("bare", bare)
+    each = full.select("file", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), (F.length("bare") - F.length(F.replace("bare", F.lit(d), F.lit("")))).alias("n")) for i, d in enumerate(DELIMITERS)))).alias("x")).select("file", "x.*")
     counts = each.groupBy("file", "rank", "delimiter", "n").agg(F.count("*").alias("lines")).where("n > 0")
     best = F.row_number().over(Window.partitionBy("file").orderBy(F.col("lines").desc(), F.col("n").desc(), "rank"))
     top = counts.withColumn("at", best).where("at = 1").select("file", "delimiter")
@@ -64,8 +64,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     if encoding is None:
         encoding = charsets(spark, [path]).first()["encoding"]
     if delimiter is None:
-        numbered = spark.read.text(path).limit(SNIFFED).select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
-        delimiter = sniffed(numbered).first()["delimiter"]
+        delimiter = sniffed(spark.read.text(path).select(F.lit(path).alias("file"), "value")).first()["delimiter"]
     windows = encoding == "windows-1252"
     read = spark.read.option("sep", delimiter).option("encoding", "ISO-8859-1" if windows else encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
     names = read.option("header", False).csv(path).limit(1).first()

@@ -95,6 +95,14 @@ def test_header_rows(spark):
     assert _rows(wide, "a", "b", "col_2") == [("1", "2", "3")]
 
 
+def test_delimiter_below_a_long_preamble(spark, tmp_path):
+    text = ["# note, one"] * 60 + [f"a{i};b;c" for i in range(100)]
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(text)], "file string, line_no long, value string")
+    assert _rows(tables.sniffed(lines), "file", "delimiter", "found") == [("f", ";", True)]
+    (tmp_path / "b.csv").write_text("\n".join(["x;y;z", *text]))
+    assert tables.read_delimited(spark, str(tmp_path / "b.csv")).columns == ["x", "y", "z"]
+
+
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('name;Größe;name\n"x;y";1,5;NA\nz;;3\n'.encode("cp1252"))
     df = tables.read_delimited(spark, str(tmp_path / "a.csv"))

@@ -255,17 +255,8 @@ def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFra
     return both.mapInArrow(_matched(num, den), "ka long, ta long, kb long, tb long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Class of each document under links of Jaccard similarity num/den or more over sets of word shingles.
-
-    Returns a row per row of docs: doc_id (the key), n_shingles, component_id. Words are runs without ASCII white
-    space, A-Z lower-cased; a text of fewer than `words` words is one shingle; a null, empty or wordless text has the
-    empty set and links with nothing. component_id is the smallest key reachable by links, the row's own where it links
-    with nothing. Rows that share a key share nothing but what their texts link; a null key is never a component_id
-    unless all keys of the component are null. Other columns of docs are not read. An empty table gives no rows.
-
-    A set's identity is a 64-bit hash and a shingle's 56 bits of one.
-    """
+def _labelled(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows of docs (_SIG), and k, lab: the class of each set that links with another."""
     src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text"))
     texts = src.select("th", "text")
 
@@ -285,7 +276,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     lab = components(first)
     more = _verified(_prefix_pairs(sig, lab, num, den), texts, words, num, den)
     label = components(lab.toDF("u", "v").unionByName(more)).toDF("k", "lab")
+    return sig, label
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Class of each document under links of Jaccard similarity num/den or more over sets of word shingles.
+
+    Returns a row per row of docs: doc_id (the key), n_shingles, component_id. Words are runs without ASCII white
+    space, A-Z lower-cased; a text of fewer than `words` words is one shingle; a null, empty or wordless text has the
+    empty set and links with nothing. component_id is the smallest key reachable by links, the row's own where it links
+    with nothing. Rows that share a key share nothing but what their texts link; a null key is never a component_id
+    unless all keys of the component are null. Other columns of docs are not read. An empty table gives no rows.
 
+    A set's identity is a 64-bit hash and a shingle's 56 bits of one.
+    """
+    sig, label = _labelled(docs, key, text, words, num, den)
     least = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
     least = least.join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
     top = least.groupBy("lab").agg(F.min("first").alias("component_id"))
@@ -305,3 +310,24 @@ def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> Dat
     others = [c for c in docs.columns if c != key]
     one = kept.groupBy(key).agg(F.min_by(F.struct(*others), F.xxhash64("text")).alias("_row"))
     return one.select(key, "_row.*").select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
+def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each class of near copies does: the one of the smallest key.
+
+    Classes come from texts alone, so unrelated texts under one key all stay, and near copies without a key are one
+    document. Rows that repeat a key and text are one document. A text without words is no copy of another; of those
+    under a null key all rows stay.
+    """
+    sig, label = _labelled(docs, key, text, 5, 80, 100)
+    me = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    lab = sig.where("k is not null").select("k", me.alias("me")).join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+    best = lab.groupBy("lab").agg(F.min("me").alias("me")).select("me.doc_id", "me.th")
+    bare = sig.where("k is null").select("doc_id", "th").distinct()
+    th = F.xxhash64(text_of(text))
+    keep = best.unionByName(bare.where("doc_id is not null")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    kept = docs.join(keep, F.col(key).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_semi")
+    others = [c for c in docs.columns if c != key]
+    one = kept.groupBy(key, th.alias("__th")).agg(F.first(F.struct(*others)).alias("_row")).select(key, "_row.*").select(docs.columns)
+    loose = docs.where(F.col(key).isNull()).join(bare.where("doc_id is null").select(F.col("th").alias("__th")), th == F.col("__th"), "left_semi")
+    return one.unionByName(loose)

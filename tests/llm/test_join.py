@@ -88,6 +88,17 @@ def test_one_of_each(spark, odd_docs):
     assert sorted(keys) == sorted(want)
 
 
+def test_one_per_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 1), (1, b, 2), (2, a + " end", 3), (3, b, 4), (None, c, 5), (None, c + " end", 6), (4, "", 7), (None, "", 8), (None, None, 9), (5, c, 10), (5, c, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = ngram_join.one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.n_chars for r in kept.collect()) == [1, 2, 7, 8, 9, 10]
+    nameless = ngram_join.one_per_class(docs.where("n_chars in (5, 6)")).collect()
+    assert len(nameless) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (160, 159)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What float() of Python accepts after the decimal comma became a point (ASCII digits).
-NUMBER = r"(?i)^[+-]?((\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?|inf(inity)?|nan)$"
+#: What float() of Python accepts after the decimal comma became a point (ASCII digits), spaces around it.
+_DIGITS = r"\d++(?:_\d++)*+"
+NUMBER = rf"^[ \t\n\x0B\f\r]*+[+-]?(?:(?:{_DIGITS}[.,]?(?:{_DIGITS})?|[.,]{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?|nan))[ \t\n\x0B\f\r]*+$"
+WHITE = r"^[ \t\n\x0B\f\r]*$"
 #: Date formats by the shape of the values that they fit. Two-part dates need a year of four digits.
 DATE_FORMATS = {
     r":.*T|T.*:": ("y-M-d'T'H:m[:s[.SSSSSS]][XXX]",),
@@ -36,8 +38,13 @@ def is_blank(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    """Whether a trimmed text is a number, with a point or a comma."""
-    return F.replace(value, F.lit(","), F.lit(".")).rlike(NUMBER)
+    """Whether a text is a number, with a point or a comma, white space around it or not."""
+    return value.rlike(NUMBER)
+
+
+def is_white(value: Column) -> Column:
+    """Whether a text has nothing but ASCII white space."""
+    return value.rlike(WHITE)
 
 
 def is_date(value: Column) -> Column:

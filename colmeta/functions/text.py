@@ -17,18 +17,19 @@ def hinted(name: Column, hint: Column) -> Column:
 
 
 def prompt(context: Column, variables: Column) -> Column:
-    """The request for a JSON object of descriptions; the context is cut at CONTEXT_CHARS."""
+    """The request for a JSON object of descriptions; the context is cut at CONTEXT_CHARS, null is empty."""
     return F.concat(
         F.lit("Describe each variable of a dataset in one sentence, from the context alone.\nAnswer with one JSON object that maps each variable to its description.\nVariables: "),
-        F.array_join(variables, ", "),
+        F.coalesce(F.array_join(variables, ", "), F.lit("")),
         F.lit("\nContext:\n"),
-        F.substring(context, 1, CONTEXT_CHARS),
+        F.substring(F.coalesce(context, F.lit("")), 1, CONTEXT_CHARS),
     )
 
 
 def cache_key(provider: Column, context: Column, variables: Column) -> Column:
-    """SHA-256 of provider, context and the names as they are sent; their order counts."""
-    return F.sha2(F.concat(stripped(provider), F.lit("|"), stripped(context), F.lit("|"), F.array_join(variables, ",")), 256)
+    """SHA-256 of provider, context and the names as they are sent; their order counts. What is null counts as empty."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha2(F.concat(given(stripped(provider)), F.lit("|"), given(stripped(context)), F.lit("|"), given(F.array_join(variables, ","))), 256)
 
 
 def json_block(answer: Column) -> Column:
@@ -48,6 +49,6 @@ def links(uris: Column) -> Column:
 
 
 def plain_html(page: Column) -> Column:
-    """A page's text for a context: scripts, styles and tags out, white space runs to one space."""
-    bare = F.regexp_replace(page, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    """A page's text for a context: scripts, styles (to their own end tags) and tags out, white space runs to one space."""
+    bare = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))

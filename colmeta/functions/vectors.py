@@ -64,18 +64,22 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     """A stand-in encoder: signed hashes of lower-cased words, of unit length. It compares words, not meanings."""
 
+    known: dict[str, int] = {}
+    slot = known.get
+
     def encode(texts: pd.Series) -> list[np.ndarray]:
         import re
         import zlib
 
         out = []
         for text in texts:
-            v = np.zeros(dim, np.float32)
-            for token in re.findall(r"[^\W\d_]+", (text or "").lower()):
-                h = zlib.crc32(token.encode())
-                v[h % dim] += 1 if h & 0x80000000 else -1
+            tokens = re.findall(r"[^\W\d_]+", (text or "").lower())
+            slots = np.fromiter((slot(t) if t in known else known.setdefault(t, zlib.crc32(t.encode())) for t in tokens), np.int64, len(tokens))
+            v = np.bincount(slots % dim, weights=np.where(slots & 0x80000000, 1.0, -1.0), minlength=dim).astype(np.float32)
             size = np.linalg.norm(v)
             out.append(v / size if size else v)
+            if len(known) > 1 << 16:  # a stretch of texts shares most of its words
+                known.clear()
         return out
 
     return encode

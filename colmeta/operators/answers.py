@@ -23,8 +23,17 @@ def looked_up(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(cache.select("cache_key", F.col("response").alias("cached")), "cache_key", "left")
 
 
+def distinct_requests(asked: DataFrame) -> DataFrame:
+    """One row for each cache_key among requests: cache_key, provider, context, variables, prompt."""
+    one = asked.groupBy("cache_key").agg(F.min(F.struct("provider", "context", "variables", "prompt")).alias("r"))
+    return one.select("cache_key", "r.*")
+
+
 def generated(missing: DataFrame, provider: Callable[[str, str], str]) -> DataFrame:
-    """Requests without an answer, with the response that provider(name, prompt) gives; one call for each row."""
+    """Requests without an answer, with the response that provider(name, prompt) gives; one call for each row.
+
+    The calls happen wherever the result is computed: write it (store.written) before using it more than once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -25,34 +25,48 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_by_expression(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None) -> DataFrame:
+def _fine(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose vector can be compared: not null or empty, all components finite."""
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(key).isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & fine)
+
+
+def nearest_by_expression(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None, exclude_same_id: bool = False) -> DataFrame:
     """query, id, distance, rank of each query's k nearest terms, as Column expressions.
 
-    queries: query, vector; terms: id, vector. A term whose id is the query's own is left out. Terms are dealt to
+    queries: query, vector; terms: id, vector. Ids of queries and of terms are apart, unless exclude_same_id says that
+    they are one space: then a term whose id is the query's own is left out. Vectors that are null, empty or hold a null
+    or non-finite component take no part; a query meets terms of its own number of components only. Terms are dealt to
     stripes and queries sent to each of them, so the pairs are made by an equi-join; every pair is a row for a moment,
-    which suits small vocabularies. Larger ones: nearest().
+    which suits small vocabularies (some thousands of terms). Larger ones: nearest().
     """
     stripes = _stripes(terms, stripes)
-    t = terms.select("id", F.col("vector").alias("tv"), F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe"))
-    q = queries.select("query", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    pairs = q.join(t, "stripe").where(F.col("query") != F.col("id")).select("query", "id", distance(F.col("qv"), F.col("tv"), metric).alias("distance"))
-    return _ranked(pairs, k)
+    t = _fine(terms, "id").select("id", F.col("vector").alias("tv"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe"))
+    q = _fine(queries, "query").select("query", F.col("vector").alias("qv"), F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
+    pairs = q.join(t, ["stripe", "dim"])
+    if exclude_same_id:
+        pairs = pairs.where(F.col("query") != F.col("id"))
+    return _ranked(pairs.select("query", "id", distance(F.col("qv"), F.col("tv"), metric).alias("distance")), k)
 
 
 def _packed(rows: int):
-    """Packs (id, vector) rows of a task into blocks: ids, flat float64 vectors, their size."""
+    """Packs (id, vector) rows of a task into blocks of vectors of one size: ids, flat float64 vectors, their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, rows):
-                ids = b.column(0).slice(i, rows).to_numpy().astype(np.int64)
-                x = np.array(b.column(1).slice(i, rows).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["ids", "xs", "dim"])
+            ids = b.column(0).to_numpy().astype(np.int64)
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            for dim in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dim)
+                for i in range(0, len(own), rows):
+                    at = own[i : i + rows]
+                    x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "xs", "dim"])
 
     return run
 
 
-def _products(k: int, metric: str):
+def _products(k: int, metric: str, exclude_same_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_ids, q_xs, dim, ids, xs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -63,7 +77,8 @@ def _products(k: int, metric: str):
                     d = 1 - q @ t.T
                 else:
                     d = (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None] - 2 * (q @ t.T)
-                d = np.where(qi[:, None] == ti[None], np.inf, d)
+                if exclude_same_id:
+                    d = np.where(qi[:, None] == ti[None], np.inf, d)
                 m = min(k, d.shape[1])
                 edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
                 r, c = np.nonzero((d <= edge + 1e-9) & (d < np.inf))  # rounding can't drop a neighbour: near ties stay
@@ -73,31 +88,42 @@ def _products(k: int, metric: str):
     return run
 
 
-def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None, exclude_same_id: bool = False) -> DataFrame:
     """As nearest_by_expression(), by products of packed blocks: each pair of blocks gives k rows a query, not all pairs.
 
     Blocks of terms are dealt to stripes and blocks of queries go to each, whatever the sizes of both.
     """
     block, stripes = "ids binary, xs binary, dim int", _stripes(terms, stripes)
-    t = terms.select(F.col("id").cast("long"), "vector").repartition(stripes, "id").mapInArrow(_packed(TERMS), block).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int"))
-    q = queries.select(F.col("query").cast("long"), "vector").mapInArrow(_packed(QUERIES), block).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    pairs = q.join(t, "stripe").select("q_ids", "q_xs", "dim", "ids", "xs").mapInArrow(_products(k, metric), "query long, id long, distance double")
+    t = _fine(terms, "id").select(F.col("id").cast("long"), "vector").repartition(stripes, "id").mapInArrow(_packed(TERMS), block).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int"))
+    q = _fine(queries, "query").select(F.col("query").cast("long"), "vector").mapInArrow(_packed(QUERIES), block).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), "dim", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
+    pairs = q.join(t, ["stripe", "dim"]).select("q_ids", "q_xs", "dim", "ids", "xs").mapInArrow(_products(k, metric, exclude_same_id), "query long, id long, distance double")
     return _ranked(pairs, k)
 
 
-def nearest_approximately(queries: DataFrame, terms: DataFrame, k: int = NEAREST, bucket: float = 1.0, tables: int = 12, within: float = 1.4) -> DataFrame:
+def nearest_approximately(queries: DataFrame, terms: DataFrame, k: int = NEAREST, bucket: float | None = None, tables: int = 12, exclude_same_id: bool = False) -> DataFrame:
     """query, id, distance, rank of near terms by random projections (squared L2); some neighbours may be missed.
 
-    Only terms closer than `within` (L2) that share a bucket with the query are seen.
+    Only terms that share a bucket with the query are seen. A bucket is as wide as the terms' typical length, if not
+    given: a projection of that width keeps near vectors of any scale together. A query that meets fewer than k terms in
+    its buckets is answered by nearest(). Of vectors only those of the terms' largest number of components take part.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    t = terms.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    q = queries.select("query", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(t)
-    met = model.approxSimilarityJoin(q, t, within, "d").select(F.col("datasetA.query").alias("query"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d")).alias("distance"))
-    return _ranked(met.where(F.col("query") != F.col("id")), k)
+    terms, queries = _fine(terms, "id"), _fine(queries, "query")
+    dim, length = terms.agg(F.max(F.size("vector")), F.avg(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
+    whole = F.size("vector") == (dim or 0)
+    sized = F.when(whole, F.transform("vector", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), dim or 1))  # the model may hash rows before they are left out
+    as_vector = array_to_vector(sized).alias("features")
+    t, q = terms.where(whole).select("id", as_vector), queries.where(whole).select("query", as_vector)
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket or length or 1.0, numHashTables=tables, seed=7).fit(t)
+    met = model.approxSimilarityJoin(q, t, float("inf"), "d").select(F.col("datasetA.query").alias("query"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d")).alias("distance"))
+    if exclude_same_id:
+        met = met.where(F.col("query") != F.col("id"))
+    near = _ranked(met, k)
+    served = near.where(F.col("rank") == k).select("query")
+    rest = nearest(queries.where(whole).join(served, "query", "left_anti"), terms.where(whole), k, exclude_same_id=exclude_same_id)
+    return near.join(served, "query", "left_semi").select("query", "id", "distance", "rank").unionByName(rest)
 
 
 def with_terms(hits: DataFrame, vocabulary: DataFrame) -> DataFrame:

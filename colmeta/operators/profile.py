@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colmeta.functions.predicates import is_date, is_number, stripped, type_label, valid_type
+from colmeta.functions.predicates import is_date, is_number, is_white, stripped, type_label, valid_type
 
 #: Columns of a metadata row after table_id and ordinal.
 FIELDS = ("name", "datatype", "element", "unit", "method", "description")
@@ -24,8 +25,16 @@ def cells(df: DataFrame, table_id: str, row_id: str | None = None) -> DataFrame:
 
 def _kind(value: Column) -> Column:
     """What a value is: n(umber), d(ate) or s(tring); null if blank or null. It is told once, below the aggregation."""
-    v = stripped(value)
-    return F.when(v == "", None).when(is_number(v), "n").when(is_date(v), "d").when(v.isNotNull(), "s")
+    return F.when(is_number(value), "n").when(is_white(value), None).when(is_date(stripped(value)), "d").when(value.isNotNull(), "s")
+
+
+def _typed_kind(value: Column, kind: T.DataType) -> Column | None:
+    """As _kind() where a column's type tells it, as of numbers and dates; None for columns that are to be read as text."""
+    if isinstance(kind, T.NumericType):
+        return F.when(value.isNotNull(), "n")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.when(value.isNotNull(), "d")
+    return None
 
 
 def _counts(kind: Column) -> tuple[Column, Column, Column]:
@@ -52,8 +61,17 @@ def profile_cells(long: DataFrame, sample_size: int | None = None) -> DataFrame:
 
 
 def profile(df: DataFrame, table_id: str) -> DataFrame:
-    """As profile_cells() for one table, exactly, in one aggregation: cells are never shuffled."""
-    kinds = df.select(*(_kind(F.col(f"`{c}`")).alias(f"kind_{i}") for i, c in enumerate(df.columns)))
+    """As profile_cells() for one table, exactly, in one aggregation: cells are never shuffled.
+
+    Columns of numbers are numeric and columns of dates or timestamps are dates by their type: their values are counted,
+    not read as text. nan and the infinities are numbers.
+    """
+    kinds = [_typed_kind(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    told = [i for i, k in enumerate(kinds) if k is None]
+    # one small expression over an array of the texts: written out for each column it would outgrow what the JVM compiles
+    texts = F.transform(F.array(*(F.col(f"`{df.columns[i]}`").cast("string") for i in told)), _kind).alias("texts")
+    kinds = df.select(*([texts] if told else []), *(k.alias(f"kind_{i}") for i, k in enumerate(kinds) if k is not None))
+    kinds = kinds.withColumns({f"kind_{i}": F.col("texts")[at] for at, i in enumerate(told)})
     sums = []
     for i, c in enumerate(df.columns):
         total, numbers, dates = _counts(F.col(f"kind_{i}"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colmeta.functions.vectors import blended, encoded, is_definition
 from colmeta.operators import answers, linking, match, merge, profile, select
-from colmeta.sources import export
+from colmeta.sources import export, store
 
 
 def table_metadata(df: DataFrame, table_id: str) -> DataFrame:
@@ -37,15 +37,17 @@ def imported(metadata: DataFrame, new: DataFrame) -> DataFrame:
     return profile.validated(merge.merged(metadata, new, "yes"))
 
 
-def described(metadata: DataFrame, contexts: DataFrame, cache: DataFrame, provider: Callable[[str, str], str]) -> tuple[DataFrame, DataFrame]:
+def described(metadata: DataFrame, contexts: DataFrame, cache: DataFrame, provider: Callable[[str, str], str], path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Metadata with descriptions from contexts (table_id, provider, context, variables), and the new cache.
 
-    Only requests that the cache doesn't hold reach the provider.
+    Only requests that the cache doesn't hold reach the provider, once for each cache_key, whoever asks. The calls are
+    made here and their answers written to path (a new folder of the shared one, if not given); both results read them.
     """
-    asked = answers.looked_up(answers.requests(contexts), cache)
-    fresh = answers.generated(asked.where("cached is null").drop("cached"), provider)
-    known = asked.where("cached is not null").withColumnRenamed("cached", "response")
-    got = answers.described(known.select("table_id", "response").unionByName(fresh.select("table_id", "response"))).where("not parse_error")
+    asked = answers.requests(contexts)
+    missing = answers.looked_up(answers.distinct_requests(asked), cache).where("cached is null").drop("cached")
+    fresh = store.written(answers.generated(missing, provider), path)
+    known = cache.select("cache_key", "response").unionByName(fresh.select("cache_key", "response"))
+    got = answers.described(asked.join(known, "cache_key").select("table_id", "response")).where("not parse_error")
     new = got.select("table_id", "name", "description", F.lit(0).alias("seq"))
     return merge.merged(metadata, new, "yes"), answers.upserted(cache, fresh)
 
@@ -61,10 +63,11 @@ def matched(metadata: DataFrame, vocabulary: DataFrame, encoder: Callable[[pd.Se
 
 
 def chosen(metadata: DataFrame, hits: DataFrame) -> DataFrame:
-    """Metadata with the terms of the selected hits written back. Where at least one hit is selected, headers without one get blanks."""
+    """Metadata with the terms of the selected hits written back. In tables with a selected hit, headers without one get blanks; other tables stay."""
     by = ("table_id", "header")
     summed = select.summary(hits, by)
-    headers = hits.groupBy(*by).agg(F.min("ordinal").alias("first_at"))
+    asked = hits.join(hits.where("selected").select("table_id").distinct(), "table_id", "left_semi")
+    headers = asked.groupBy(*by).agg(F.min("ordinal").alias("first_at"))
     return select.written_back(metadata, select.with_unmatched(summed, headers, by))
 
 

@@ -6,15 +6,16 @@ oracle: a catalogue's columns are the rows of part (a table for each brand), its
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmeta.functions import predicates, text, vectors
 from colmeta.operators import answers, linking, match, merge, profile, select
 from colmeta.plans import pipelines
-from colmeta.sources import context, export, metadata, tables
+from colmeta.sources import context, export, metadata, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,8 +104,8 @@ META = "table_id, ordinal, name, datatype, element, unit, method, description, e
 # -- profiles --
 
 _FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%m.%d.%Y", "%d.%m.%Y", "%d-%b-%Y", "%Y-%m", "%m-%Y", "%Y/%m", "%m/%Y", "%b-%Y", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f")
-_NUM = f"regexp_matches(replace(v, ',', '.'), '{predicates.NUMBER}')"
-_DATE = f"(regexp_matches(v, '{predicates.DATE_SHAPE}') and coalesce({', '.join(f'''try_strptime(v, '{f}')''' for f in _FORMATS)}) is not null)"
+_NUM = "(try_cast(replace(v, ',', '.') as double) is not null)"
+_DATE = f"(coalesce({', '.join(f'''try_strptime(v, '{f}')''' for f in _FORMATS)}) is not null)"
 _COLUMNS = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
@@ -316,22 +317,22 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @_query(_NEAR)
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(match.nearest_by_expression(_asked(spark, sf_dir), _terms(spark, sf_dir)))
+    return _rounded(match.nearest_by_expression(_asked(spark, sf_dir), _terms(spark, sf_dir), exclude_same_id=True))
 
 
 @_query(_NEAR)
 def knn_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(match.nearest(_asked(spark, sf_dir), _terms(spark, sf_dir)))
+    return _rounded(match.nearest(_asked(spark, sf_dir), _terms(spark, sf_dir), exclude_same_id=True))
 
 
 @_query(f"with {_nearest_sql('1 - list_cosine_similarity(q.embedding::double[], t.embedding::double[])')} select query, id, round(distance, 6) as distance, rank from near")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(match.nearest_by_expression(_asked(spark, sf_dir), _terms(spark, sf_dir), metric="cosine"))
+    return _rounded(match.nearest_by_expression(_asked(spark, sf_dir), _terms(spark, sf_dir), metric="cosine", exclude_same_id=True))
 
 
 @_query()
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(match.nearest_approximately(_asked(spark, sf_dir), _terms(spark, sf_dir)))
+    return _rounded(match.nearest_approximately(_asked(spark, sf_dir), _terms(spark, sf_dir), exclude_same_id=True))
 
 
 # -- matches --
@@ -341,7 +342,7 @@ KEPT = f"{HITS}, kept as (select *, concat('col_', query) as header, cast(query
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.with_terms(match.nearest(_asked(spark, sf_dir), _terms(spark, sf_dir)), _terms(spark, sf_dir))
+    return match.with_terms(match.nearest(_asked(spark, sf_dir), _terms(spark, sf_dir), exclude_same_id=True), _terms(spark, sf_dir))
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,6 +432,12 @@ def writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_csv_rows(pipelines.chosen(_own(spark, sf_dir), hits))
 
 
+@_query(f"with {_OWN} select table_id, ordinal, name, datatype, element, unit, method, description, '' as element_uri from own")
+def writeback_none_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _kept(spark, sf_dir).withColumns({"table_id": F.lit("vectors"), "selected": F.lit(False)})
+    return export.to_csv_rows(pipelines.chosen(_own(spark, sf_dir), hits))
+
+
 @_query(f"with {VOC} select label from voc where label is not null")
 def label_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.labels(_terms(spark, sf_dir))
@@ -517,6 +524,152 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.upserted(_cache(spark, sf_dir), fresh).select("cache_key", "context_excerpt", "response", "version")
 
 
+def _provider(name: str, prompt: str) -> str:
+    """A stand-in for a text provider: it tells the length of what it was asked."""
+    return f'Sure: {{"lang": "{name.strip()} read {len(prompt)} characters"}}'
+
+
+@_query(
+    f"with {_KEYED}, said as (select cache_key, min(concat('local read ', length(concat('{_ASK}', {_JOINED.format(chr(39) + ', ' + chr(39))}, '\nContext:\n', substring(text, 1, 30000))), ' characters')) as fresh from documents join keyed using (doc_id) group by 1) "
+    "select cast(doc_id as varchar) as table_id, coalesce(c.response, fresh) as description from keyed k join said using (cache_key) left join cache c using (cache_key)"
+)
+def describe_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a table's context; the cache holds the labelled ones' answers, others are asked for once a key."""
+    contexts = _contexts(spark, sf_dir).withColumn("table_id", F.col("table_id").cast("string"))
+    blank = F.lit("")
+    own = contexts.select("table_id", F.lit(0).alias("ordinal"), F.lit("lang").alias("name"), F.lit("string").alias("datatype"), *(blank.alias(c) for c in ("element", "unit", "method", "description")), F.lit(None).cast("map<string,string>").alias("element_uri"))
+    cache = _cache(spark, sf_dir).withColumn("response", F.to_json(F.struct(F.col("response").alias("lang"))))
+    return pipelines.described(own, contexts, cache, _provider)[0].select("table_id", "description")
+
+
+@_query(f"with {CAT}, {IMP}, {_LAST}, twins as (select table_id, ordinal * 2 + k as ordinal, name, datatype, element, unit, method, description, element_uri, k from cat cross join (select 0 as k union all select 1 union all select 2))"
+    " select c.table_id, ordinal, c.name, datatype, case when k = 0 then coalesce(e, element) else element end as element, case when k = 0 then coalesce(u, unit) else unit end as unit, method, case when k = 0 then coalesce(d, description) else description end as description, element_uri from twins c left join last using (table_id, name)")
+def merge_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column stands three times in its table: an import changes the first only."""
+    twins = _catalogue(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("ordinal", F.col("ordinal") * 2 + F.col("k")).drop("k")
+    return export.to_csv_rows(merge.merged(twins, _derived(spark, sf_dir, IMPORT), "yes"))
+
+
+# -- files, written to the shared folder and read back --
+
+DELIMITED = '''
+select cast(right(p_brand, 1) as int) as file, p_partkey as line_no, case cast(right(p_brand, 1) as int) % 5
+    when 0 then concat(p_name, ',"', p_type, ';x",', p_size)
+    when 1 then concat(p_name, ';', p_type, ';', p_size, ';"a,b"')
+    when 2 then concat(p_name, '|NA|1,5|', p_size)
+    when 3 then concat(p_name, chr(9), '"say ""', p_type, '"""', chr(9), p_size)
+    else p_name end as value from {part}
+union all
+select distinct cast(right(p_brand, 1) as int), cast(-1 as bigint), case cast(right(p_brand, 1) as int) % 5
+    when 0 then 'name,kind,size' when 1 then 'name;kind;size;name' when 2 then 'name|kind||size' when 3 then concat('name', chr(9), 'kind', chr(9), 'size') else 'name' end from {part}'''
+_CELL = """select file, {0} as ordinal, '{1}' as name, {2} as value from p where file % 5 {3}"""
+
+
+@_query(
+    "with p as (select cast(right(p_brand, 1) as int) as file, * from part) " + " union all ".join(
+        _CELL.format(*x)
+        for x in (
+            (0, "name", "p_name", "< 5"),
+            (1, "kind", "concat(p_type, ';x')", "= 0"), (2, "size", "p_size::varchar", "= 0"),
+            (1, "kind", "p_type", "= 1"), (2, "size", "p_size::varchar", "= 1"), (3, "name.1", "'a,b'", "= 1"),
+            (1, "kind", "null", "= 2"), (2, "Unnamed: 2", "'1,5'", "= 2"), (3, "size", "p_size::varchar", "= 2"),
+            (1, "kind", "concat('say \"', p_type, '\"')", "= 3"), (2, "size", "p_size::varchar", "= 3"),
+        )
+    )
+)
+def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five forms, written and read back as cells in one go."""
+    path = store.new_path(spark)
+    lines = _derived(spark, sf_dir, DELIMITED)
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(path)
+    cells = tables.read_many(spark, path)
+    return cells.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("int").alias("file"), "ordinal", "name", "value")
+
+
+def _workbook(rows: list[tuple]) -> bytes:
+    """A small workbook of one sheet: text, number, date (serial 43831 on) and boolean columns under a header."""
+    import io
+    import zipfile
+
+    space, out = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", io.BytesIO()
+    head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABCD", ("name", "number", "day", "even"), strict=True))
+    body = "".join(f'<row r="{i}"><c r="A{i}" t="inlineStr"><is><t>{n}</t></is></c><c r="B{i}"><v>{k}</v></c><c r="C{i}" s="1"><v>{43831 + k % 365}</v></c><c r="D{i}" t="b"><v>{1 - k % 2}</v></c></row>' for i, (k, n) in enumerate(rows, 2))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{space}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData><row r="1">{head}</row>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+@_query(
+    """with k as (select *, cast(c_custkey // 100 as varchar) as file, cast(row_number() over (partition by c_custkey // 100 order by c_custkey) - 1 as int) as row_id from customer)
+select file, row_id, 0 as ordinal, 'name' as name, c_name as value from k union all select file, row_id, 1, 'number', c_custkey::varchar from k
+union all select file, row_id, 2, 'day', strftime(date '2020-01-01' + (c_custkey % 365)::int, '%Y-%m-%d') from k union all select file, row_id, 3, 'even', case when c_custkey % 2 = 0 then 'True' else 'False' end from k"""
+)
+def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of a hundred customers each, made and read back: dates and booleans keep their kind."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "content": [_workbook([(int(r["k"]), r["n"]) for r in rows]) for rows in b["rows"]]})
+
+    books = _table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 100).cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("n")))).alias("rows"))
+    return tables.with_header(tables.sheet_cells(books.mapInPandas(made, "path string, content binary"))).drop("sheet")
+
+
+@_query(f"with {CAT} select table_id, name, datatype, nullif(element, '') as element, unit, nullif(description, '') as description, element_uri from cat")
+def metadata_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's CSV export, imported again; blanks come back as missing values."""
+    path = store.new_path(spark)
+    export.write_csv(_catalogue(spark, sf_dir), path)
+    return export.to_csv_rows(metadata.read_metadata_csv(spark, path)).select("table_id", "name", "datatype", "element", "unit", "description", "element_uri")
+
+
+@_query(f"with {_KEYED} select cache_key, response, 3 as version from cache")
+def cache_store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark)
+    answers.store_cache(_cache(spark, sf_dir), path)
+    return answers.read_cache(spark, path).select("cache_key", "response", "version")
+
+
+@_query("select item_id::varchar as name, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from benchmark")
+def context_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word processor's file of each benchmark item, made and read back."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        for b in batches:
+            files = []
+            for text in b["text"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>{escape(text)}</w:t></w:r></w:p></w:document>')
+                files.append(out.getvalue())
+            yield pd.DataFrame({"path": b["path"], "content": files})
+
+    files = _table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".docx")).alias("path"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return context.document_texts(files.mapInPandas(made, "path string, content binary")).withColumn("name", F.regexp_replace("name", r"\.docx$", ""))
+
+
+@_query(f"with {CAT}, {IMP}, {_LAST} select table_id, ordinal, name, case when datatype in ('numeric', 'date') then datatype else 'string' end as datatype, element, unit, method, description, element_uri from ({_YES})")
+def import_and_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.to_csv_rows(pipelines.imported(_catalogue(spark, sf_dir), _derived(spark, sf_dir, IMPORT)))
+
+
+@_query(f"with {CAT} select table_id, name, coalesce(unit, '') as unit, coalesce(description, '') as description, ordinal from cat")
+def export_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue through the TableSchema export and back."""
+    own = _catalogue(spark, sf_dir)
+    back = metadata.from_json(pipelines.exported(own, "tableschema"))
+    return back.join(own.select("table_id", "name", "ordinal"), ["table_id", "name"]).select("table_id", "name", "unit", "description", "ordinal")
+
+
+# -- answers of providers --
+
 _OBJECT = """concat('{"variable_', conv_id, '":"turn ', turn, ' of ', role, '"}')"""
 _ANSWER = f"""case turn % 5 when 0 then {_OBJECT} when 1 then concat('```json', chr(10), {_OBJECT}, chr(10), '```') when 2 then concat('Here it is: ', {_OBJECT}, ' as asked.') when 3 then 'I cannot say.' else '{{"variable": ' end"""
 
@@ -533,7 +686,7 @@ def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", F.md5("context").alias("context_md5"))
 
 
-@_query("select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) as text_md5 from pages")
+@_query("select page_id, md5(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', chr(10), 'g'), '(?s)<style.*?</style>', chr(10), 'g'), '<[^>]*>', chr(9), 'g'), '[^ \\t\\n\\r\\f\\v]+'), ' ')) as text_md5 from pages")
 def context_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.page_texts(_table(spark, sf_dir, "pages")).select("page_id", F.md5("text").alias("text_md5"))
 
@@ -543,8 +696,8 @@ def hash_encode_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents matched with the benchmark's items as terms, by the stand-in encoder."""
     encoder = vectors.hashing_encoder()
     terms = vectors.encoded(_table(spark, sf_dir, "benchmark"), "text", encoder).select(F.col("item_id").alias("id"), F.col("embedding").alias("vector"))
-    docs = vectors.encoded(_table(spark, sf_dir, "documents"), "text", encoder).select((-1 - F.col("doc_id")).alias("query"), F.col("embedding").alias("vector"))
-    return _rounded(match.nearest(docs, terms)).withColumn("query", -1 - F.col("query")).withColumnRenamed("query", "doc_id")
+    docs = vectors.encoded(_table(spark, sf_dir, "documents"), "text", encoder).select(F.col("doc_id").alias("query"), F.col("embedding").alias("vector"))
+    return _rounded(match.nearest(docs, terms)).withColumnRenamed("query", "doc_id")
 
 
 @_query("""select page_id, concat('<a href="', url, '" target="_blank">', url, '</a>, <a href="http://vocab.example/', page_id, '" target="_blank">http://vocab.example/', page_id, '</a>') as links from pages""")

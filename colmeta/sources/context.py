@@ -27,8 +27,8 @@ def docx_text(content: bytes) -> str:
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".txt": lambda c: c.decode("utf-8", "replace")}
 
 
-def read_documents(spark: SparkSession, paths: str | list[str], extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """name, text of context files; a suffix without extractor gives the empty text."""
+def document_texts(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """name, text of files (path, content); a suffix without extractor gives the empty text."""
     by_suffix = EXTRACTORS | (extractors or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +36,12 @@ def read_documents(spark: SparkSession, paths: str | list[str], extractors: dict
             found = [next((f for s, f in by_suffix.items() if p.lower().endswith(s)), None) for p in b["path"]]
             yield pd.DataFrame({"name": b["path"], "text": [f(c) if f else "" for f, c in zip(found, b["content"], strict=True)]})
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "name string, text string")
+    return files.select("path", "content").mapInPandas(run, "name string, text string")
+
+
+def read_documents(spark: SparkSession, paths: str | list[str], extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """Texts of context files, as document_texts() gives them."""
+    return document_texts(spark.read.format("binaryFile").load(paths), extractors)
 
 
 def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -56,12 +56,15 @@ def rejected(documents: DataFrame, keys: tuple[str, ...] = ("table_id",)) -> Dat
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata rows of a delimited file, which needs a column `name`; then header names are made lower case."""
+    """Metadata rows of a delimited file, which needs a column `name`; then header names are made lower case.
+
+    A column table_id stays, if there is one.
+    """
     df = read_delimited(spark, path)
     if "name" not in df.columns:
         raise ValueError(f"{path} has no column name")
     df = df.toDF(*(c.lower() for c in df.columns)).withColumn("seq", F.monotonically_increasing_id())
-    known = [c for c in IMPORT if c in df.columns]
+    known = [c for c in ("table_id", *IMPORT) if c in df.columns]
     df = df.select(*known)
     if "element_uri" in known:
         df = df.withColumn("element_uri", _uris(F.coalesce(F.col("element") if "element" in known else F.lit(None), F.lit("")), F.array("element_uri")))
@@ -77,6 +80,30 @@ def read_metadata(spark: SparkSession, path: str, table_id: str) -> DataFrame:
     raise ValueError(f"{path} is neither .csv nor .json")
 
 
+def read_metadata_files(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Metadata rows of many files (table_id to path), and a row for each that can't be imported: table_id, path, _error.
+
+    A file that is no metadata stops only its own import.
+    """
+    found, failed = None, []
+    fields = [c for c in IMPORT if c != "element_uri"]
+    for table_id, path in sorted(files.items()):
+        try:
+            df = read_metadata(spark, path, table_id)
+        except (ValueError, IndexError) as e:
+            failed.append((table_id, path, str(e) or "no lines"))
+            continue
+        if path.lower().endswith(".json"):
+            document = spark.read.text(path, wholetext=True).select(F.lit(table_id).alias("table_id"), F.col("value").alias("json"))
+            failed += [(table_id, path, r["_error"]) for r in rejected(document).collect()]
+        uri = F.col("element_uri") if "element_uri" in df.columns else F.lit(None).cast("map<string,string>")
+        df = df.select("table_id", *(F.col(c) if c in df.columns else F.lit(None).cast("long" if c == "seq" else "string").alias(c) for c in fields), uri.alias("element_uri"))
+        found = df if found is None else found.unionByName(df)
+    errors = spark.createDataFrame(failed, "table_id string, path string, _error string")
+    empty = spark.createDataFrame([], "table_id string, " + ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in fields) + ", element_uri map<string,string>")
+    return (empty if found is None else found), errors
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Terms: id, uri, label, definition, qc_label, embedding."""
     return spark.read.parquet(path)

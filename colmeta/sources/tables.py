@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colmeta.functions.predicates import without_na
@@ -38,12 +41,6 @@ def sniffed(lines: DataFrame) -> DataFrame:
     return out.select("file", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), F.col("delimiter").isNotNull().alias("found"))
 
 
-def charsets(spark: SparkSession, paths: list[str], fallback: str = "windows-1252") -> DataFrame:
-    """file, encoding: UTF-8 where the bytes are valid, else the fallback."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("file"), F.when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise(fallback).alias("encoding"))
-
-
 def unique_names(names: list[str]) -> list[str]:
     """Names made unique: repeats get .1, .2 and so on."""
     out: list[str] = []
@@ -56,23 +53,83 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """One delimited file as text columns: header on line 1, repeated names made unique, words for missing values null.
+def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of text files as they are stored: file, at (a line's place in its file, growing), value. Large files are split."""
+    mid = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + mid).alias("at"), "value")
+
+
+def inspected(lines: DataFrame, fallback: str = "windows-1252") -> DataFrame:
+    """What files (file, at, value) need to be read: file, encoding, delimiter, found, multiline, head (bytes of the first line).
 
-    Without delimiter or encoding they are told from the file.
+    encoding is UTF-8 where every line is valid, else the fallback; multiline says that a quoted text holds a line end.
+    The counts of lines are mergeable: no task sees a whole file.
     """
-    if encoding is None:
-        encoding = charsets(spark, [path]).first()["encoding"]
-    if delimiter is None:
-        delimiter = sniffed(spark.read.text(path).select(F.lit(path).alias("file"), "value")).first()["delimiter"]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = lines.groupBy("file").agg(
+        F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise(fallback).alias("encoding"),
+        F.bool_or(quotes % 2 == 1).alias("multiline"),
+        F.min_by(F.col("value").cast("binary"), "at").alias("head"),
+    )
+    return whole.join(sniffed(lines.withColumn("value", F.make_valid_utf8("value"))), "file")
+
+
+def _reader(spark: SparkSession, delimiter: str, encoding: str, multiline: bool) -> DataFrameReader:
     windows = encoding == "windows-1252"
-    read = spark.read.option("sep", delimiter).option("encoding", "ISO-8859-1" if windows else encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
-    names = read.option("header", False).csv(path).limit(1).first()
-    rows = read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(path)
-    if windows:
+    read = spark.read.option("sep", delimiter).option("encoding", "ISO-8859-1" if windows else encoding)
+    return read.option("quote", '"').option("escape", '"').option("multiLine", multiline).option("recursiveFileLookup", True)
+
+
+def _header(read: DataFrameReader, info: Row) -> list[str]:
+    """Names of a file's columns."""
+    if info["multiline"]:
+        names = [x or "" for x in read.option("header", False).csv(unquote(info["file"])).limit(1).first()]
+        names = [x.translate(str.maketrans(_CONTROL, _WINDOWS)) for x in names] if info["encoding"] == "windows-1252" else names
+    else:
+        text = bytes(info["head"]).decode("cp1252" if info["encoding"] == "windows-1252" else info["encoding"], "replace")
+        names = next(csv.reader([text.removeprefix("\ufeff").rstrip("\r")], delimiter=info["delimiter"]), [])
+    return unique_names([x or f"Unnamed: {i}" for i, x in enumerate(names)])
+
+
+def read_many(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Cells of many delimited files (or folders of them): file, ordinal, name, row_id, value, as cells() has them of tables.
+
+    Delimiter and charset are told from each file's lines; then files of one kind are read together. A file is read in
+    splits, unless a quoted text of its kind holds a line end. row_id grows with a line's place in its file. Words for
+    missing values are null, repeated names are made unique. The driver sees one row for each file, never its cells.
+    """
+    kinds: dict[tuple, list[tuple[str, list[str]]]] = {}
+    for info in inspected(file_lines(spark, paths)).collect():
+        kind = (info["delimiter"], info["encoding"], info["multiline"])
+        kinds.setdefault(kind, []).append((info["file"], _header(_reader(spark, *kind), info)))
+    out = spark.createDataFrame([], "file string, ordinal int, name string, row_id long, value string")
+    for kind, files in sorted(kinds.items()):
+        width = max(len(names) for _, names in files)
+        read = _reader(spark, *kind).option("header", True).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(width)))
+        mid = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = read.csv([unquote(f) for f, _ in files]).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + mid).alias("row_id"), F.array(*(f"c{i}" for i in range(width))).alias("values"))
+        named = rows.join(spark.createDataFrame(files, "file string, names array<string>"), "file")
+        cells = named.select("file", "row_id", F.posexplode(F.arrays_zip("names", F.slice("values", F.lit(1), F.size("names")).alias("values"))).alias("ordinal", "c"))
+        value = F.translate("c.values", _CONTROL, _WINDOWS) if kind[1] == "windows-1252" else F.col("c.values")
+        out = out.unionByName(cells.select("file", "ordinal", F.col("c.names").alias("name"), "row_id", without_na(value).alias("value")))
+    return out
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """One delimited file, or a folder of parts with one header, as a wide table of text columns.
+
+    Header on line 1, repeated names made unique, words for missing values null. Without delimiter or encoding they are
+    told from the file. Many files: read_many().
+    """
+    infos = inspected(file_lines(spark, path)).orderBy("file").collect()
+    info = Row(**(infos[0].asDict() | {"multiline": any(i["multiline"] for i in infos), "encoding": encoding or max(i["encoding"] for i in infos)}))
+    info = Row(**(info.asDict() | {"delimiter": delimiter or info["delimiter"]}))
+    read = _reader(spark, info["delimiter"], info["encoding"], info["multiline"])
+    names = _header(read, info)
+    rows = read.option("header", True).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(path)
+    if info["encoding"] == "windows-1252":
         rows = rows.select(*(F.translate(c, _CONTROL, _WINDOWS).alias(c) for c in rows.columns))
-        names = [x and x.translate(str.maketrans(_CONTROL, _WINDOWS)) for x in names]
-    return rows.select(*(without_na(F.col(f"c{i}")).alias(n) for i, n in enumerate(unique_names([x or f"Unnamed: {i}" for i, x in enumerate(names)]))))
+    return rows.select(*(without_na(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)))
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -84,34 +141,70 @@ _XLSX = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+#: Number formats of workbooks that are dates or times.
+DATE_FORMAT_IDS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "") for f in root.iter(f"{_XLSX}numFmt")}
+    dates = DATE_FORMAT_IDS | {i for i, code in own.items() if re.search(r"[dmyhs]", code, re.I)}
+    formats = root.find(f"{_XLSX}cellXfs")
+    return {i for i, x in enumerate(formats) if int(x.get("numFmtId") or 0) in dates} if formats is not None else set()
+
+
+def _as_date(serial: str, start: datetime) -> str:
+    """A date serial as text; the time of day only where there is one."""
+    seconds = round(float(serial) * 86400)
+    at = start + timedelta(seconds=seconds)
+    return at.strftime("%Y-%m-%d") if seconds % 86400 == 0 else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def _sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """Sheet name, row, column and text of the cells of a workbook."""
+    """Sheet name, row, column and text of the cells of a workbook: dates as ISO text, booleans as True or False."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_XLSX}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_XLSX}si")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_XLSX}sheet"):
+        dates, book = _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        since_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_XLSX}workbookPr"))
+        start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
+        for sheet in book.iter(f"{_XLSX}sheet"):
             target = targets[sheet.get(_RELATION)].lstrip("/")
             for c in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_XLSX}c"):
                 letters, number = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
                 col = 0
                 for x in letters:
                     col = 26 * col + ord(x) - 64
-                value = c.find(f"{_XLSX}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_XLSX}t")) if c.get("t") == "inlineStr" else "" if value is None else value.text or ""
-                yield sheet.get("name"), int(number) - 1, col - 1, shared[int(text)] if c.get("t") == "s" and text else text
+                kind, value = c.get("t"), c.find(f"{_XLSX}v")
+                text = "".join(t.text or "" for t in c.iter(f"{_XLSX}t")) if kind == "inlineStr" else "" if value is None else value.text or ""
+                if text and kind == "s":
+                    text = shared[int(text)]
+                elif text and kind == "b":
+                    text = "True" if text == "1" else "False"
+                elif text and kind in (None, "n") and int(c.get("s") or 0) in dates:
+                    text = _as_date(text, start)
+                yield sheet.get("name"), int(number) - 1, col - 1, text
 
 
-def read_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cells of workbooks in long form: file, sheet, row, col, value."""
+def sheet_cells(files: DataFrame) -> DataFrame:
+    """Cells of workbooks (path, content) in long form: file, sheet, row, col, value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 yield pd.DataFrame([(path, *c) for c in _sheet_cells(content)], columns=["file", "sheet", "row", "col", "value"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, sheet string, row int, col int, value string")
+    return files.select("path", "content").mapInPandas(run, "file string, sheet string, row int, col int, value string")
+
+
+def read_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Cells of workbook files, as sheet_cells() gives them."""
+    return sheet_cells(spark.read.format("binaryFile").load(paths))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
@@ -123,17 +216,28 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return width.select("file", "sheet").join(found, ["file", "sheet"], "left").fillna(0, ["header_row"])
 
 
-def with_header(cells: DataFrame) -> DataFrame:
-    """Data cells below the header row, with names: file, sheet, row_id, ordinal, name, value. A blank header is col_<ordinal>."""
-    at = cells.join(header_rows(cells), ["file", "sheet"])
+def headers(cells: DataFrame) -> DataFrame:
+    """file, sheet, ordinal, name of each column with a cell in the header row or below. A blank header is col_<ordinal>."""
+    at = cells.join(header_rows(cells), ["file", "sheet"]).where("row >= header_row")
     trimmed = F.trim("value")
-    names = at.where("row = header_row").select("file", "sheet", "col", F.when(trimmed != "", trimmed).alias("header"))
-    data = at.where("row > header_row").join(names, ["file", "sheet", "col"], "left")
-    return data.select("file", "sheet", (F.col("row") - F.col("header_row") - 1).alias("row_id"), F.col("col").alias("ordinal"), F.coalesce("header", F.concat(F.lit("col_"), F.col("col").cast("string"))).alias("name"), "value")
+    names = at.groupBy("file", "sheet", F.col("col").alias("ordinal")).agg(F.max(F.when((F.col("row") == F.col("header_row")) & (trimmed != ""), trimmed)).alias("header"))
+    return names.select("file", "sheet", "ordinal", F.coalesce("header", F.concat(F.lit("col_"), F.col("ordinal").cast("string"))).alias("name"))
+
+
+def with_header(cells: DataFrame) -> DataFrame:
+    """Data cells below the header row, with names: file, sheet, row_id, ordinal, name, value."""
+    at = cells.join(header_rows(cells), ["file", "sheet"]).where("row > header_row")
+    data = at.select("file", "sheet", (F.col("row") - F.col("header_row") - 1).alias("row_id"), F.col("col").alias("ordinal"), "value")
+    return data.join(headers(cells), ["file", "sheet", "ordinal"]).select("file", "sheet", "row_id", "ordinal", "name", "value")
+
+
+def as_table(named: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """One sheet's named cells as a wide table. columns (ordinal, name): its headers, for columns without any cell."""
+    found = (columns if columns is not None else named).select("ordinal", "name").distinct().orderBy("ordinal").collect()
+    wide = named.groupBy("row_id").pivot("ordinal", [r["ordinal"] for r in found]).agg(F.first("value")).orderBy("row_id")
+    return wide.select(*(F.col(str(r["ordinal"])).alias(n) for r, n in zip(found, unique_names([r["name"] for r in found]), strict=True)))
 
 
-def as_table(named: DataFrame) -> DataFrame:
-    """One sheet's named cells as a wide table."""
-    names = [r[0] for r in named.select("ordinal", "name").distinct().orderBy("ordinal").select("name").collect()]
-    wide = named.groupBy("row_id").pivot("ordinal", list(range(len(names)))).agg(F.first("value")).orderBy("row_id")
-    return wide.select(*(F.col(str(i)).alias(n) for i, n in enumerate(unique_names(names))))
+def sheet_table(cells: DataFrame) -> DataFrame:
+    """One sheet's cells as a wide table, with every column that has a header or a cell."""
+    return as_table(with_header(cells), headers(cells))

@@ -65,3 +65,9 @@ def test_plans(spark, sf_dir):
         assert "Python" not in plan(name) or name == "term_summary"
         assert "Cartesian" not in plan(name)
     assert "Exchange hashpartitioning" not in plan("type_profile_orders")
+    typed = QUERIES["type_profile_orders"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    texts = typed.split("transform(")[1].split("lambdafunction")[0]
+    assert "o_orderstatus" in texts
+    assert "o_orderpriority" in texts
+    assert "o_totalprice" not in texts
+    assert "o_orderdate" not in texts

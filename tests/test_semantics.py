@@ -225,7 +225,7 @@ def test_export_and_back(spark):
 
 def test_metadata_files(spark, tmp_path):
     cur = spark.createDataFrame([("t", 0, "a", "numeric", "E", "m", "", "d", {"E": "http://e"})], META)
-    export.write_csv(cur, str(tmp_path / "csv"))
+    export.write_csv(cur.coalesce(1), str(tmp_path / "csv"))
     part = next((tmp_path / "csv").glob("*.csv"))
     got = metadata.read_metadata(spark, str(part), "t").first()
     assert (got["name"], got["element"], got["element_uri"]) == ("a", "E", {"E": "http://e"})
@@ -262,3 +262,120 @@ def test_streamed_counts_add_up(spark, tmp_path):
     stream.start_counts(source, "t", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = stream.total_profile(spark.read.parquet(str(tmp_path / "out")))
     assert _rows(got, "name", "n_values", "datatype") == [("d", 100, "date"), ("n", 100, "numeric")]
+
+
+def test_a_column_without_cells_keeps_its_place(spark):
+    cells = [("f", "s", 0, c, v) for c, v in enumerate("abc")] + [("f", "s", 1, 0, "1"), ("f", "s", 1, 2, "3"), ("f", "s", 2, 3, "x")]
+    df = spark.createDataFrame(cells, "file string, sheet string, row int, col int, value string")
+    wide = tables.sheet_table(df)
+    assert wide.columns == ["a", "b", "c", "col_3"]
+    assert _rows(wide, *wide.columns) == sorted([("1", None, "3", None), (None, None, None, "x")], key=str)
+    bare = tables.as_table(tables.with_header(df))
+    assert _rows(bare, "a", "c") == sorted([("1", "3"), (None, None)], key=str)
+
+
+def test_nothing_selected_changes_nothing(spark):
+    hits = spark.createDataFrame([("t", "a", 0, "l1", "u1", False), ("s", "a", 0, "l1", "u1", True), ("s", "b", 1, "l2", "u2", False)], "table_id string, header string, ordinal int, label string, uri string, selected boolean")
+    cur = _meta(spark, [("a", "old", "", ""), ("b", "old", "", "")])
+    both = cur.unionByName(cur.withColumn("table_id", F.lit("s")))
+    assert _rows(pipelines.chosen(both, hits), "table_id", "name", "element") == [("s", "a", "l1"), ("s", "b", ""), ("t", "a", "old"), ("t", "b", "old")]
+
+
+def test_nearest_of_odd_vectors(spark):
+    terms = spark.createDataFrame([(1, [0.0, 1.0]), (2, [5.0, 5.0]), (3, None), (4, [None, 1.0]), (5, [1.0]), (6, []), (7, [float("nan"), 0.0]), (None, [0.0, 1.0])], "id long, vector array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (8, None), (9, [1.0, 2.0, 3.0]), (10, [2.0])], "query long, vector array<float>")
+    for f in (match.nearest_by_expression, match.nearest):
+        assert _rows(f(asked, terms), "query", "id", "distance") == [(1, 1, 0.0), (1, 2, 41.0), (10, 5, 1.0)]
+        assert _rows(f(asked, terms, exclude_same_id=True), "query", "id") == [(1, 2), (10, 5)]
+        assert f(asked.where("false"), terms).count() == f(asked, terms.where("false")).count() == 0
+    assert _rows(match.nearest_approximately(asked, terms), "query", "id") == [(1, 1), (1, 2)]
+
+
+def test_approximate_neighbours_at_any_scale(spark):
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(0, 1, (400, 16))
+    for scale in (0.001, 1000.0):
+        terms = spark.createDataFrame([(i, [float(v) for v in r * scale]) for i, r in enumerate(x)], "id long, vector array<double>")
+        asked = terms.where("id % 20 = 0").withColumnRenamed("id", "query")
+        exact, near = ({(r.query, r.id) for r in f(asked, terms, exclude_same_id=True).collect()} for f in (match.nearest, match.nearest_approximately))
+        assert len(exact) == len(near) == 80
+        assert len(exact & near) >= 72
+
+
+def test_one_call_for_each_distinct_request(spark, tmp_path):
+    ctx = spark.createDataFrame([("t", "p", "same", ["a"]), ("s", "p", "same", ["a"]), ("u", None, None, ["a"]), ("v", None, None, ["a"]), ("w", "p", "known", ["a"])], "table_id string, provider string, context string, variables array<string>").repartition(3)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def provider(name, prompt):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(prompt)
+        return '{"a": "%s"}' % uuid.uuid4().hex
+
+    cache = answers.upserted(spark.createDataFrame([], answers.CACHE), answers.requests(ctx.where("context = 'known'")).withColumn("response", F.lit('{"a": "from the cache"}')))
+    cur = spark.createDataFrame([(t, 0, "a", "string", "", "", "", "", None) for t in "tsuvw"], META)
+    done, new = pipelines.described(cur, ctx, cache, provider)
+    first, second = _rows(done, "table_id", "description"), _rows(done, "table_id", "description")
+    kept = _rows(new, "cache_key", "response", "version")
+    got = dict(first)
+    assert first == second
+    assert len(list(calls.iterdir())) == 2
+    assert got["t"] == got["s"] != got["u"] == got["v"]
+    assert got["w"] == "from the cache"
+    assert {got[x] for x in "tuw"} == {r[1].split('"')[3] for r in kept}
+
+
+def test_many_files(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes('name;Größe;name\r\n"x;y";1,5;NA\r\nz;;3\r\n'.encode("cp1252"))
+    (tmp_path / "b.csv").write_text('k,t\n1,"two\nlines"\n2,"a ""b"""\n')
+    (tmp_path / "c.txt").write_text("only\n1\n2\n")
+    (tmp_path / "d.csv").write_text("\ufeffk,t\n9,ü\n")
+    got = [(r.file.rsplit("/", 1)[1].replace("%20", " "), r.ordinal, r.name, r.value) for r in tables.read_many(spark, [str(p) for p in tmp_path.iterdir()]).orderBy("file", "row_id", "ordinal").collect()]
+    want = [("a b.csv", i, n, v) for row in (("x;y", "1,5", None), ("z", None, "3")) for i, (n, v) in enumerate(zip(("name", "Größe", "name.1"), row, strict=True))]
+    want += [("b.csv", 0, "k", "1"), ("b.csv", 1, "t", "two\nlines"), ("b.csv", 0, "k", "2"), ("b.csv", 1, "t", 'a "b"'), ("c.txt", 0, "only", "1"), ("c.txt", 0, "only", "2"), ("d.csv", 0, "k", "9"), ("d.csv", 1, "t", "ü")]
+    assert got == want
+
+
+def test_files_are_split_and_rows_stay_in_order(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("k,v\n" + "".join(f"{i},x{i}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        cells = tables.read_many(spark, str(tmp_path / "big.csv"))
+        assert cells.rdd.getNumPartitions() > 4
+        assert [r.value for r in cells.where("ordinal = 0").orderBy("row_id").collect()] == [str(i) for i in range(20000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_dates_of_workbooks():
+    from datetime import datetime
+
+    assert tables._as_date("43831", datetime(1899, 12, 30)) == "2020-01-01"
+    assert tables._as_date("43831.5", datetime(1899, 12, 30)) == "2020-01-01 12:00:00"
+    assert tables._as_date("42369", datetime(1904, 1, 1)) == "2020-01-01"
+
+
+def test_bad_metadata_files_stop_only_themselves(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,unit\nx,m\n")
+    (tmp_path / "b.csv").write_text("Name,unit\nx,m\n")
+    (tmp_path / "c.json").write_text('{"other": 1}')
+    (tmp_path / "d.json").write_text('{"fields": [{"name": "y"}]}')
+    (tmp_path / "f.csv").write_text("")
+    rows, errors = metadata.read_metadata_files(spark, {n: str(tmp_path / n) for n in ("a.csv", "b.csv", "c.json", "d.json", "e.xls", "f.csv") if n == "e.xls" or (tmp_path / n).exists()})
+    assert _rows(rows, "table_id", "name", "unit") == [("a.csv", "x", "m"), ("d.json", "y", "")]
+    assert [r[0] for r in _rows(errors, "table_id")] == ["b.csv", "c.json", "e.xls", "f.csv"]
+
+
+def test_typed_columns_are_not_read_as_text(spark):
+    df = spark.sql("select cast(1 as int) as i, cast('nan' as double) as x, date '2020-01-01' as d, timestamp '2020-01-01 00:00:00' as t, true as b, cast(null as bigint) as z, ' 1,5 ' as s, ' ' as w")
+    got = profile.profile(df, "t")
+    assert {r.name: (r.n_values, r.datatype) for r in got.collect()} == {"i": (1, "numeric"), "x": (1, "numeric"), "d": (1, "date"), "t": (1, "date"), "b": (1, "string"), "z": (0, "string"), "s": (1, "numeric"), "w": (0, "string")}
+    plan = profile.profile(df.select("i", "x", "d", "t", "z"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_scripts_end_at_their_own_tag(spark):
+    df = spark.createDataFrame([("a<script>x</style>y</script>b<STYLE>p</STYLE >c",)], "h string")
+    assert df.select(text.plain_html(F.col("h"))).first()[0] == "a b c"

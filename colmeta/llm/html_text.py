@@ -5,28 +5,32 @@ of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh
 that holds the article, lines in it weigh a surge more, and those outside nothing, unless the windows find several times
 as much text outside: then the name is a teaser's, and all lines count. Sums of weights over a sliding window surge where
 text begins and dive where it ends. What lies between the first surge and the last dive is kept, but for its weightless lines, and so are
-the heading and short lines that lead to the first surge. A page without a surge is short: all that weighs is its text.
+the heading and short lines that lead to the first surge. A page without a surge is short: all that weighs is its text,
+however short. A page takes time in proportion to its length, whatever its markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; weight at which a window surges; least weight of the fullest window of a page that is all short.
-WINDOW, SURGE, LEAST = 3, 80, 10
+#: Lines of a window; weight at which a window surges.
+WINDOW, SURGE = 3, 80
 #: A name that leaves out this many times the text it holds is no article's name.
 OUTWEIGHS = 4
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>"[^"]*"|'[^']*'|[^'">])*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: A tag whose quoted values may hold a >, looked for in so many characters; else it ends at the first >.
+_QUOTED, QUOTED_MOST = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+)>""", re.S), 4096
+_PLAIN, _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"), re.compile(r"</?[a-zA-Z]")
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is no text, blocks, elements that are no article.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "object", "math", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "object", "annotation", "annotation-xml", "canvas", "audio", "video"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "button", "select", "fieldset", "label", "input"}
@@ -90,6 +94,25 @@ def _kind(tag: str, attributes: str, inside: bool, by_name: int = NAMES) -> str:
     return named
 
 
+def _next_tag(page: str, pos: int) -> tuple[int, int, bool, str, str] | None:
+    """Start, end, whether it closes, name and attributes of the next tag; comments and a tag that the page's end cuts off have no name."""
+    while (at := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, end + 3 if end >= 0 else len(page), False, "", ""
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            return at, end + 1 if end >= 0 else len(page), False, "", ""
+        if m := _QUOTED.match(page, at, at + QUOTED_MOST) or _PLAIN.match(page, at):
+            return at, m.end(), bool(m[1]), m[2].lower(), m[3]
+        if _OPEN.match(page, at):
+            return at, len(page), False, "", ""
+        pos = at + 1
+    return None
+
+
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
 #: Text, whether it is aside, the kind of main element around it, how much of it is in links, whether it is a heading.
 Line = tuple[str, bool, str, int, bool]
 
@@ -97,6 +120,8 @@ Line = tuple[str, bool, str, int, bool]
 def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
     """Lines of a page, one at each block tag, so with empty ones."""
     stack: list[tuple[str, str]] = []
+    open_: Counter[str] = Counter()  # how many of each element are open
+    lists: list[int] = []  # where in the stack lists and items are
     aside = doubt = link = linked = 0
     heading = False
     leaf = ""  # the kind of the block without an end tag of its own that is open
@@ -115,30 +140,29 @@ def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
 
     def pop() -> None:
         nonlocal aside, doubt
-        _, kind = stack.pop()
+        tag, kind = stack.pop()
+        open_[tag] -= 1
+        if lists and lists[-1] == len(stack):
+            lists.pop()
         aside -= kind == "aside"
         doubt -= kind == "doubt"
         if kind in mains:
             mains[kind] -= 1
 
     while pos < n:
-        m = _TAG.search(page, pos)
-        piece = page[pos : m.start() if m else n]
-        if not m and (cut := re.search(r"<[!/a-zA-Z]", piece)):
-            piece = piece[: cut.start()]  # a tag that the page's end cuts off
+        found = _next_tag(page, pos)
+        piece = page[pos : found[0] if found else n]
         if piece:
             text.append(piece)
             linked += len(piece) if link else 0
-        if not m:
+        if not found:
             break
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, pos, closing, tag, attributes = found
         if not tag:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] if m[2] else m[6] or ""
         if tag in RAW:
             if not closing and tag != "head":
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+                end = _ENDS[tag].search(page, pos)
                 pos = end.end() if end else n
             continue
         if tag == "a":
@@ -155,18 +179,21 @@ def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
             continue
         link = False
         if tag == "li" and not closing:  # a new item ends the one before
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in LISTS or stack[i][0] == "li"), -1)
+            at = lists[-1] if lists else -1
             if at >= 0 and stack[at][0] == "li":
                 while len(stack) > at:
                     pop()
         if not closing:
             kind = _kind(tag, attributes or "", mains["main"] + mains["content"] > 0, by_name)
+            if tag in LISTS or tag == "li":
+                lists.append(len(stack))
             stack.append((tag, kind))
+            open_[tag] += 1
             aside += kind == "aside"
             doubt += kind == "doubt"
             if kind in mains:
                 mains[kind] += 1
-        elif any(t == tag for t, _ in stack):
+        elif open_[tag]:
             while stack[-1][0] != tag:
                 pop()
             pop()
@@ -217,8 +244,6 @@ def _blocks(found: list[Line], short: bool = False) -> list[str]:
     weights = [h + SURGE if h else f for h, f in zip(held, free, strict=True)]
     surge = SURGE
     if short:
-        if max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0) < LEAST:
-            return []
         surge = 1
     return [found[i][0] for i in _between(weights, headings, surge) if weights[i]]
 

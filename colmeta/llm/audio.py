@@ -16,11 +16,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_of
-from .words import CHUNK, raw_texts
+from .words import raw_texts
 
 #: Payloads are a positive multiple of UNIT bytes, filled up with FILL.
 UNIT, FILL = 576, b"\xff"
@@ -28,8 +29,9 @@ UNIT, FILL = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 8
 #: Samples between frames after resampling (a frame is two hops), mel bands, frames of a tensor.
 HOP, BANDS, TENSOR = 72, 20, 16
-#: Thresholds of loudness: a stretch begins above the mean by ON deviations and ends below it by OFF.
-ON, OFF = 0.5, 0.5
+#: Thresholds of loudness: a stretch begins above the mean by ON deviations and ends below it by OFF, and by LEVEL decibels
+#: at least: a level payload has no loud stretch, however its energy is rounded.
+ON, OFF, LEVEL = 0.5, 0.5, 1e-6
 #: Zeros between the payloads that are worked on together, so that none reaches into the next.
 _GAP = UNIT // 3
 
@@ -81,27 +83,64 @@ def _resampled(x: np.ndarray) -> np.ndarray:
     return y
 
 
+#: Frames that are transformed at once; payloads of LONG bytes or more are resampled and framed in windows of so many hops.
+FRAMES, LONG, HOPS = 2048, 1 << 20, 4096
+#: Bins that each band has weight on.
+_BINS = [np.flatnonzero(MEL[:, k]).tolist() for k in range(BANDS)]
+#: Bytes of a hop, and bytes before a window that its first output still depends on.
+_HOP_BYTES, _LEAD = HOP * DOWN // UP, TAPS
+
+
+def _described(hops: np.ndarray, at: np.ndarray, bands: np.ndarray, energy: np.ndarray) -> None:
+    """Fill bands and energy of the frames that begin at hops[at].
+
+    Sums go bin by bin over many frames, never as a matrix product: a frame's values don't depend on what stands beside it.
+    """
+    for i in range(0, len(at), FRAMES):
+        own = at[i : i + FRAMES]
+        spectrum = np.fft.rfft(np.concatenate((hops[own], hops[own + 1]), axis=1) * WINDOW)
+        power = np.ascontiguousarray((spectrum.real**2 + spectrum.imag**2).T)
+        for k, bins in enumerate(_BINS):
+            total = np.full(len(own), 1e-6)
+            for j in bins:
+                total += power[j] * MEL[j, k]
+            bands[i : i + FRAMES, k] = np.log(total)
+        total = np.full(len(own), 1e-6)
+        for row in power:
+            total += row
+        energy[i : i + FRAMES] = 10 * np.log10(total)
+
+
+def _samples(raw: bytes | memoryview) -> np.ndarray:
+    return (np.frombuffer(raw, np.uint8) - 128.0) / 128.0
+
+
 def log_mel(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bands and energy of every frame of the payloads, and each payload's first frame (one more at the end)."""
-    x = np.concatenate([part for p in payloads for part in ((np.frombuffer(p, np.uint8) - 128.0) / 128.0, np.zeros(_GAP))])
-    hops = _resampled(x).reshape(-1, HOP)
-    n_hops = np.array([len(p) // DOWN * UP // HOP for p in payloads])
-    gap = _GAP // DOWN * UP // HOP
-    start = np.cumsum(n_hops + gap) - n_hops - gap
+    n_hops = np.array([len(p) // _HOP_BYTES for p in payloads])
     first = np.r_[0, np.cumsum(n_hops - 1)]
-    at = np.repeat(start - first[:-1], n_hops - 1) + np.arange(first[-1])
-    frames = np.concatenate((hops[at], hops[at + 1]), axis=1) * WINDOW
-    spectrum = np.fft.rfft(frames)
-    power = spectrum.real**2 + spectrum.imag**2
-    return np.log(power @ MEL + 1e-6), 10 * np.log10(power.sum(axis=1) + 1e-6), first
+    bands, energy = np.empty((first[-1], BANDS), np.float32), np.empty(first[-1])
+    if len(payloads) == 1 and len(payloads[0]) >= LONG:
+        whole = memoryview(payloads[0])
+        for h in range(0, int(n_hops[0]) - 1, HOPS):
+            last = min(h + HOPS + 1, int(n_hops[0]))
+            lead = _LEAD if h else 0
+            part = _resampled(_samples(whole[h * _HOP_BYTES - lead : last * _HOP_BYTES]))[lead * UP // DOWN :].reshape(-1, HOP)
+            _described(part, np.arange(len(part) - 1), bands[h : last - 1], energy[h : last - 1])
+        return bands, energy, first
+    hops = _resampled(np.concatenate([part for p in payloads for part in (_samples(p), np.zeros(_GAP))])).reshape(-1, HOP)
+    gap = _GAP // _HOP_BYTES
+    start = np.cumsum(n_hops + gap) - n_hops - gap
+    _described(hops, np.repeat(start - first[:-1], n_hops - 1) + np.arange(first[-1]), bands, energy)
+    return bands, energy, first
 
 
 def loud(energy: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether a frame is in a loud stretch: on above the upper threshold, off below the lower, else as before."""
     size = np.diff(first)
-    mean = np.add.reduceat(energy, first[:-1]) / size
-    dev = np.sqrt(np.maximum(np.add.reduceat(energy**2, first[:-1]) / size - mean**2, 0))
-    up, down = energy > np.repeat(mean + ON * dev, size), energy < np.repeat(mean - OFF * dev, size)
+    mean = np.repeat(np.add.reduceat(energy, first[:-1]) / size, size)
+    dev = np.repeat(np.sqrt(np.add.reduceat((energy - mean) ** 2, first[:-1]) / size), size)
+    up, down = energy > mean + ON * dev + LEVEL, energy < mean - OFF * dev - LEVEL
     event = up | down
     event[first[:-1]] = True
     last = np.maximum.accumulate(np.where(event, np.arange(len(energy)), 0))
@@ -145,26 +184,27 @@ _MEDIA = "doc_id {id}, n_bytes long, media binary, segments array<struct<start_m
 def audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media (a WAV file), segments (time spans of loud stretches) and tensors (an Arrow stream) of every row of docs.
 
-    A null or empty text is one unit of fill. Whole texts are stored, equal texts give equal values, repeated rows are
-    repeated, keys may be null, no rows give none, other columns are not read.
+    A null or empty text is one unit of fill. Whole texts are stored, equal texts give equal values to the last bit,
+    whatever stands beside them; repeated rows are repeated, keys may be null, no rows give none, other columns are not
+    read. A long text is worked on by itself, in windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
         for b in batches:
-            raw = raw_texts(b.column(1))
+            sizes = pc.coalesce(pc.binary_length(b.column(1)), 0).to_pylist()
             i = 0
-            while i < len(raw):
-                j, size = i, 0
-                while j < len(raw) and size < CHUNK // 2:
-                    size += len(raw[j])
+            while i < b.num_rows:
+                j, size = i + 1, sizes[i]
+                while j < b.num_rows and size + sizes[j] < LONG:
+                    size += sizes[j]
                     j += 1
-                media = [encode_wav(padded(x)) for x in raw[i:j]]
+                media = [encode_wav(padded(x)) for x in raw_texts(b.column(1).slice(i, j - i))]
                 bands, energy, first = log_mel([decode_wav(m) for m in media])
                 on = loud(energy, first)
                 cuts = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([len(x) for x in raw[i:j]], pa.int64()), pa.array(media, pa.binary()), pa.array([_spans(on[a:e]) for a, e in cuts], spans), pa.array([tensors(bands[a:e]) for a, e in cuts], pa.binary())],
+                    [b.column(0).slice(i, j - i), pa.array(sizes[i:j], pa.int64()), pa.array(media, pa.binary()), pa.array([_spans(on[a:e]) for a, e in cuts], spans), pa.array([tensors(bands[a:e]) for a, e in cuts], pa.binary())],
                     names=["doc_id", "n_bytes", "media", "segments", "tensors"],
                 )
                 i = j

@@ -1,7 +1,7 @@
 """Chat formatting: link tool calls to their results, order them, validate their arguments, write canonical JSON.
 
 DataFrame functions only. Messages are rows (conv_id, turn, role, text). A call message's text is a JSON object with
-tool_calls: [{id, name, arguments, after}]; after names calls of the conversation that it depends on. A result message
+tool_calls: [{id, name, arguments, after}] and perhaps content, what is said beside them; after names calls of the conversation that it depends on. A result message
 has the role "tool" and a JSON object {tool_call_id, content}. Every other message stays as it is.
 """
 
@@ -15,7 +15,7 @@ from .shared import dropped, stored
 #: A tool's arguments: name to (type, required). Types: string, integer, number, boolean, array, object.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
-_CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
+_CALLS = "struct<content: string, tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
 _RESULT = "struct<tool_call_id: string, content: string>"
 #: Pattern of a variant's type, by argument type.
 _KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
@@ -73,18 +73,21 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     conversation or identifier joins nothing. status: answered, unanswered, cycle for calls; orphan for results without
     a call; duplicate for both; null for messages. level orders calls topologically: level, then turn; duplicates have
     none, calls that can't be joined are at 0. json has sorted keys and no spaces; arguments are canonical too, and stay
-    text where they can't be parsed. A text that is no such JSON object is a plain message; null texts are messages with
-    a null content. No rows give none; other columns are not read.
+    text where they can't be parsed. What a call message says beside its calls is a message of its own. A text that is no
+    such JSON object, or one without any call, is a plain message; null texts are messages with a null content. No rows
+    give none; other columns are not read.
     """
     m = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
     m = m.withColumns({
-        "calls": F.when(F.col("text").startswith("{"), F.from_json("text", _CALLS)["tool_calls"]),
+        "said": F.when(F.col("text").startswith("{"), F.from_json("text", _CALLS)),
         "result": F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", _RESULT)),
     })
-    plain = m.where("calls is null and (result is null or result.tool_call_id is null)")
+    m = m.withColumn("calls", F.when(F.size("said.tool_calls") > 0, F.col("said.tool_calls")))
+    beside = m.where("calls is not null and result.tool_call_id is null and said.content <> ''").select("turn", "conv_id", "role", F.col("said.content").alias("text"))
+    plain = m.where("calls is null and (result is null or result.tool_call_id is null)").select("turn", "conv_id", "role", "text").unionByName(beside)
     calls = m.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("at", "c")).select("conv_id", "turn", "at", "c.*")
     calls = calls.withColumn("id", F.coalesce("id", F.concat(F.lit("#"), F.col("turn").cast("string"), F.lit("."), F.col("at").cast("string")))).drop("at")
-    results = m.where("calls is null and result.tool_call_id is not null").select("conv_id", "turn", F.col("result.tool_call_id").alias("id"), F.col("result.content").alias("content"))
+    results = m.where("result.tool_call_id is not null").select("conv_id", "turn", F.col("result.tool_call_id").alias("id"), F.col("result.content").alias("content"))
     keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
     ranked = []
     for df, order in ((calls, ("name", "arguments", "after")), (results, ("content",))):

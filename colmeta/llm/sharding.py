@@ -56,9 +56,11 @@ def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "
 
     size: UTF-8 bytes of the text and 1; the crc32 of a null text is that of an empty one. An integral key is hashed as
     it is, any other by xxhash64 of its text; a null key goes where 0 goes. slot counts from 0 within a shard, in the
-    order of docs. Equal keys share a shard, repeated rows have a slot each, no rows give none, other columns are not read.
+    order of keys (null first), then of text_crc32 and size. Equal keys share a shard, repeated rows have a slot each, no
+    rows give none, other columns are not read.
 
-    Slots come from counts by shard and input partition, so that no task sees a whole shard.
+    Rows are ranged by shard, key and place, so that a shard or a key of any size is cut among tasks; a slot is a row's
+    place in its range and the counts of the ranges before.
     """
     kind = docs.schema[key].dataType.simpleString()
     number = F.col(key).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(F.col(key).cast("string"))
@@ -70,15 +72,13 @@ def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         jump_hash(number, shards).alias("shard"),
         jump_hash(number, shards + 1).alias("grown_shard"),
-        F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    rows = stored(rows)
-    counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
+    order = ["shard", F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "_at"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_at")
+    ranged = stored(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("shard", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")
-    starts = counts.select("shard", "_part", before.alias("_start"))
-    at = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_at")) - 1
-    out = rows.withColumn("_in", at).join(starts, ["shard", "_part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_in")).cast("long").alias("slot"), "grown_shard")
-
-
+    starts = counts.select("shard", "_part", (before - F.col("_first")).alias("_start"))
+    out = ranged.join(starts, ["shard", "_part"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_row")).cast("long").alias("slot"), "grown_shard")

@@ -31,7 +31,10 @@ LONG = "A sentence that is long enough to be the text of an article, as articles
         ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>t</p></article>", ["Title", "t"]),
         (f"<div class='page with-sidebar'><div class='content'><div class='post-header'><h1>H</h1></div><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div></div>", ["H", LONG.strip()]),
         (f"<div class='widget'><p>{LONG}</p></div><nav>n</nav>", [LONG.strip()]),
-        ("<p>tiny</p>", []),
+        ("<p>tiny</p>", ["tiny"]),
+        ("<p>A short main text of a page.</p>", ["A short main text of a page."]),
+        ("<article><section id='search-trees'><h2 id='comments-on-theory'>H</h2><p class='legal'>B</p></section><p>Let <math><mi>x</mi><annotation>x</annotation></math> be</p></article>", ["H", "B", "Let x be"]),
+        ("<div><p>Let <math>x</math> be</p></div>", ["Let x be"]),
         ("", []),
     ],
 )
@@ -78,6 +81,21 @@ def test_cut_pages():
     assert html_text.main_text("<" * 3000) is not None
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<a 'x\">", "<div>", "<li>", "<ul><li>", "</section><div>", "<!", "<!-- ", "<script>", "&", "<p x='", "</", "<b>x"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_windows_alone_find_unnamed_articles(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(bare) == html_text.main_text(r.html)
+
+
 def test_pages(spark, sf_dir):
     import html
 
@@ -129,19 +147,94 @@ def test_audio_parts():
     assert on.tolist() == [False, False, True, True, True, False, False, True, True, False]
 
 
+def _plain_features(payload):
+    """Energy and bands of a payload's frames, sample by sample."""
+    x = [(b - 128.0) / 128.0 for b in payload]
+    n, taps, up, down = len(x), audio.TAPS, audio.UP, audio.DOWN
+    total = taps * up
+    t = np.arange(total) - (total - 1) / 2
+    h = np.sinc(t / down) * np.hanning(total + 2)[1:-1]
+    h = h / h.sum() * up
+    # zeros between the samples, the low-pass, every fourth value
+    y = [sum(h[k] * x[(m * down - k) // up] for k in range(total) if (m * down - k) % up == 0 and 0 <= (m * down - k) // up < n) for m in range(n * up // down)]
+    bands, energy = [], []
+    for f in range(0, len(y) - 2 * audio.HOP + 1, audio.HOP):
+        frame = np.array(y[f : f + 2 * audio.HOP]) * np.hanning(2 * audio.HOP)
+        k = np.arange(audio.HOP + 1)[:, None] * np.arange(2 * audio.HOP)
+        power = np.abs((frame * np.exp(-2j * np.pi * k / (2 * audio.HOP))).sum(axis=1)) ** 2
+        bands.append([np.log(sum(p * w for p, w in zip(power, audio.MEL[:, b], strict=True)) + 1e-6) for b in range(audio.BANDS)])
+        energy.append(10 * np.log10(power.sum() + 1e-6))
+    return np.array(bands), np.array(energy)
+
+
+def _plain_loud(energy):
+    on, out = False, []
+    high, low = energy.mean() + audio.ON * energy.std() + audio.LEVEL, energy.mean() - audio.OFF * energy.std() - audio.LEVEL
+    for e in energy:
+        on = e > high or (on and e >= low)
+        out.append(on)
+    return out
+
+
+def test_audio_against_plain_loops():
+    rng = np.random.default_rng(8)
+    payloads = [audio.padded(t) for t in (b"", b"some words of a text " * 40, bytes(rng.integers(0, 256, 1500, dtype=np.uint8)))]
+    bands, energy, first = audio.log_mel(payloads)
+    for p, a, b in zip(payloads, first[:-1], first[1:], strict=True):
+        want = _plain_features(p)
+        assert np.allclose(bands[a:b], want[0], atol=1e-5)
+        assert np.allclose(energy[a:b], want[1], atol=1e-8)
+        assert audio.loud(energy, first)[a:b].tolist() == _plain_loud(want[1])
+
+
+def test_audio_does_not_depend_on_neighbours(monkeypatch):
+    rng = np.random.default_rng(0)
+    payloads = [audio.padded(bytes(rng.integers(97, 123, int(n), dtype=np.uint8))) for n in (0, 700, 4000, 90, 2500, 30000)]
+    bands, energy, first = audio.log_mel(payloads)
+    monkeypatch.setattr(audio, "LONG", 20000)
+    monkeypatch.setattr(audio, "HOPS", 7)
+    for p, a, b in zip(payloads, first[:-1], first[1:], strict=True):
+        alone = audio.log_mel([p])
+        assert np.array_equal(alone[0], bands[a:b])
+        assert np.array_equal(alone[1], energy[a:b])
+        assert np.array_equal(audio.loud(*alone[1:]), audio.loud(energy, first)[a:b])
+
+
 def _brute_products(rows, every, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ok[i] = [int(np.floor(256 * float(x))) for x in v]
+    """By rows: those that repeat a key are candidates each, and as queries one that has the best of all of them."""
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in ok:
-        if q % every == 0:
-            best = sorted(((-sum(a * b for a, b in zip(ok[q], v, strict=False)), i) for i, v in ok.items() if i != q))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for q in {i for i, _ in ok if i % every == 0}:
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for j, own in ok if j == q for i, v in ok if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
+def test_products_of_repeated_keys(spark):
+    import duckdb
+
+    from colmeta.llm.oracle import ORACLE
+
+    rows = [(0, [1.0, 0.5]), (3, [2.0, 1.0]), (3, [3.0, 0.0]), (3, [0.5, -1.0]), (4, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, inner_products.top_products(df).collect()))
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = con.sql(f"select query_id, rank, vec_id, score from ({ORACLE['op6_top_inner_products']})").fetchall()
+    assert got == sorted(want) == _brute_products(rows, 50, 5)
+    assert [r[2] for r in got if r[0] == 0 and r[1] <= 3] == [3, 3, 50] or len([r for r in got if r[0] == 0]) == 5
+
+
+def test_products_of_long_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(0, 1 + i % 7, 40)]) for i in range(300)]
+    monkeypatch.setattr(inner_products, "ROTATED", 16)
+    monkeypatch.setattr(inner_products, "BLOCK_BYTES", 20 * 8 * 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, inner_products.top_products(df).collect())) == _brute_products(rows, 50, 5)
+
+
 def test_inner_products(spark, sf_dir):
     rng = np.random.default_rng(4)
     for spread in (0, 1):
@@ -192,6 +285,9 @@ def test_sharded(spark, odd_docs, no_docs):
         assert r.grown_shard in (r.shard, 8)
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    in_order = sorted(got, key=lambda r: (r.shard, r.slot))
+    place = lambda r: (r.shard, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)
+    assert in_order == sorted(in_order, key=place)
     assert sharding.sharded(no_docs).count() == 0
     named = sharding.sharded(odd_docs.withColumn("doc_id", F.col("doc_id").cast("string")))
     assert named.count() == odd_docs.count()
@@ -236,6 +332,26 @@ def test_repeated_and_null_calls(spark):
     assert tool_calls.linked(tool_calls.as_tool_chat(turns), tool_calls.CHAT_SCHEMAS).where("status in ('unanswered', 'orphan')").count() == 4
 
 
+def test_nothing_that_is_said_is_lost(spark):
+    rows = [
+        (1, 0, "assistant", '{"tool_calls": []}'),
+        (1, 1, "assistant", '{"content":"I look it up.","tool_calls":[{"id":"a","name":"add","arguments":{"a":1,"b":1}},{"id":"a","name":"add","arguments":{"a":2,"b":1}}]}'),
+        (1, 2, "tool", '{"tool_call_id":"a","content":"2"}'),
+        (1, 3, "tool", '{"tool_call_id":"a","content":"3"}'),
+        (1, 4, "tool", '{"tool_call_id":"z","content":"4","tool_calls":[{"id":"b"}]}'),
+        (1, 5, "assistant", '{"content":"only this"}'),
+        (1, 6, "assistant", '{"tool_calls": [null]}'),
+        (1, 7, "assistant", '{"content":"","tool_calls":[{"id":"c"}]}'),
+    ]
+    got = tool_calls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    assert sorted((r.turn, r.kind, r.status or "") for r in got) == [
+        (0, "message", ""), (1, "call", "answered"), (1, "call", "duplicate"), (1, "message", ""), (3, "result", "duplicate"), (4, "call", "unanswered"), (4, "result", "orphan"), (5, "message", ""), (6, "call", "unanswered"), (7, "call", "unanswered"),
+    ]
+    said = {r.turn: r.json for r in got if r.kind == "message"}
+    assert said[0] == '{"content":"{\\"tool_calls\\": []}","role":"assistant"}'
+    assert said[1] == '{"content":"I look it up.","role":"assistant"}'
+
+
 def test_chat_of_the_table(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     got = QUERIES["op7_tool_calls"](spark, sf_dir).collect()

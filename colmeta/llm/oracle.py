@@ -62,4 +62,14 @@ select doc_id, domain, lang, source, tokens, cast(epoch as int) as epoch, tokens
 union all
 select doc_id, domain, lang, source, tokens, cast(epochs + 1 as int), cast(least(tokens, rest - so_far) as bigint) from run where so_far < rest"""
 
-ORACLE = {"op3_ngram_jaccard_join": JOIN, "op5_source_mixing": MIXING, "op6_top_inner_products": PRODUCTS, "op7_tool_calls": CHAT}
+#: crc32 of bytes by a table of its 256 steps; the published jump hash, shard by shard; slots by rank.
+SHARDS = r"""
+with recursive steps as (select list(v order by i) as t from (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as v from range(256) r(i))),
+bytes as (select row_number() over () as r, doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as b from documents),
+crc as (select r, doc_id, len(b) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, y: xor(a // 256, t[1 + xor(a % 256, y)])), 4294967295) as text_crc32 from bytes cross join steps),
+jump as (select doc_id, case when doc_id < 0 then doc_id::hugeint + 18446744073709551616 else doc_id::hugeint end as k, -1::bigint as b, 0::bigint as j from (select distinct doc_id from documents)
+  union all select doc_id, (k * 2862933555777941757 + 1) % 18446744073709551616, j, floor((j + 1) * (2147483648.0::double / ((((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::double)))::bigint from jump where j < 9),
+place as (select doc_id, max(b) filter (b < 8) as shard, max(b) filter (b < 9) as grown_shard from jump group by 1)
+select doc_id, cast(size as bigint) as size, text_crc32, 'key' as law, cast(shard as int) as shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, cast(grown_shard as int) as grown_shard from crc join place using (doc_id)"""
+
+ORACLE = {"op8_jump_sharding": SHARDS, "op3_ngram_jaccard_join": JOIN, "op5_source_mixing": MIXING, "op6_top_inner_products": PRODUCTS, "op7_tool_calls": CHAT}

@@ -293,6 +293,17 @@ def test_sharded(spark, odd_docs, no_docs):
     assert named.count() == odd_docs.count()
 
 
+def test_sharded_equals_sql(spark, sf_dir):
+    import duckdb
+
+    from colmeta.llm.oracle import ORACLE
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(f"select doc_id, size, text_crc32, law, shard, slot, grown_shard from ({ORACLE['op8_jump_sharding']})").fetchall()
+    assert sorted(map(tuple, QUERIES["op8_jump_sharding"](spark, sf_dir).collect())) == sorted(want)
+
+
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}}
 
 

@@ -18,10 +18,10 @@ from .words import PLAIN, grams, mixed
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
-#: Bytes of the stems.
+#: Bytes of the stems; a stem may end inside a letter of more bytes.
 STEMS = (4, 5)
 #: FTRL: rate, its smoothing, L1, L2, passes over the sample; slots of fewer documents are left out.
-ALPHA, BETA, L1, L2, PASSES, LEAST_DOCS = 2.0, 1.0, 6.0, 0.0, 6, 8
+ALPHA, BETA, L1, L2, PASSES, LEAST_DOCS = 1.0, 1.0, 6.0, 0.0, 6, 4
 
 
 def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -33,9 +33,13 @@ def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = np.fromiter(map(xxh3_64_intdigest, flat), np.uint64, len(flat))
     doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     shift = np.uint64(32)
-    slots, docs = [mixed(words) >> shift], [doc]
-    for n in STEMS:
-        slots.append(mixed(np.fromiter((xxh3_64_intdigest(w[:n]) for w in flat), np.uint64, len(flat)) ^ np.uint64(n)) >> shift)
+    slots, docs = [mixed(words.copy()) >> shift], [doc]
+    if STEMS and len(words):  # each distinct word is cut and hashed once
+        _, spot, which = np.unique(words, return_index=True, return_inverse=True)
+        own = [flat[i] for i in spot.tolist()]
+    for n in STEMS if len(words) else ():
+        stems = np.fromiter((xxh3_64_intdigest(w[:n]) for w in own), np.uint64, len(own))
+        slots.append((mixed(stems ^ np.uint64(n)) >> shift)[which])
         docs.append(doc)
     near = doc[1:] == doc[:-1]
     slots.append((grams(words, 2) >> shift)[near])

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from .shared import bounded_labels, fold, text_of
 from .words import chunks, raw_texts
 
+#: Bytes of features that a model is fitted on, at most: documents beyond it are left out of the sample.
+FEATURE_BYTES = 1 << 28
+
 
 def fitted(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, most: int, features: Callable[[list[bytes]], list[bytes]], train: Callable[[list[bytes], np.ndarray], bytes], key: str = "doc_id", text: str = "text") -> bytes:
     """The model that train() makes of at most `most` labelled documents outside the held-out fold.
 
     The labelled keys are chosen first and sent to the scan of docs, features are made where the texts are, and one task
-    sees the sample's features only, in an order of their content. A key that several rows share counts once.
+    sees the sample's features only, in an order of their content, and FEATURE_BYTES of them at most: what doesn't fit is
+    not learnt from. A key that several rows share counts once.
     """
     chosen = bounded_labels(labels.where(fold(key, folds) != held), target, key, most).withColumnRenamed(key, "key")
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key")
@@ -29,21 +33,21 @@ def fitted(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: in
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(features(raw[i:j]), pa.binary())], names=["key", "label", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sorted(((x, y) for b in batches for x, y in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)), key=lambda r: (hash_of(r[0]), r))
-        yield pa.RecordBatch.from_arrays([pa.array([train([x for x, _ in seen], np.array([y for _, y in seen], np.int64))], pa.binary())], names=["model"])
+        xs, ys, room = [], [], FEATURE_BYTES
+        for b in batches:
+            for x, y in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                if len(x) <= room:
+                    room -= len(x)
+                    xs.append(x)
+                    ys.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([train(xs, np.array(ys, np.int64))], pa.binary())], names=["model"])
 
     kind = rows.schema["key"].dataType.simpleString()
     made = rows.mapInArrow(make, f"key {kind}, label int, x binary").groupBy("key").agg(F.max("label").alias("label"), F.min("x").alias("x"))
-    found = made.select("label", "x").repartition(1).mapInArrow(learn, "model binary").collect()
+    found = made.select("label", "x").repartition(1).sortWithinPartitions(F.xxhash64("x"), "x", "label").mapInArrow(learn, "model binary").collect()
     return bytes(found[0][0]) if found else train([], np.zeros(0, np.int64))
 
 
-def hash_of(x: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(x)
-
-
 def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], folds: int, held: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; score() takes whole texts. A null key is not held out."""
 

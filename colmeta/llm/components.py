@@ -9,15 +9,18 @@ from .shared import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (large star) or smaller (small star) neighbours to the smallest node around it."""
+    """Link each node's larger (large star) or smaller (small star) neighbours to the smallest node around it.
+
+    The minima are dealt anew before they meet the edges: a join right after their aggregation could not be split at a hub.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(least.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = down.join(least.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

@@ -10,8 +10,8 @@ The steps:
 1. One pass counts shingles in a sketch of fixed size. The counts only order shingles and estimate costs; any order is exact.
 2. One pass finds each text's set hash, prefix and level l. Texts with equal sets are one node from here on.
 3. Groups of near copies would make a candidate of each pair of them. So first each node is held against two others that
-   share one of its few smallest shingle hashes: the most central one and the next in size. Links that hold join nodes
-   into components.
+   share one of its few smallest shingle hashes: the most central one and the next in size (of its part of the group, as
+   large groups are cut). Links that hold join nodes into components.
 4. The prefix join makes candidates only of nodes that still are in different components, with the length and position
    bounds of each pair: they meet at an entry of their shortest prefixes and must share l entries of the lengthened ones.
    With the links of step 3 this finds all components, whatever step 3 missed.
@@ -27,15 +27,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dropped, sketch, stored, text_of
+from .shared import dropped, marked, marks, scratch, sketch, stored, text_of
 from .words import chunks, raw_texts, shingles
 
-#: Bits of the counting sketch that orders shingles, and of the one that tells which texts a verification needs.
-ORDER_BITS, NEED_BITS = 20, 22
+#: Bits of the counting sketch that orders shingles; least and most bits of the filter that tells which texts a verification
+#: needs: eight for each text, up to 8 MB. Above, more sets are shuffled than needed, all at most.
+ORDER_BITS, NEED_BITS = 20, (16, 26)
 #: The levels l that a document chooses from.
 LEVELS = (1, 2, 4, 8)
-#: Smallest shingle hashes by which near copies first meet.
-HUBS = 4
+#: Smallest shingle hashes by which near copies first meet, and how many of them two must share to be verified in that step.
+HUBS, SHARED = 4, 2
+#: Nodes of a part of a group that share a hash; larger groups are cut into parts of about so many.
+PART = 4096
 #: A candidate's verification costs about this share of its set's size in list entries.
 VERIFY_COST = 0.25
 
@@ -108,7 +111,7 @@ def _signatures(order: np.ndarray, words: int, num: int, den: int):
     return run
 
 
-def _sets_of(needed: np.ndarray, words: int):
+def _sets_of(needed: np.ndarray, bits: int, words: int):
     """Function over batches of (th, text) that yields the sets of texts that may be needed, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,7 @@ def _sets_of(needed: np.ndarray, words: int):
         for batch in batches:
             ths = batch.column(0).to_numpy()
             take = []
-            for i in np.flatnonzero(needed[(ths.view(np.uint64) >> np.uint64(64 - NEED_BITS)).astype(np.int64)]).tolist():
+            for i in np.flatnonzero(marked(needed, (ths.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))).tolist():
                 if int(ths[i]) not in seen:
                     seen.add(int(ths[i]))
                     take.append(i)
@@ -148,32 +151,37 @@ def _linked(num: int, den: int):
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links u, v among pairs (ka, ta, kb, tb): keys of the nodes and of a text of each. texts: th, text."""
     pairs = stored(pairs)
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.select(F.col("ka").alias("u"), F.col("kb").alias("v"))
+    bits = min(max((16 * n).bit_length(), NEED_BITS[0]), NEED_BITS[1])
 
     def at(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
+        yield (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-    needed = sketch(pairs.select(F.explode(F.array("ta", "tb")).alias("th")), at, NEED_BITS) > 0
-    sets = texts.mapInArrow(_sets_of(needed, words), _SET)
+    needed = marks(pairs.select(F.explode(F.array("ta", "tb")).alias("th")), at, bits)
+    sets = texts.mapInArrow(_sets_of(needed, bits, words), _SET)
     left, right = sets.toDF("ta", "items_a"), sets.toDF("tb", "items_b")
     met = pairs.join(left, "ta").join(right, "tb").select("ka", "kb", "items_a", "items_b")
     return stored(met.mapInArrow(_linked(num, den), "u long, v long").distinct())
 
 
 def _hub_pairs(sig: DataFrame, num: int, den: int) -> DataFrame:
-    """Nodes that share one of their smallest hashes: each with the most central of them, and with the next in size."""
-    posts = sig.where("prefix is not null").select("k", "th", "n", "central", F.explode("hubs").alias("token"))
-    posts = posts.groupBy("token", "k").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("central").alias("central"))
-    me = F.struct("k", "th", "n")
-    by_size = Window.partitionBy("token").orderBy("n", "k")
-    middle = posts.groupBy("token").agg(F.max_by(me, F.struct("central", "n", "k")).alias("hub"), F.count("*").alias("many")).where("many > 1")
-    near = posts.select(me.alias("a"), F.lag(me).over(by_size).alias("b")).where("b is not null")
-    star = posts.join(middle, "token").select(me.alias("a"), F.col("hub").alias("b"))
-    both = star.unionByName(near).where("a.k <> b.k")
+    """Nodes that share one of their smallest hashes: each with the most central of them, and with the next in size of its part.
+
+    Pairs that share fewer than SHARED of them are hardly similar and left to the prefix join, which misses none.
+    """
+    nodes = sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "central", "hubs")))
+    posts = stored(nodes.select("*", F.explode("hubs").alias("token")))
+    me = F.struct("k", "th", "n", "hubs")
+    middle = stored(posts.groupBy("token").agg(F.max_by(me, F.struct("central", "n", "k")).alias("hub"), F.count("*").alias("many")).where("many > 1"))
+    star = posts.join(middle, "token").select("token", me.alias("a"), "hub", F.pmod(F.col("k"), F.ceil(F.col("many") / PART)).alias("part"))
+    by_size = Window.partitionBy("spot").orderBy("a.n", "a.k")
+    both = star.withColumn("spot", F.xxhash64("token", "part")).withColumn("near", F.lag("a").over(by_size)).select("a", F.explode(F.array("hub", "near")).alias("b")).where("b is not null and a.k <> b.k")
     lo, hi = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     a, b = F.least("a", "b"), F.greatest("a", "b")
-    return both.where(den * lo >= num * hi).select(a.alias("a"), b.alias("b")).groupBy(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).agg(F.min("a.th").alias("ta"), F.min("b.th").alias("tb"))
+    shared = F.size(F.array_intersect("a.hubs", "b.hubs")) >= F.least(F.lit(SHARED), lo)
+    return both.where((den * lo >= num * hi) & shared).select(a.alias("a"), b.alias("b")).groupBy(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).agg(F.min("a.th").alias("ta"), F.min("b.th").alias("tb"))
 
 
 def _postings(num: int, den: int):
@@ -194,22 +202,6 @@ def _postings(num: int, den: int):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the postings of some tokens, those of tokens that nodes of two or more components hold."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    token, lab = t.column("token").to_numpy(), t.column("lab").to_numpy()
-    by = np.lexsort((lab, token))
-    ts, ls = token[by], lab[by]
-    first = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])
-    last = np.r_[first[1:], len(ts)]
-    mixed = ls[first] != ls[last - 1]
-    keep = np.repeat(mixed, last - first)
-    yield from t.take(pa.array(np.sort(by[keep]))).combine_chunks().to_batches()
-
-
 def _matched(num: int, den: int):
     """Function over pairs (ka, ta, na, ell, prefix a, kb, tb, nb, prefix b) that keeps those whose lengthened prefixes share l entries."""
 
@@ -233,9 +225,12 @@ def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFra
     A pair meets at an entry of both shortest prefixes (l = 1), within the bounds of its own sizes; it stays if the
     prefixes lengthened to the larger set's l share l entries.
     """
-    nodes = sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "ell", "prefix")))
-    own = nodes.join(lab.toDF("k", "lab"), "k", "left").withColumn("lab", F.coalesce("lab", "k"))
-    posts = stored(own.select("k", "lab", "n", "prefix").mapInArrow(_postings(num, den), _POST).repartition("token").mapInArrow(_across, _POST))
+    nodes = stored(sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "ell", "prefix"))))
+    own = nodes.select("k", "n", "prefix").join(lab.toDF("k", "lab"), "k", "left").select("k", F.coalesce("lab", "k").alias("lab"), "n", "prefix")
+    every = own.mapInArrow(_postings(num, den), _POST)
+    # lists of one component make no candidate: of the others' tokens there is a table, so that no list is in one task's memory
+    across = stored(every.groupBy("token").agg(F.min("lab").alias("least"), F.max("lab").alias("most")).where("least < most").select("token"))
+    posts = stored(every.join(across, "token", "left_semi"))
     r, s = posts.alias("r"), posts.alias("s")
     rn, sn = F.col("r.n").cast("long"), F.col("s.n").cast("long")
     t = F.floor((num * (rn + sn) + num + den - 1) / (num + den))
@@ -248,7 +243,7 @@ def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFra
         & (F.col("s.pos") <= sn - t)
     )
     met = stored(r.join(s, rule).select(F.col("r.k").alias("ka"), F.col("s.k").alias("kb")).distinct())
-    dropped(posts)
+    dropped(across, posts)
     a = nodes.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("n").alias("na"), "ell", F.col("prefix").alias("pa"))
     b = nodes.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
     both = met.join(a, "ka").join(b, "kb").select("ka", "ta", "na", "ell", "pa", "kb", "tb", "nb", "pb")
@@ -290,13 +285,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     A set's identity is a 64-bit hash and a shingle's 56 bits of one.
     """
-    sig, label = _labelled(docs, key, text, words, num, den)
-    least = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
-    least = least.join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
-    top = least.groupBy("lab").agg(F.min("first").alias("component_id"))
-    by_set = least.join(top, "lab").select("k", "component_id")
-    out = sig.select("doc_id", "k", F.col("n").cast("long").alias("n_shingles")).join(by_set, "k", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with scratch():
+        sig, label = _labelled(docs, key, text, words, num, den)
+        least = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
+        least = stored(least.join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k")))
+        top = stored(least.groupBy("lab").agg(F.min("first").alias("component_id")))
+        by_set = stored(least.join(top, "lab").select("k", "component_id"))  # of stored sides, so that a class of many sets can be split
+        out = sig.select("doc_id", "k", F.col("n").cast("long").alias("n_shingles")).join(by_set, "k", "left")
+        return stored(out.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), keep=True)
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -319,15 +315,17 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     document. Rows that repeat a key and text are one document. A text without words is no copy of another; of those
     under a null key all rows stay.
     """
-    sig, label = _labelled(docs, key, text, 5, 80, 100)
-    me = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
-    lab = sig.where("k is not null").select("k", me.alias("me")).join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
-    best = lab.groupBy("lab").agg(F.min("me").alias("me")).select("me.doc_id", "me.th")
-    bare = sig.where("k is null").select("doc_id", "th").distinct()
+    with scratch():
+        sig, label = _labelled(docs, key, text, 5, 80, 100)
+        me = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+        sets = sig.where("k is not null").groupBy("k").agg(F.min(me).alias("me"))
+        best = sets.join(label, "k", "left").groupBy(F.coalesce("lab", "k").alias("lab")).agg(F.min("me").alias("me")).select("me.doc_id", "me.th", F.lit(False).alias("bare"))
+        bare = sig.where("k is null").select("doc_id", "th", F.lit(True).alias("bare")).distinct()
+        keep = stored(best.unionByName(bare), keep=True)
+    ids = keep.where("not bare or doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     th = F.xxhash64(text_of(text))
-    keep = best.unionByName(bare.where("doc_id is not null")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    kept = docs.join(keep, F.col(key).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_semi")
+    kept = docs.join(ids, F.col(key).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_semi")
     others = [c for c in docs.columns if c != key]
     one = kept.groupBy(key, th.alias("__th")).agg(F.first(F.struct(*others)).alias("_row")).select(key, "_row.*").select(docs.columns)
-    loose = docs.where(F.col(key).isNull()).join(bare.where("doc_id is null").select(F.col("th").alias("__th")), th == F.col("__th"), "left_semi")
+    loose = docs.where(F.col(key).isNull()).join(keep.where("bare and doc_id is null").select(F.col("th").alias("__th")), th == F.col("__th"), "left_semi")
     return one.unionByName(loose)

@@ -38,7 +38,23 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Tables that the scratch() blocks under way have written, the innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end, but for those stored to keep."""
+    own: list[DataFrame] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        dropped(*own)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, for all executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -46,6 +62,8 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -97,6 +115,38 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
+def marks(df: DataFrame, bucketed, bits: int) -> np.ndarray:
+    """Which of 2**bits bucket numbers bucketed(batch) yields anywhere in df, as packed bits. bits: 15 at least."""
+    import zlib
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            for ids in bucketed(b):
+                seen[ids] = True
+        blocks = np.packbits(seen, bitorder="little").reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in some], pa.binary())], names=["block", "counts"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(zlib.decompress(raw), np.uint8)
+                total[k] = total[k] | got if k in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in df.mapInArrow(mark, _SKETCH).repartition("block").mapInArrow(joined, _SKETCH).collect():
+        out[row[0] * BLOCK : (row[0] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row[1]), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each bucket number is marked."""
+    return (bits[ids >> 3] >> (ids & 7).astype(np.uint8)) & 1 == 1
+
+
 def sketch(df: DataFrame, bucketed, bits: int) -> np.ndarray:
     """Counts of the bucket numbers that bucketed(batch) yields, over all rows of df.
 

@@ -295,19 +295,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return stored(out.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), keep=True)
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay when one document of each class does: the one whose key names the class.
-
-    Rows that repeat a key and text are one document; of rows that share a class's key but not the text, the first by
-    text hash stays. Rows of a null key all stay.
-    """
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, key, "left_semi")
-    others = [c for c in docs.columns if c != key]
-    one = kept.groupBy(key).agg(F.min_by(F.struct(*others), F.xxhash64("text")).alias("_row"))
-    return one.select(key, "_row.*").select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
-
-
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay when one document of each class of near copies does: the one of the smallest key.
 

@@ -79,13 +79,15 @@ def test_levels_follow_the_cost():
     assert ngram_join._level(np.ones(1), 1, 0) == 1
 
 
-def test_one_of_each(spark, odd_docs):
-    classes = ngram_join.near_duplicates(odd_docs)
-    kept = ngram_join.one_of_each(odd_docs, classes)
+def test_one_per_class_of_odd_rows(spark, odd_docs, no_docs):
+    kept = ngram_join.one_per_class(odd_docs)
     assert kept.columns == odd_docs.columns
-    keys = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    want = {r.component_id for r in classes.collect() if r.component_id is not None and r.doc_id == r.component_id}
-    assert sorted(keys) == sorted(want)
+    classes = {r.component_id for r in ngram_join.near_duplicates(odd_docs).where("n_shingles > 0").collect()}
+    rows = kept.collect()
+    worded = [r for r in rows if r.text and r.text.strip()]
+    assert sorted(r.doc_id for r in worded) == sorted([*classes, 3])  # two unrelated texts bear the key 3
+    assert all(any(r.text == t for r in rows) for t in (None, "", " \n\t "))
+    assert ngram_join.one_per_class(no_docs).count() == 0
 
 
 def test_one_per_class(spark):

@@ -8,7 +8,8 @@ shingles of a candidate before it is verified. Every candidate is verified on th
 The steps:
 
 1. One pass counts shingles in a sketch of fixed size. The counts only order shingles and estimate costs; any order is exact.
-2. One pass finds each text's set hash, prefix and level l. Texts with equal sets are one node from here on.
+2. One pass finds each text's set, as a digest of 128 bits, its prefix and level l. Texts with equal sets are one node from
+   here on, and nodes are numbered: no two sets share a number.
 3. Groups of near copies would make a candidate of each pair of them. So first each node is held against two others that
    share one of its few smallest shingle hashes: the most central one and the next in size (of its part of the group, as
    large groups are cut). Links that hold join nodes into components.
@@ -42,8 +43,8 @@ PART = 4096
 #: A candidate's verification costs about this share of its set's size in list entries.
 VERIFY_COST = 0.25
 
-_SIG = "doc_id {id}, k long, th long, n int, ell int, central int, hubs array<long>, prefix binary"
-_SET = "th long, items binary"
+_SIG = "doc_id {id}, key binary, th binary, n int, ell int, central int, hubs array<long>, prefix binary"
+_SET = "th binary, items binary"
 _POST = "token long, k long, lab long, pos int, n int"
 
 
@@ -53,6 +54,16 @@ def _sorted_set(s: np.ndarray) -> np.ndarray:
     return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _heads(digests: pa.Array, bits: int) -> np.ndarray:
+    """Bucket number of each digest."""
+    return (np.frombuffer(b"".join(digests.to_pylist()), ">u8")[::2] >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
     return (ids >> np.uint64(56 - bits)).astype(np.int64)
 
@@ -80,20 +91,20 @@ def _signatures(order: np.ndarray, words: int, num: int, den: int):
     typical = np.exp2(np.arange(256) / 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             texts, ids, ths = raw_texts(batch.column(2)), batch.column(0), batch.column(1)
             for a, b in chunks(texts):
-                out: dict[str, list] = {c: [] for c in ("k", "n", "ell", "central", "hubs", "prefix")}
+                out: dict[str, list] = {c: [] for c in ("key", "n", "ell", "central", "hubs", "prefix")}
                 for s in shingles(texts[a:b], words):
                     items = _sorted_set(s)
-                    n, k, row = len(items), None, (0, 0, None, None)
+                    n, key, row = len(items), None, (0, 0, None, None)
                     if n:
-                        k = xxh3_64_intdigest(items.tobytes()) - (1 << 63)
-                        if k not in seen:
-                            seen.add(k)
+                        key = xxh3_128_digest(items.tobytes())
+                        if key not in seen:
+                            seen.add(key)
                             q = order[_bucket(items, ORDER_BITS)]
                             keys = np.sort((q.astype(np.uint64) << np.uint64(56)) | items)
                             room = n + (-num * n // den)
@@ -101,11 +112,11 @@ def _signatures(order: np.ndarray, words: int, num: int, den: int):
                             room_low = n - _least_overlap(n, n, num, den)
                             keep = min(n, max(room + ell, room_low + LEVELS[-1]))
                             row = (ell, int(1000 * q.mean()), items[:HUBS].astype(np.int64), keys[:keep].tobytes())
-                    for c, v in zip(out, (k, n, *row), strict=True):
+                    for c, v in zip(out, (key, n, *row), strict=True):
                         out[c].append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(out["k"], pa.int64()), ths.slice(a, b - a), *(pa.array(out[c], pa.int32()) for c in ("n", "ell", "central")), pa.array(out["hubs"], pa.list_(pa.int64())), pa.array(out["prefix"], pa.binary())],
-                    names=["doc_id", "k", "th", "n", "ell", "central", "hubs", "prefix"],
+                    [ids.slice(a, b - a), pa.array(out["key"], pa.binary()), ths.slice(a, b - a), *(pa.array(out[c], pa.int32()) for c in ("n", "ell", "central")), pa.array(out["hubs"], pa.list_(pa.int64())), pa.array(out["prefix"], pa.binary())],
+                    names=["doc_id", "key", "th", "n", "ell", "central", "hubs", "prefix"],
                 )
 
     return run
@@ -115,19 +126,20 @@ def _sets_of(needed: np.ndarray, bits: int, words: int):
     """Function over batches of (th, text) that yields the sets of texts that may be needed, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            ths = batch.column(0).to_numpy()
             take = []
-            for i in np.flatnonzero(marked(needed, (ths.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))).tolist():
-                if int(ths[i]) not in seen:
-                    seen.add(int(ths[i]))
+            for i in np.flatnonzero(marked(needed, _heads(batch.column(0), bits))).tolist():
+                th = batch.column(0)[i].as_py()
+                if th not in seen:
+                    seen.add(th)
                     take.append(i)
             if not take:
                 continue
-            texts = raw_texts(batch.column(1).take(pa.array(take)))
+            ths, raw = (batch.column(i).take(pa.array(take)) for i in range(2))
+            texts = raw_texts(raw)
             for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(ths[take[a:b]]), pa.array([_sorted_set(s).tobytes() for s in shingles(texts[a:b], words)], pa.binary())], names=["th", "items"])
+                yield pa.RecordBatch.from_arrays([ths.slice(a, b - a), pa.array([_sorted_set(s).tobytes() for s in shingles(texts[a:b], words)], pa.binary())], names=["th", "items"])
 
     return run
 
@@ -149,7 +161,7 @@ def _linked(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links u, v among pairs (ka, ta, kb, tb): keys of the nodes and of a text of each. texts: th, text."""
+    """Links u, v among pairs (ka, ta, kb, tb): numbers of the nodes and the digest of a text of each. texts: th, text."""
     pairs = stored(pairs)
     n = pairs.count()
     if not n:
@@ -157,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     bits = min(max((16 * n).bit_length(), NEED_BITS[0]), NEED_BITS[1])
 
     def at(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        yield _heads(batch.column(0), bits)
 
     needed = marks(pairs.select(F.explode(F.array("ta", "tb")).alias("th")), at, bits)
     sets = texts.mapInArrow(_sets_of(needed, bits, words), _SET)
@@ -166,14 +178,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     return stored(met.mapInArrow(_linked(num, den), "u long, v long").distinct())
 
 
-def _hub_pairs(sig: DataFrame, num: int, den: int) -> DataFrame:
+def _hub_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Nodes that share one of their smallest hashes: each with the most central of them, and with the next in size of its part.
 
     Pairs that share fewer than SHARED of them are hardly similar and left to the prefix join, which misses none.
     """
-    nodes = sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "central", "hubs")))
-    posts = stored(nodes.select("*", F.explode("hubs").alias("token")))
-    me = F.struct("k", "th", "n", "hubs")
+    posts = stored(nodes.select("k", "n", "central", "hubs", F.explode("hubs").alias("token")))
+    me = F.struct("k", "n", "hubs")
     middle = stored(posts.groupBy("token").agg(F.max_by(me, F.struct("central", "n", "k")).alias("hub"), F.count("*").alias("many")).where("many > 1"))
     star = posts.join(middle, "token").select("token", me.alias("a"), "hub", F.pmod(F.col("k"), F.ceil(F.col("many") / PART)).alias("part"))
     by_size = Window.partitionBy("spot").orderBy("a.n", "a.k")
@@ -181,7 +192,9 @@ def _hub_pairs(sig: DataFrame, num: int, den: int) -> DataFrame:
     lo, hi = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     a, b = F.least("a", "b"), F.greatest("a", "b")
     shared = F.size(F.array_intersect("a.hubs", "b.hubs")) >= F.least(F.lit(SHARED), lo)
-    return both.where((den * lo >= num * hi) & shared).select(a.alias("a"), b.alias("b")).groupBy(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).agg(F.min("a.th").alias("ta"), F.min("b.th").alias("tb"))
+    met = both.where((den * lo >= num * hi) & shared).select(a["k"].alias("ka"), b["k"].alias("kb")).distinct()
+    text = nodes.select("k", "me.th")
+    return met.join(text.toDF("ka", "ta"), "ka").join(text.toDF("kb", "tb"), "kb")
 
 
 def _postings(num: int, den: int):
@@ -219,13 +232,12 @@ def _matched(num: int, den: int):
     return run
 
 
-def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, lab: DataFrame, num: int, den: int) -> DataFrame:
     """Candidates of the prefix join among nodes of different components: ka, ta, kb, tb.
 
     A pair meets at an entry of both shortest prefixes (l = 1), within the bounds of its own sizes; it stays if the
     prefixes lengthened to the larger set's l share l entries.
     """
-    nodes = stored(sig.where("prefix is not null").groupBy("k").agg(*(F.min(c).alias(c) for c in ("th", "n", "ell", "prefix"))))
     own = nodes.select("k", "n", "prefix").join(lab.toDF("k", "lab"), "k", "left").select("k", F.coalesce("lab", "k").alias("lab"), "n", "prefix")
     every = own.mapInArrow(_postings(num, den), _POST)
     # lists of one component make no candidate: of the others' tokens there is a table, so that no list is in one task's memory
@@ -244,15 +256,18 @@ def _prefix_pairs(sig: DataFrame, lab: DataFrame, num: int, den: int) -> DataFra
     )
     met = stored(r.join(s, rule).select(F.col("r.k").alias("ka"), F.col("s.k").alias("kb")).distinct())
     dropped(across, posts)
-    a = nodes.select(F.col("k").alias("ka"), F.col("th").alias("ta"), F.col("n").alias("na"), "ell", F.col("prefix").alias("pa"))
-    b = nodes.select(F.col("k").alias("kb"), F.col("th").alias("tb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    a = nodes.select(F.col("k").alias("ka"), F.col("me.th").alias("ta"), F.col("n").alias("na"), "ell", F.col("prefix").alias("pa"))
+    b = nodes.select(F.col("k").alias("kb"), F.col("me.th").alias("tb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
     both = met.join(a, "ka").join(b, "kb").select("ka", "ta", "na", "ell", "pa", "kb", "tb", "nb", "pb")
-    return both.mapInArrow(_matched(num, den), "ka long, ta long, kb long, tb long")
+    return both.mapInArrow(_matched(num, den), "ka long, ta binary, kb long, tb binary")
 
 
 def _labelled(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures of the rows of docs (_SIG), and k, lab: the class of each set that links with another."""
-    src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text"))
+    """Signatures of the rows of docs (_SIG), and a row for each set: key, lab (the number of its class), me.
+
+    me has the least doc_id of the set's rows, null where none has one, and the digest of that row's text.
+    """
+    src = docs.select(F.col(key).alias("doc_id"), _digest(text_of(text)).alias("th"), text_of(text).alias("text"))
     texts = src.select("th", "text")
 
     def at(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -266,12 +281,15 @@ def _labelled(docs: DataFrame, key: str, text: str, words: int, num: int, den: i
     order = np.minimum(np.round(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
     kind = docs.schema[key].dataType.simpleString()
     sig = stored(src.mapInArrow(_signatures(order, words, num, den), _SIG.format(id=kind)))
+    me = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    sets = sig.where("key is not null").groupBy("key").agg(F.min(me).alias("me"), *(F.max(c).alias(c) for c in ("n", "ell", "central", "hubs", "prefix")))
+    nodes = stored(sets.select(F.monotonically_increasing_id().alias("k"), "*"))
 
-    first = _verified(_hub_pairs(sig, num, den), texts, words, num, den)
+    first = _verified(_hub_pairs(nodes, num, den), texts, words, num, den)
     lab = components(first)
-    more = _verified(_prefix_pairs(sig, lab, num, den), texts, words, num, den)
+    more = _verified(_prefix_pairs(nodes, lab, num, den), texts, words, num, den)
     label = components(lab.toDF("u", "v").unionByName(more)).toDF("k", "lab")
-    return sig, label
+    return sig, nodes.select("k", "key", "me").join(label, "k", "left").select("key", F.coalesce("lab", "k").alias("lab"), "me")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -283,16 +301,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     with nothing. Rows that share a key share nothing but what their texts link; a null key is never a component_id
     unless all keys of the component are null. Other columns of docs are not read. An empty table gives no rows.
 
-    A set's identity is a 64-bit hash and a shingle's 56 bits of one.
+    A set's and a text's identity are digests of 128 bits, a shingle's is 56 bits of a hash.
     """
     with scratch():
-        sig, label = _labelled(docs, key, text, words, num, den)
-        least = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
-        least = stored(least.join(label, "k", "left").withColumn("lab", F.coalesce("lab", "k")))
+        sig, sets = _labelled(docs, key, text, words, num, den)
+        least = stored(sets.select("key", "lab", F.col("me.doc_id").alias("first")))
         top = stored(least.groupBy("lab").agg(F.min("first").alias("component_id")))
-        by_set = stored(least.join(top, "lab").select("k", "component_id"))  # of stored sides, so that a class of many sets can be split
-        out = sig.select("doc_id", "k", F.col("n").cast("long").alias("n_shingles")).join(by_set, "k", "left")
-        return stored(out.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), keep=True)
+        by_set = stored(least.join(top, "lab").select("key", "component_id"))  # of stored sides, so that a class of many sets can be split
+        out = sig.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")).join(by_set, "key", "left")
+        return stored(out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), keep=True)
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,14 +320,12 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     under a null key all rows stay.
     """
     with scratch():
-        sig, label = _labelled(docs, key, text, 5, 80, 100)
-        me = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
-        sets = sig.where("k is not null").groupBy("k").agg(F.min(me).alias("me"))
-        best = sets.join(label, "k", "left").groupBy(F.coalesce("lab", "k").alias("lab")).agg(F.min("me").alias("me")).select("me.doc_id", "me.th", F.lit(False).alias("bare"))
-        bare = sig.where("k is null").select("doc_id", "th", F.lit(True).alias("bare")).distinct()
+        sig, sets = _labelled(docs, key, text, 5, 80, 100)
+        best = sets.groupBy("lab").agg(F.min("me").alias("me")).select("me.doc_id", "me.th", F.lit(False).alias("bare"))
+        bare = sig.where("key is null").select("doc_id", "th", F.lit(True).alias("bare")).distinct()
         keep = stored(best.unionByName(bare), keep=True)
     ids = keep.where("not bare or doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    th = F.xxhash64(text_of(text))
+    th = _digest(text_of(text))
     kept = docs.join(ids, F.col(key).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_semi")
     others = [c for c in docs.columns if c != key]
     one = kept.groupBy(key, th.alias("__th")).agg(F.first(F.struct(*others)).alias("_row")).select(key, "_row.*").select(docs.columns)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +75,55 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
         else:
             out.append(words[:0])
     return out
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def pieces(text: bytes, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of about `size` bytes that cut a text between words only."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        while end < len(text):  # a word may be longer than a piece
+            step = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, min(size, len(text) - end), end)])
+            end += int(step[0]) if len(step) else size
+            if len(step):
+                break
+        yield start, min(end, len(text))
+        start = end
+
+
+def exact_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a text's words as they are, in memory of a few bytes a word besides the text."""
+    from xxhash import xxh3_64_intdigest
+
+    parts = []
+    for a, b in pieces(text):
+        words = text[a:b].split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends, in bytes."""
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.frombuffer(text, np.uint8)]
+    change = np.diff(inside)
+    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+
+
+def kept_sha256(text: bytes, keep: np.ndarray | None = None) -> str:
+    """Hex sha256 of a text's words joined by one space: all words, or those where keep is true."""
+    import hashlib
+
+    out, at, first = hashlib.sha256(), 0, True
+    for a, b in pieces(text):
+        words = text[a:b].split()
+        if keep is not None:
+            words, at = list(compress(words, keep[at : at + len(words)].tolist())), at + len(words)
+        if words:
+            out.update((b"" if first else b" ") + b" ".join(words))
+            first = False
+    return out.hexdigest()

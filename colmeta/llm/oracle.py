@@ -62,9 +62,12 @@ select doc_id, domain, lang, source, tokens, cast(epoch as int) as epoch, tokens
 union all
 select doc_id, domain, lang, source, tokens, cast(epochs + 1 as int), cast(least(tokens, rest - so_far) as bigint) from run where so_far < rest"""
 
-#: crc32 of bytes by a table of its 256 steps; the published jump hash, shard by shard; slots by rank.
-SHARDS = r"""
-with recursive steps as (select list(v order by i) as t from (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as v from range(256) r(i))),
+#: crc32's table of 256 steps.
+_CRC_STEPS = "steps as (select list(v order by i) as t from (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as v from range(256) r(i)))"
+
+#: crc32 of bytes by that table; the published jump hash, shard by shard; slots by rank.
+SHARDS = f"""
+with recursive {_CRC_STEPS},
 bytes as (select row_number() over () as r, doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as b from documents),
 crc as (select r, doc_id, len(b) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, y: xor(a // 256, t[1 + xor(a % 256, y)])), 4294967295) as text_crc32 from bytes cross join steps),
 jump as (select doc_id, case when doc_id < 0 then doc_id::hugeint + 18446744073709551616 else doc_id::hugeint end as k, -1::bigint as b, 0::bigint as j from (select distinct doc_id from documents)
@@ -72,4 +75,51 @@ jump as (select doc_id, case when doc_id < 0 then doc_id::hugeint + 184467440737
 place as (select doc_id, max(b) filter (b < 8) as shard, max(b) filter (b < 9) as grown_shard from jump group by 1)
 select doc_id, cast(size as bigint) as size, text_crc32, 'key' as law, cast(shard as int) as shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, cast(grown_shard as int) as grown_shard from crc join place using (doc_id)"""
 
-ORACLE = {"op8_jump_sharding": SHARDS, "op3_ngram_jaccard_join": JOIN, "op5_source_mixing": MIXING, "op6_top_inner_products": PRODUCTS, "op7_tool_calls": CHAT}
+REPEATS = f"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+word as (select r, unnest(ws) as x, unnest(generate_series(1, len(ws))) as j, len(ws) as n from w where len(ws) > 0),
+spot as (select r, j, string_agg(x, ' ') over (partition by r order by j rows between current row and 34 following) as g from word where n >= 35 qualify j <= n - 34),
+again as (select r, j from spot semi join (select g from spot group by g having count(*) > 1) using (g)),
+gone as (select distinct r, unnest(generate_series(j, j + 34)) as j from again),
+kept as (select r, count(*) as n, string_agg(x, ' ' order by j) as t from word anti join gone using (r, j) group by r)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (r)"""
+
+
+def _sha_leaf(text: str) -> str:
+    parts = (f"case when {c} is null then '-' else concat(strlen({c}::varchar), ':', {c}::varchar) end" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+def _levels(name: str, depth: int) -> str:
+    """SQL of a forest's levels over {name}0 (t, i, d, c: the tree's nodes): a level's runs, then the nodes over them; a tree of one node stays."""
+    return ", ".join(
+        f"""{name}_run{k} as (select t, i // 16 as p, list(d order by i) as run, max(c) as c from {name}{k} group by all),
+{name}{k + 1} as (select t, p as i, case when c = 1 then run[1] else sha256(array_to_string(run, '')) end as d, (c + 15) // 16 as c from {name}_run{k})"""
+        for k in range(depth)
+    )
+
+
+def _walk(walk: str, name: str, depth: int) -> str:
+    """SQL that takes {walk}0 (r, t, i, f: the digest folded so far, s: the siblings so far) up through a forest's levels."""
+    return ", ".join(
+        f"""{walk}{k + 1} as (select r, t, p as i, case when c = 1 then f else sha256(concat(lo, f, hi)) end as f, case when c = 1 then s else concat(s, lo, hi) end as s
+  from (select w.*, p, c, array_to_string(run[:i % 16], '') as lo, array_to_string(run[i % 16 + 2:], '') as hi from {walk}{k} w join {name}_run{k} n on w.t is not distinct from n.t and w.i // 16 = n.p))"""
+        for k in range(depth)
+    )
+
+
+#: Trees of up to 16**5 rows a source and 16**3 sources.
+MERKLE = f"""
+with recursive {_CRC_STEPS},
+doc as (select row_number() over () as r, doc_id, source as t, {_sha_leaf("text")} as leaf, {_sha_leaf("translate(text, '" + _UPPER + "', '" + _LOWER + "')")} as changed,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda h: ('0x' || h)::bigint)), lambda a, y: xor(a // 256, tab[1 + xor(a % 256, y)])), 4294967295) as crc from documents cross join (select t as tab from steps)),
+placed as (select *, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by t) as c from doc),
+n0 as (select t, i, leaf as d, c from placed), {_levels("n", 5)},
+root as (select t, d, row_number() over (order by t nulls first) - 1 as i, count(*) over () as c from n5),
+m0 as (select 0 as t, i, d, c from root), {_levels("m", 3)},
+a0 as (select r, t, i, case when crc % 5 = 0 then changed else leaf end as f, '' as s from placed), {_walk("a", "n", 5)},
+b0 as (select a5.r, 0 as t, root.i, f, s from a5 join root on a5.t is not distinct from root.t), {_walk("b", "m", 3)}
+select doc_id, leaf, root.d as subroot, m3.d as root, sha256(s) as proof_sha256, f as folded_root, f = m3.d as verified from doc join b3 using (r) join root on doc.t is not distinct from root.t cross join m3"""
+
+
+ORACLE = {"op12_repeated_passages": REPEATS, "op13_merkle_manifest": MERKLE, "op8_jump_sharding": SHARDS, "op3_ngram_jaccard_join": JOIN, "op5_source_mixing": MIXING, "op6_top_inner_products": PRODUCTS, "op7_tool_calls": CHAT}

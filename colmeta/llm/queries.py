@@ -83,6 +83,24 @@ def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
@@ -94,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_block_text": op1_line_block_text,
     "op4_audio_features": op4_audio_features,
     "op6_top_inner_products": op6_top_inner_products,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_repeated_passages": op12_repeated_passages,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -100,32 +100,6 @@ def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str
     return _ranked(pairs, k)
 
 
-def nearest_approximately(queries: DataFrame, terms: DataFrame, k: int = NEAREST, bucket: float | None = None, tables: int = 12, exclude_same_id: bool = False) -> DataFrame:
-    """query, id, distance, rank of near terms by random projections (squared L2); some neighbours may be missed.
-
-    Only terms that share a bucket with the query are seen. A bucket is as wide as the terms' typical length, if not
-    given: a projection of that width keeps near vectors of any scale together. A query that meets fewer than k terms in
-    its buckets is answered by nearest(). Of vectors only those of the terms' largest number of components take part.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    terms, queries = _fine(terms, "id"), _fine(queries, "query")
-    dim, length = terms.agg(F.max(F.size("vector")), F.avg(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
-    whole = F.size("vector") == (dim or 0)
-    sized = F.when(whole, F.transform("vector", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), dim or 1))  # the model may hash rows before they are left out
-    as_vector = array_to_vector(sized).alias("features")
-    t, q = terms.where(whole).select("id", as_vector), queries.where(whole).select("query", as_vector)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket or length or 1.0, numHashTables=tables, seed=7).fit(t)
-    met = model.approxSimilarityJoin(q, t, float("inf"), "d").select(F.col("datasetA.query").alias("query"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d")).alias("distance"))
-    if exclude_same_id:
-        met = met.where(F.col("query") != F.col("id"))
-    near = _ranked(met, k)
-    served = near.where(F.col("rank") == k).select("query")
-    rest = nearest(queries.where(whole).join(served, "query", "left_anti"), terms.where(whole), k, exclude_same_id=exclude_same_id)
-    return near.join(served, "query", "left_semi").select("query", "id", "distance", "rank").unionByName(rest)
-
-
 def with_terms(hits: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Hits with their term's uri, label, definition and kind; hits of unknown ids go."""
     terms = vocabulary.select("id", "uri", "label", F.col("definition").alias("term_definition"), "qc_label")

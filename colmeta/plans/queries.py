@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmeta.functions import predicates, text, vectors
-from colmeta.operators import answers, linking, match, merge, profile, select
+from colmeta.operators import answers, inverted, linking, match, merge, profile, select
 from colmeta.plans import pipelines
 from colmeta.sources import context, export, metadata, store, tables
 
@@ -331,8 +331,8 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query()
-def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(match.nearest_approximately(_asked(spark, sf_dir), _terms(spark, sf_dir), exclude_same_id=True))
+def knn_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inverted.near_by_lists(_asked(spark, sf_dir), inverted.inverted_file(_terms(spark, sf_dir)), exclude_same_id=True))
 
 
 # -- matches --
@@ -626,6 +626,40 @@ def metadata_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_csv_rows(metadata.read_metadata_csv(spark, path)).select("table_id", "name", "datatype", "element", "unit", "description", "element_uri")
 
 
+_BRAND_NO = "cast(right(p_brand, 1) as int)"
+_NO_LIST = f"'{metadata.NO_LIST}'"
+
+
+@_query(
+    f"""with p as (select concat('t', right(p_brand, 1)) as table_id, {_BRAND_NO} % 7 as form, * from part)
+select table_id, p_name as name, null as datatype, p_type as element, 'm²' as unit, null as description, case when p_size % 2 = 0 then concat('{{"', p_type, '":"u', p_size, '"}}') else '' end as element_uri, null as _error from p where form = 0
+union all select table_id, p_name, 'numeric', p_type, 'grün', concat('"', p_size, '"; x'), '', null from p where form = 1
+union all select table_id, p_name, 'string', p_type, '', concat('size ', p_size), '', null from p where form = 2
+union all select table_id, p_name, '', p_type, 'u', concat('size ', p_size), concat('{{"', p_type, '":"http://', p_size, '"}}'), null from p where form = 3
+union all select distinct table_id, null, null, null, null, null, '', case form when 4 then 'no column name' when 5 then {_NO_LIST} else 'neither .csv nor .json' end from p where form > 3"""
+)
+def metadata_files_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata files of three good and three bad forms, written by brand and imported in one job; bad ones give an error row each."""
+    base = store.new_path(spark)
+    p = _table(spark, sf_dir, "part").withColumns({"table": F.concat(F.lit("t"), F.substring("p_brand", -1, 1)), "form": F.substring("p_brand", -1, 1).cast("int") % 7})
+    parts = {n: p.where(F.col("form") == n).repartition("table").sortWithinPartitions("table") for n in range(7)}
+    name, kind, size = F.col("p_name").alias("name"), F.col("p_type"), F.col("p_size").cast("string")
+    listed = lambda df, *c: df.groupBy("table").agg(F.collect_list(F.struct(*c)).alias("items"))
+    kept = {"escape": '"', "header": True, "emptyValue": ""}
+    parts[0].select("table", name, kind.alias("Element"), F.lit("m²").alias("unit"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("u"), size)).alias("element_uri")).write.options(**kept).partitionBy("table").csv(f"{base}/0")
+    parts[1].select("table", name, F.lit("numeric").alias("datatype"), kind.alias("element"), F.lit("grün").alias("unit"), F.concat(F.lit('"'), size, F.lit('"; x')).alias("DESCRIPTION")).write.options(**kept, sep=";", encoding="iso-8859-1").partitionBy("table").csv(f"{base}/1")
+    described = F.concat(F.lit("size "), size).alias("description")
+    listed(parts[2], name, F.lit("string").alias("type"), kind.alias("title"), described).withColumnRenamed("items", "fields").write.partitionBy("table").json(f"{base}/2")
+    columns = listed(parts[3], name, F.array(kind, F.lit("other")).alias("titles"), F.lit("u").alias("unit"), described, F.concat(F.lit("http://"), size).alias("propertyUrl"))
+    columns.select("table", F.struct(F.col("items").alias("columns")).alias("tableSchema")).write.partitionBy("table").json(f"{base}/3")
+    parts[4].select("table", name.alias("Name"), kind.alias("unit")).write.options(**kept).partitionBy("table").csv(f"{base}/4")
+    parts[5].groupBy("table").agg(F.struct(F.max("p_size").alias("a")).alias("fields")).write.partitionBy("table").json(f"{base}/5")
+    parts[6].select("table", kind).write.partitionBy("table").text(f"{base}/6")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(base)
+    found = metadata.metadata_of_files(files).withColumn("table_id", F.regexp_extract("path", "/table=([^/]+)/", 1))
+    return found.select("table_id", "name", "datatype", "element", "unit", "description", F.coalesce(F.to_json("element_uri"), F.lit("")).alias("element_uri"), "_error")
+
+
 @_query(f"with {_KEYED} select cache_key, response, 3 as version from cache")
 def cache_store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark)

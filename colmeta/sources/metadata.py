@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_delimited
+from colmeta.functions.predicates import NA_TOKENS
+
+from .tables import DELIMITERS, read_delimited, unique_names
 
 #: Schemas of the two JSON forms. A title may be one text or a list of them.
 TABLE_SCHEMA = "struct<fields: array<struct<name: string, type: string, description: string, unit: string, method: string, title: string, element_uri: string>>>"
 CSVW = "struct<tableSchema: struct<columns: array<struct<name: string, titles: string, propertyUrl: string, unit: string, method: string, datatype: string, description: string, `null`: string, element_uri: string>>>>"
+NO_LIST = "no list of fields and no tableSchema with a list of columns"
 IMPORT = ("name", "datatype", "element", "unit", "method", "description", "element_uri", "seq")
 
 
@@ -49,10 +58,32 @@ def from_json(documents: DataFrame, keys: tuple[str, ...] = ("table_id",)) -> Da
     return from_table_schema(documents.where(has("fields")), keys).unionByName(from_csvw(documents.where(~has("fields") & has("tableSchema")), keys))
 
 
+def json_items(json: Column) -> Column:
+    """The columns that a document of either JSON form lists, as structs of IMPORT's fields; null if it is no such document.
+
+    Neither form: no object, no list, an empty list, or a list that holds something else than objects.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    words = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+
+    def item(name: Column, datatype: Column, element: Column, c: Column, description: Column, uri: Column) -> Column:
+        return F.struct(name.alias("name"), blank(datatype).alias("datatype"), element.alias("element"), blank(c["unit"]).alias("unit"), blank(c["method"]).alias("method"), blank(description).alias("description"), _uris(element, uri).alias("element_uri"))
+
+    def field(c: Column) -> Column:
+        return item(c["name"], c["type"], blank(c["title"]), c, c["description"], F.array(c["element_uri"]))
+
+    def column(c: Column) -> Column:
+        url = F.when(c["element_uri"].isNotNull(), F.array(c["element_uri"])).when(c["propertyUrl"].isNotNull(), words(c["propertyUrl"])).otherwise(F.array().cast("array<string>"))
+        return item(c["name"], c["datatype"], blank(F.try_element_at(words(c["titles"]), F.lit(1))), c, F.coalesce(c["description"], c["null"]), url)
+
+    fields, columns = F.from_json(json, TABLE_SCHEMA)["fields"], F.from_json(json, CSVW)["tableSchema"]["columns"]
+    good = lambda x, inside: (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull()) & (F.get_json_object(json, inside).startswith("[{"))
+    return F.when(good(fields, "$.fields"), F.transform(fields, field)).when(good(columns, "$.tableSchema.columns"), F.transform(columns, column))
+
+
 def rejected(documents: DataFrame, keys: tuple[str, ...] = ("table_id",)) -> DataFrame:
     """Documents of neither form: the keys and _error."""
-    has = lambda k: F.get_json_object("json", f"$.{k}").isNotNull()
-    return documents.where(~F.coalesce(has("fields") | has("tableSchema"), F.lit(False))).select(*keys, F.lit("no fields and no tableSchema").alias("_error"))
+    return documents.where(json_items(F.col("json")).isNull()).select(*keys, F.lit(NO_LIST).alias("_error"))
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -80,28 +111,90 @@ def read_metadata(spark: SparkSession, path: str, table_id: str) -> DataFrame:
     raise ValueError(f"{path} is neither .csv nor .json")
 
 
-def read_metadata_files(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Metadata rows of many files (table_id to path), and a row for each that can't be imported: table_id, path, _error.
+def _delimiter(lines: list[str]) -> str:
+    """The delimiter that most lines have equally often outside quotes, as sniffed() tells it."""
+    counts = Counter()
+    for line in lines:
+        bare = "".join(line.split('"')[::2])
+        counts.update((d, bare.count(d)) for d in DELIMITERS if d in bare)
+    return min(counts, key=lambda x: (-counts[x], -x[1], DELIMITERS.index(x[0])), default=(",", 0))[0]
+
+
+def _csv_rows(raw: bytes) -> list[dict[str, str | None]]:
+    """Rows of a delimited metadata file; its header names are made lower case."""
+    try:
+        text = raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = raw.decode("cp1252", "replace")
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=_delimiter(text.splitlines())) if r]
+    if not rows:
+        raise ValueError("no lines")
+    head = unique_names([x or f"Unnamed: {i}" for i, x in enumerate(rows[0])])
+    if "name" not in head:
+        raise ValueError("no column name")
+    return [{h.lower(): None if x in NA_TOKENS else x for h, x in zip(head, r, strict=False)} for r in rows[1:]]
+
+
+_RAW = ("table_id", "name", "datatype", "element", "unit", "method", "description", "element_uri")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (path, content) as rows: those of a delimited file, the text of a JSON file, or what is wrong."""
+    for b in batches:
+        for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, json, error, kind = [], None, None, path.lower().rpartition(".")[2]
+            try:
+                if kind == "csv":
+                    rows = _csv_rows(raw)
+                elif kind == "json":
+                    json = raw.decode("utf-8")
+                else:
+                    error = "neither .csv nor .json"
+            except (ValueError, csv.Error) as e:
+                error = str(e)
+            if json is not None or error:
+                rows = [{}]
+            n = len(rows)
+            columns = [[path] * n, list(range(n)), [json] * n, [error] * n, *([r.get(c) for r in rows] for c in _RAW)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(columns)], names=["path", "seq", "json", "error", *_RAW])
+
+
+def metadata_of_files(files: DataFrame) -> DataFrame:
+    """Metadata rows of many files (path, content) in one job: path, table_id, IMPORT's columns, _error.
+
+    A file's suffix tells its format: .csv (with a column `name`; the rest of its header in any case) or .json of either
+    form. A file that can't be imported gives one row with _error and stops no other; the files are read and parsed in
+    tasks. table_id is what a .csv says in a column of that name, else null.
+    """
+    rows = files.select("path", "content").mapInArrow(_opened, "path string, seq long, json string, error string, " + ", ".join(f"{c} string" for c in _RAW))
+    own = F.struct(*(F.col(c) for c in IMPORT[:-2]), _uris(F.coalesce("element", F.lit("")), F.array("element_uri")).alias("element_uri"))
+    items = F.when(F.col("json").isNotNull(), json_items(F.col("json"))).when(F.col("error").isNull(), F.array(own))
+    error = F.when(F.col("json").isNotNull() & F.col("items").isNull(), NO_LIST).otherwise(F.col("error"))
+    found = rows.withColumn("items", items).select("path", "table_id", F.col("seq").alias("row"), error.alias("_error"), F.posexplode_outer("items").alias("pos", "item"))
+    fields = [F.col(f"item.{c}").alias(c) for c in IMPORT[:-1]]
+    return found.select("path", "table_id", *fields, F.when(F.col("_error").isNull(), F.col("row") + F.col("pos")).alias("seq"), "_error")
+
+
+def read_metadata_files(spark: SparkSession, files: dict[str, str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metadata rows of many files, and a row for each that can't be imported: table_id, path, _error.
 
-    A file that is no metadata stops only its own import.
+    files: table_id to path, or a table of both. All files are read in one job; a file that is no metadata stops only
+    its own import.
     """
-    found, failed = None, []
-    fields = [c for c in IMPORT if c != "element_uri"]
-    for table_id, path in sorted(files.items()):
-        try:
-            df = read_metadata(spark, path, table_id)
-        except (ValueError, IndexError) as e:
-            failed.append((table_id, path, str(e) or "no lines"))
-            continue
-        if path.lower().endswith(".json"):
-            document = spark.read.text(path, wholetext=True).select(F.lit(table_id).alias("table_id"), F.col("value").alias("json"))
-            failed += [(table_id, path, r["_error"]) for r in rejected(document).collect()]
-        uri = F.col("element_uri") if "element_uri" in df.columns else F.lit(None).cast("map<string,string>")
-        df = df.select("table_id", *(F.col(c) if c in df.columns else F.lit(None).cast("long" if c == "seq" else "string").alias(c) for c in fields), uri.alias("element_uri"))
-        found = df if found is None else found.unionByName(df)
-    errors = spark.createDataFrame(failed, "table_id string, path string, _error string")
-    empty = spark.createDataFrame([], "table_id string, " + ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in fields) + ", element_uri map<string,string>")
-    return (empty if found is None else found), errors
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    if isinstance(files, dict):
+        files = spark.createDataFrame(sorted(files.items()), "table_id string, path string")
+    known, lost = [], []
+    for table_id, path in files.select("table_id", "path").collect():  # names only
+        system = at(path).getFileSystem(conf)
+        size = system.getFileStatus(at(path)).getLen() if system.exists(at(path)) else None
+        (known if size else lost).append((table_id, path, system.makeQualified(at(path)).toString() if size else "no such file" if size is None else "no lines"))
+    content = spark.read.format("binaryFile").load([p for *_, p in known]) if known else spark.createDataFrame([], "path string, content binary")
+    asked = spark.createDataFrame(known, "table_id string, given string, path string")
+    named = metadata_of_files(content).drop("table_id").join(asked, "path")
+    missing = spark.createDataFrame(lost, "table_id string, path string, _error string")
+    errors = named.where("_error is not null").select("table_id", F.col("given").alias("path"), "_error")
+    return named.where("_error is null").select("table_id", *IMPORT), errors.unionByName(missing)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

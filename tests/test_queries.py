@@ -45,7 +45,7 @@ def test_rows_only(spark, sf_dir):
 
 def test_nearest_recall(spark, sf_dir):
     exact = {(r.query, r.id) for r in QUERIES["knn_topk"](spark, sf_dir).collect()}
-    near = {(r.query, r.id) for r in QUERIES["knn_lsh"](spark, sf_dir).collect()}
+    near = {(r.query, r.id) for r in QUERIES["knn_inverted_file"](spark, sf_dir).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 

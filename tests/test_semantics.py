@@ -288,19 +288,6 @@ def test_nearest_of_odd_vectors(spark):
         assert _rows(f(asked, terms), "query", "id", "distance") == [(1, 1, 0.0), (1, 2, 41.0), (10, 5, 1.0)]
         assert _rows(f(asked, terms, exclude_same_id=True), "query", "id") == [(1, 2), (10, 5)]
         assert f(asked.where("false"), terms).count() == f(asked, terms.where("false")).count() == 0
-    assert _rows(match.nearest_approximately(asked, terms), "query", "id") == [(1, 1), (1, 2)]
-
-
-def test_approximate_neighbours_at_any_scale(spark):
-    import numpy as np
-
-    x = np.random.default_rng(0).normal(0, 1, (400, 16))
-    for scale in (0.001, 1000.0):
-        terms = spark.createDataFrame([(i, [float(v) for v in r * scale]) for i, r in enumerate(x)], "id long, vector array<double>")
-        asked = terms.where("id % 20 = 0").withColumnRenamed("id", "query")
-        exact, near = ({(r.query, r.id) for r in f(asked, terms, exclude_same_id=True).collect()} for f in (match.nearest, match.nearest_approximately))
-        assert len(exact) == len(near) == 80
-        assert len(exact & near) >= 72
 
 
 def test_one_call_for_each_distinct_request(spark, tmp_path):
@@ -368,6 +355,45 @@ def test_bad_metadata_files_stop_only_themselves(spark, tmp_path):
     assert [r[0] for r in _rows(errors, "table_id")] == ["b.csv", "c.json", "e.xls", "f.csv"]
 
 
+def test_metadata_of_odd_files(spark):
+    """Every odd file has its own outcome: rows, or one row that says what is wrong."""
+    files = {
+        "fields.json": b'{"fields": {"name": "a"}}',
+        "empty.json": b'{"fields": [], "tableSchema": {"columns": []}}',
+        "schema.json": b'{"tableSchema": {}}',
+        "both.json": b'{"fields": [], "tableSchema": {"columns": [{"name": "b", "titles": "B", "null": "gone"}]}}',
+        "list.json": b'{"fields": ["a", {"name": "b"}]}',
+        "number.json": b'{"fields": [{"name": "n", "unit": 3}]}',
+        "broken.json": b'{"fields": [',
+        "latin.json": '{"fields": [{"name": "ü"}]}'.encode("cp1252"),
+        "null.json": b"null",
+        "latin.csv": "name;Größe;UNIT\nü;1;m\nv;;NA\n".encode("cp1252"),
+        "bom.csv": "\ufeffname|unit\n\"a\nb\"|m\n\n".encode(),
+        "head.csv": b"name,unit\n",
+        "table.csv": b"table_id,name,element,element_uri\nt,x,E,http://e\nt,y,E,\"{\"\"F\"\": \"\"http://f\"\"}\"\n",
+        "case.csv": b"NAME,unit\na,b\n",
+        "none.csv": b"",
+        "x.CSV": b"name\nq\n",
+        "x.ods": b"PK",
+    }
+    got = metadata.metadata_of_files(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()
+    assert all((r["_error"] is None) == (r["seq"] is not None) for r in got)
+    bad = {r["path"] for r in got if r["_error"]}
+    assert bad == {"fields.json", "empty.json", "schema.json", "list.json", "broken.json", "latin.json", "null.json", "case.csv", "none.csv", "x.ods"}
+    good = sorted((r["path"], r["seq"], r["table_id"], r["name"], r["element"], r["unit"], r["description"], r["element_uri"]) for r in got if not r["_error"])
+    assert good == [
+        ("bom.csv", 0, None, "a\nb", None, "m", None, None),
+        ("both.json", 0, None, "b", "B", "", "gone", None),
+        ("latin.csv", 0, None, "ü", None, "m", None, None),
+        ("latin.csv", 1, None, "v", None, None, None, None),
+        ("number.json", 0, None, "n", "", "3", "", None),
+        ("table.csv", 0, "t", "x", "E", None, None, {"E": "http://e"}),
+        ("table.csv", 1, "t", "y", "E", None, None, {"F": "http://f"}),
+        ("x.CSV", 0, None, "q", None, None, None, None),
+    ]
+    assert metadata.metadata_of_files(spark.createDataFrame([], "path string, content binary")).count() == 0
+
+
 def test_typed_columns_are_not_read_as_text(spark):
     df = spark.sql("select cast(1 as int) as i, cast('nan' as double) as x, date '2020-01-01' as d, timestamp '2020-01-01 00:00:00' as t, true as b, cast(null as bigint) as z, ' 1,5 ' as s, ' ' as w")
     got = profile.profile(df, "t")

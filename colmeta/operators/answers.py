@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,17 +32,71 @@ def distinct_requests(asked: DataFrame) -> DataFrame:
     return one.select("cache_key", "r.*")
 
 
-def generated(missing: DataFrame, provider: Callable[[str, str], str]) -> DataFrame:
-    """Requests without an answer, with the response that provider(name, prompt) gives; one call for each row.
+class _Journal:
+    """Answers of one round of requests as they arrive: a file for each key, which appears whole or not at all."""
+
+    def __init__(self, path: str) -> None:
+        from pyarrow import fs
+
+        self.files, self.path = fs.FileSystem.from_uri(path)
+        self.missing = fs.FileType.NotFound
+
+    def _at(self, key: str) -> str:
+        return f"{self.path}/{key[:2]}/{key}"
+
+    def read(self, key: str) -> dict | None:
+        if self.files.get_file_info(self._at(key)).type == self.missing:
+            return None
+        with self.files.open_input_stream(self._at(key)) as f:
+            return json.loads(f.read())
+
+    def write(self, key: str, said: dict) -> None:
+        part = f"{self._at(key)}.{uuid.uuid4().hex}"
+        self.files.create_dir(part.rpartition("/")[0], recursive=True)
+        with self.files.open_output_stream(part) as f:
+            f.write(json.dumps(said).encode())
+        self.files.move(part, self._at(key))
+
+
+def _asked(provider: Callable[[str, str], str], name: str, prompt: str, retries: int, wait: float) -> dict:
+    """The provider's answer, or what was wrong with the last of 1 + retries calls, and how many calls were made."""
+    error = None
+    for attempt in range(1, retries + 2):
+        try:
+            return {"response": provider(name, prompt), "error": None, "attempts": attempt}
+        except Exception as e:  # a provider may raise anything; that is a row's outcome, not the job's
+            error = f"{type(e).__name__}: {e}"
+            if wait and attempt <= retries:
+                time.sleep(wait * 2 ** (attempt - 1))
+    return {"response": None, "error": error, "attempts": retries + 1}
+
+
+def generated(missing: DataFrame, provider: Callable[[str, str], str], retries: int = 2, wait: float = 0.0, journal: str | None = None) -> DataFrame:
+    """Requests without an answer with response, error and attempts; provider(name, prompt) is called for each row.
+
+    A call that raises is made again, at most `retries` times, after wait, 2 * wait, 4 * wait, ... seconds. A request whose
+    calls all raised has a null response and the last error; it stops no other. journal: a folder that all tasks share
+    (file, hdfs or s3), where each answer is kept the moment it arrives under the request's cache_key; a task that runs
+    again, whatever ended it, reads them there and calls only for the rest. Failures are not kept there. Of two tasks
+    that run at the same time for the same request, as in speculation, both may call.
 
     The calls happen wherever the result is computed: write it (store.written) before using it more than once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = _Journal(journal) if journal else None
         for b in batches:
-            yield b.assign(response=[provider(n, p) for n, p in zip(b["provider"], b["prompt"], strict=True)])
-
-    return missing.mapInPandas(run, missing.select("*", F.lit("").alias("response")).schema)
+            out = []
+            for key, name, prompt in zip(b["cache_key"], b["provider"], b["prompt"], strict=True):
+                said = kept.read(key) if kept else None
+                if said is None:
+                    said = _asked(provider, name, prompt, retries, wait)
+                    if kept and said["error"] is None:
+                        kept.write(key, said)
+                out.append(said)
+            yield b.assign(**{c: pd.Series([x[c] for x in out], b.index, dtype=t) for c, t in (("response", object), ("error", object), ("attempts", "int32"))})
+
+    return missing.mapInPandas(run, missing.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("response", "string"), ("error", "string"), ("attempts", "int")))).schema)
 
 
 def upserted(cache: DataFrame, answers: DataFrame) -> DataFrame:

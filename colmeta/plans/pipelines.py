@@ -37,19 +37,33 @@ def imported(metadata: DataFrame, new: DataFrame) -> DataFrame:
     return profile.validated(merge.merged(metadata, new, "yes"))
 
 
+def described_with_errors(metadata: DataFrame, contexts: DataFrame, cache: DataFrame, provider: Callable[[str, str], str], path: str | None = None, retries: int = 2, wait: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As described(), and a row for each table without descriptions: table_id, error, attempts.
+
+    error is what the provider's last call raised, or that its answer holds no JSON object. Such tables keep their
+    metadata. A failed request is not cached, so the next run asks again. Answers are kept in the folder path + "-calls" as
+    they arrive: a task that runs again doesn't call for them again, nor does a run that is given the path of a broken one.
+    """
+    path = path or store.new_path(metadata.sparkSession)
+    asked = answers.requests(contexts)
+    missing = answers.looked_up(answers.distinct_requests(asked), cache).where("cached is null").drop("cached")
+    fresh = store.written(answers.generated(missing, provider, retries, wait, f"{path}-calls"), path)
+    known = cache.select("cache_key", "response", F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts")).unionByName(fresh.select("cache_key", "response", "error", "attempts"))
+    said = asked.select("table_id", "cache_key").join(known, "cache_key")
+    got = answers.described(said.where("error is null").select("table_id", "response"))
+    new = got.where("not parse_error").select("table_id", "name", "description", F.lit(0).alias("seq"))
+    unread = said.join(got.where("parse_error").select("table_id").distinct(), "table_id", "left_semi").select("table_id", F.lit("no JSON object in the answer").alias("error"), "attempts")
+    errors = said.where("error is not null").select("table_id", "error", "attempts").unionByName(unread)
+    return merge.merged(metadata, new, "yes"), answers.upserted(cache, fresh.where("error is null")), errors
+
+
 def described(metadata: DataFrame, contexts: DataFrame, cache: DataFrame, provider: Callable[[str, str], str], path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Metadata with descriptions from contexts (table_id, provider, context, variables), and the new cache.
 
     Only requests that the cache doesn't hold reach the provider, once for each cache_key, whoever asks. The calls are
     made here and their answers written to path (a new folder of the shared one, if not given); both results read them.
     """
-    asked = answers.requests(contexts)
-    missing = answers.looked_up(answers.distinct_requests(asked), cache).where("cached is null").drop("cached")
-    fresh = store.written(answers.generated(missing, provider), path)
-    known = cache.select("cache_key", "response").unionByName(fresh.select("cache_key", "response"))
-    got = answers.described(asked.join(known, "cache_key").select("table_id", "response")).where("not parse_error")
-    new = got.select("table_id", "name", "description", F.lit(0).alias("seq"))
-    return merge.merged(metadata, new, "yes"), answers.upserted(cache, fresh)
+    return described_with_errors(metadata, contexts, cache, provider, path)[:2]
 
 
 def matched(metadata: DataFrame, vocabulary: DataFrame, encoder: Callable[[pd.Series], list], k: int = match.NEAREST, alpha: float = 0.4) -> DataFrame:

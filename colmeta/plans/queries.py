@@ -524,6 +524,15 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.upserted(_cache(spark, sf_dir), fresh).select("cache_key", "context_excerpt", "response", "version")
 
 
+def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata of one variable a document, their contexts, and a cache that holds the labelled documents' answers."""
+    contexts = _contexts(spark, sf_dir).withColumn("table_id", F.col("table_id").cast("string"))
+    blank = F.lit("")
+    own = contexts.select("table_id", F.lit(0).alias("ordinal"), F.lit("lang").alias("name"), F.lit("string").alias("datatype"), *(blank.alias(c) for c in ("element", "unit", "method", "description")), F.lit(None).cast("map<string,string>").alias("element_uri"))
+    cache = _cache(spark, sf_dir).withColumn("response", F.to_json(F.struct(F.col("response").alias("lang"))))
+    return own, contexts, cache
+
+
 def _provider(name: str, prompt: str) -> str:
     """A stand-in for a text provider: it tells the length of what it was asked."""
     return f'Sure: {{"lang": "{name.strip()} read {len(prompt)} characters"}}'
@@ -535,11 +544,37 @@ def _provider(name: str, prompt: str) -> str:
 )
 def describe_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a table's context; the cache holds the labelled ones' answers, others are asked for once a key."""
-    contexts = _contexts(spark, sf_dir).withColumn("table_id", F.col("table_id").cast("string"))
-    blank = F.lit("")
-    own = contexts.select("table_id", F.lit(0).alias("ordinal"), F.lit("lang").alias("name"), F.lit("string").alias("datatype"), *(blank.alias(c) for c in ("element", "unit", "method", "description")), F.lit(None).cast("map<string,string>").alias("element_uri"))
-    cache = _cache(spark, sf_dir).withColumn("response", F.to_json(F.struct(F.col("response").alias("lang"))))
-    return pipelines.described(own, contexts, cache, _provider)[0].select("table_id", "description")
+    return pipelines.described(*_described(spark, sf_dir), _provider)[0].select("table_id", "description")
+
+
+class _Unsteady:
+    """A stand-in for a text provider that fails for good on some requests and otherwise at every third call."""
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def __call__(self, name: str, prompt: str) -> str:
+        self.calls += 1
+        if len(prompt) % 10 == 7:
+            raise ValueError("refused")
+        if self.calls % 3 == 0:
+            raise TimeoutError("late")
+        return "No." if len(prompt) % 10 == 3 else _provider(name, prompt)
+
+
+_SENT = f"length(concat('{_ASK}', {_JOINED.format(chr(39) + ', ' + chr(39))}, '\nContext:\n', substring(text, 1, 30000)))"
+
+
+@_query(
+    f"with {_KEYED}, said as (select doc_id, c.response, {_SENT} as n from documents join keyed using (doc_id) left join cache c using (cache_key)) "
+    "select cast(doc_id as varchar) as table_id, case when response is not null then response when n % 10 in (3, 7) then '' else concat('local read ', n, ' characters') end as description, "
+    "case when response is not null then null when n % 10 = 7 then 'ValueError: refused' when n % 10 = 3 then 'no JSON object in the answer' end as error from said"
+)
+def describe_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As describe_cached, by a provider that raises now and then, and always on some requests: those give errors, all others answers."""
+    own, contexts, cache = _described(spark, sf_dir)
+    done, _, errors = pipelines.described_with_errors(own, contexts, cache, _Unsteady())
+    return done.select("table_id", "description").join(errors.select("table_id", "error"), "table_id", "left")
 
 
 @_query(f"with {CAT}, {IMP}, {_LAST}, twins as (select table_id, ordinal * 2 + k as ordinal, name, datatype, element, unit, method, description, element_uri, k from cat cross join (select 0 as k union all select 1 union all select 2))"

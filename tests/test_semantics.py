@@ -314,6 +314,76 @@ def test_one_call_for_each_distinct_request(spark, tmp_path):
     assert {got[x] for x in "tuw"} == {r[1].split('"')[3] for r in kept}
 
 
+def _asked(spark, n, parts=3):
+    rows = [(f"t{i}", "p", f"context {i}", ["a"]) for i in range(n)]
+    return answers.requests(spark.createDataFrame(rows, "table_id string, provider string, context string, variables array<string>").repartition(parts))
+
+
+def _counting(folder, every=3, refuses="none", dies=None):
+    """A provider that keeps a file for each call. It fails every third call of a task, or for good on what `refuses` says; with dies, its worker goes once after four calls."""
+    calls = 0
+
+    def provider(name, prompt):
+        import uuid
+
+        nonlocal calls
+        if dies and calls == 4 and not dies.exists():
+            dies.write_text("")
+            raise SystemExit("the worker is gone")
+        calls += 1
+        (folder / uuid.uuid4().hex).write_text(prompt)
+        if refuses in prompt:
+            raise ValueError("refused")
+        if every and calls % every == 0:
+            raise TimeoutError("late")
+        return '{"a": "%s"}' % prompt.rsplit("\n", 1)[1]
+
+    return provider
+
+
+def test_failing_calls_are_made_again_and_counted(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    got = answers.generated(_asked(spark, 30), _counting(calls, refuses="context 7"), retries=2, journal=f"file://{tmp_path}/kept").select("context", "response", "error", "attempts").collect()
+    assert {r.context: r.response for r in got} == {f"context {i}": None if i == 7 else '{"a": "context %d"}' % i for i in range(30)}
+    assert [(r.error, r.attempts) for r in got if r.error] == [("ValueError: refused", 3)]
+    made = len(list(calls.iterdir()))
+    assert made == sum(r.attempts for r in got)
+    again = answers.generated(_asked(spark, 30), _counting(calls, every=0), journal=f"file://{tmp_path}/kept").where("error is null").count()
+    assert again == 30
+    assert len(list(calls.iterdir())) == made + 1  # all but the refused one were kept as they arrived
+
+
+def test_a_task_that_dies_never_pays_twice(spark, tmp_path):
+    """The task fails after some answers have arrived; those are kept, and the next attempt calls for the rest."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    asked = _asked(spark, 12, 1)
+    with pytest.raises(Exception, match="gone|SystemExit"):
+        answers.generated(asked, _counting(calls, every=0, dies=tmp_path / "died"), journal=f"file://{tmp_path}/kept").collect()
+    assert len(list(calls.iterdir())) == 4
+    got = answers.generated(asked, _counting(calls, every=0, dies=tmp_path / "died"), journal=f"file://{tmp_path}/kept").collect()
+    assert len(got) == 12
+    assert all(r.response for r in got)
+    assert len(list(calls.iterdir())) == 12
+
+
+def test_errors_of_a_provider_are_rows(spark, tmp_path):
+    ctx = spark.createDataFrame([("t", "p", "good", ["a"]), ("s", "p", "bad", ["a"]), ("u", "p", "bad", ["a"]), ("v", "p", "mute", ["a"])], "table_id string, provider string, context string, variables array<string>")
+
+    def provider(name, prompt):
+        if prompt.endswith("bad"):
+            raise RuntimeError("no such model")
+        return "I cannot say." if prompt.endswith("mute") else '{"a": "fine"}'
+
+    cur = spark.createDataFrame([(t, 0, "a", "string", "", "", "", "own", None) for t in "tsuv"], META)
+    done, cache, errors = pipelines.described_with_errors(cur, ctx, spark.createDataFrame([], answers.CACHE), provider, f"file://{tmp_path}/out", retries=1)
+    assert _rows(done, "table_id", "description") == [("s", "own"), ("t", "fine"), ("u", "own"), ("v", "own")]
+    assert _rows(errors, "table_id", "error", "attempts") == [("s", "RuntimeError: no such model", 2), ("u", "RuntimeError: no such model", 2), ("v", "no JSON object in the answer", 1)]
+    assert sorted(r.response for r in cache.collect()) == ["I cannot say.", '{"a": "fine"}']
+
+
 def test_many_files(spark, tmp_path):
     (tmp_path / "a b.csv").write_bytes('name;Größe;name\r\n"x;y";1,5;NA\r\nz;;3\r\n'.encode("cp1252"))
     (tmp_path / "b.csv").write_text('k,t\n1,"two\nlines"\n2,"a ""b"""\n')

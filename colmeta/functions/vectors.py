@@ -61,6 +61,30 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return parts.groupBy(*by).agg(ordered.alias("mean"))
 
 
+#: Components of hashed_vector() are multiples of one over this: their sums and products are exact in doubles, whatever the order.
+STEPS = 1024
+
+
+def hashed_vector(text: Column, dim: int = 64) -> Column:
+    """A stand-in encoder as an expression: signed hashes of lower-cased words, of about unit length, rounded to STEPS.
+
+    It compares words, not meanings. A word is a run of letters; the first four hex digits of its md5 are its number h: it
+    adds 1 to component h mod dim if h < 32768, else -1. A null text and one without words give the zero vector. One pass
+    counts each component's words, so a text costs dim looks at each of its words.
+    """
+    numbers = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"))
+    places = F.transform(numbers, lambda h: F.when(h < 32768, h % dim).otherwise(h % dim - dim))
+    count = lambda s, d: F.size(F.filter(s, lambda x: x == d)) - F.size(F.filter(s, lambda x: x == d - dim))
+
+    def unit(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+        return F.transform(v, lambda x: F.when(size > 0, F.round(x / size * STEPS) / STEPS).otherwise(F.lit(0.0)))
+
+    # each transform over an array of one binds its value, so that it is made once
+    whole = F.transform(F.array(places), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: count(s, d).cast("long")))
+    return F.transform(whole, unit)[0]
+
+
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     """A stand-in encoder: signed hashes of lower-cased words, of unit length. It compares words, not meanings."""
 

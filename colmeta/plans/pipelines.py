@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colmeta.functions.vectors import blended, encoded, is_definition
 from colmeta.operators import answers, linking, match, merge, profile, select
-from colmeta.sources import export, store
+from colmeta.sources import export, lake, store
 
 
 def table_metadata(df: DataFrame, table_id: str) -> DataFrame:
@@ -27,6 +27,11 @@ def catalogue_metadata(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def lake_metadata(files: DataFrame) -> DataFrame:
+    """Metadata template of a lake's Parquet files (table_id, path), in one plan whatever the number of tables."""
+    return profile.template(lake.profile_files(files))
+
+
 def linked_metadata(observations: DataFrame, sites: DataFrame, on: str, site_key: str, table_id: str) -> DataFrame:
     """Metadata template of observations linked to their sites."""
     return table_metadata(linking.linked(observations, sites, on, site_key), table_id)
@@ -66,10 +71,13 @@ def described(metadata: DataFrame, contexts: DataFrame, cache: DataFrame, provid
     return described_with_errors(metadata, contexts, cache, provider, path)[:2]
 
 
-def matched(metadata: DataFrame, vocabulary: DataFrame, encoder: Callable[[pd.Series], list], k: int = match.NEAREST, alpha: float = 0.4) -> DataFrame:
-    """Hits of each column: table_id, ordinal, header, term columns, distance; the k nearest terms, one for each uri."""
-    words = encoded(metadata.select("table_id", "ordinal", "name", "description"), "name", encoder, "wv")
-    both = encoded(words, "description", encoder, "dv")
+def matched(metadata: DataFrame, vocabulary: DataFrame, encoder: Callable[[pd.Series], list] | Callable[[Column], Column], k: int = match.NEAREST, alpha: float = 0.4, native: bool = False) -> DataFrame:
+    """Hits of each column: table_id, ordinal, header, term columns, distance; the k nearest terms, one for each uri.
+
+    encoder takes batches of texts; with native it is an expression of a text column, such as hashed_vector.
+    """
+    own = metadata.select("table_id", "ordinal", "name", "description")
+    both = own.withColumns({"wv": encoder(F.col("name")), "dv": encoder(F.col("description"))}) if native else encoded(encoded(own, "name", encoder, "wv"), "description", encoder, "dv")
     vector = blended(F.col("wv"), F.when(is_definition(F.col("description")), F.col("dv")), alpha).cast("array<float>")
     keyed = both.select("table_id", "ordinal", F.col("name").alias("header"), F.xxhash64("table_id", "ordinal").alias("query"), vector.alias("vector"))
     found = match.with_terms(match.nearest(keyed, vocabulary.select("id", F.col("embedding").alias("vector")), k), vocabulary)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from colmeta.functions import predicates, text, vectors
 from colmeta.operators import answers, inverted, linking, match, merge, profile, select
 from colmeta.plans import pipelines
-from colmeta.sources import context, export, metadata, store, tables
+from colmeta.sources import context, export, lake, metadata, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,6 +158,12 @@ def type_profile_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@_query(ORACLE["type_profile_catalogue"])
+def type_profile_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables as files of a lake, in one plan."""
+    return lake.profile_files(lake.table_files(spark, {t: f"{sf_dir}/{t}.parquet" for t in _MANY}))
+
+
 @_query(f"select table_id, ordinal, name, datatype, '' as element, '' as unit, '' as method, '' as description, '' as element_uri from ({_profile_sql('supplier')})")
 def metadata_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_csv_rows(pipelines.table_metadata(_table(spark, sf_dir, "supplier"), "supplier"))
@@ -621,6 +627,17 @@ def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("int").alias("file"), "ordinal", "name", "value")
 
 
+@_query("""with p as (select *, case s_suppkey % 4 when 0 then 'Müller & Söhne' when 1 then 'café' when 2 then '10 €' else 'naïve – “quoted”' end as word, s_suppkey % 3 as file from supplier)
+select file, 0 as ordinal, 'Name' as name, s_name as value from p union all select file, 1, 'Größe', word from p union all select file, 2, 'Straße', case when s_suppkey % 5 = 0 then null else concat('Nr. ', s_nationkey) end from p""")
+def delimited_cp1252(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose bytes are Windows-1252 and no UTF-8, with characters that Latin-1 lacks: the charset is told from the lines."""
+    path, word = store.new_path(spark), "case s_suppkey % 4 when 0 then 'M\xfcller & S\xf6hne' when 1 then 'caf\xe9' when 2 then '10 \x80' else 'na\xefve \x96 \x93quoted\x94' end"
+    rows = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).alias("file"), F.col("s_name").alias("Name"), F.expr(word).alias("Gr\xf6\xdfe"), F.when(F.col("s_suppkey") % 5 == 0, "NA").otherwise(F.concat(F.lit("Nr. "), F.col("s_nationkey").cast("string"))).alias("Stra\xdfe"))
+    # Latin-1 writes a character below 256 as that byte; bytes 128 to 159 are what Windows-1252 has of its own
+    rows.repartition("file").write.options(sep=";", header=True, encoding="iso-8859-1").partitionBy("file").csv(path)
+    return tables.read_many(spark, path).select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("file"), "ordinal", "name", "value")
+
+
 def _workbook(rows: list[tuple]) -> bytes:
     """A small workbook of one sheet: text, number, date (serial 43831 on) and boolean columns under a header."""
     import io
@@ -737,6 +754,17 @@ def export_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(own.select("table_id", "name", "ordinal"), ["table_id", "name"]).select("table_id", "name", "unit", "description", "ordinal")
 
 
+@_query(f"with {CAT} select 'csvw' as form, table_id, name, coalesce(unit, '') as unit, coalesce(description, '') as description, ordinal from cat union all select 'csv', table_id, name, unit, nullif(description, ''), ordinal from cat")
+def export_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue through the CSVW export and, as a file, the CSV export, and back."""
+    own, path = _catalogue(spark, sf_dir), store.new_path(spark)
+    place = own.select("table_id", "name", "ordinal")
+    pipelines.exported(own, "csv").write.options(header=True, escape='"').csv(path)
+    back = metadata.from_json(pipelines.exported(own, "csvw")).withColumn("form", F.lit("csvw")).select("form", "table_id", "name", "unit", "description")
+    back = back.unionByName(metadata.read_metadata_csv(spark, path).withColumn("form", F.lit("csv")).select("form", "table_id", "name", "unit", "description"))
+    return back.join(place, ["table_id", "name"]).select("form", "table_id", "name", "unit", "description", "ordinal")
+
+
 # -- answers of providers --
 
 _OBJECT = """concat('{"variable_', conv_id, '":"turn ', turn, ' of ', role, '"}')"""
@@ -760,15 +788,45 @@ def context_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.page_texts(_table(spark, sf_dir, "pages")).select("page_id", F.md5("text").alias("text_md5"))
 
 
-@_query()
+def _hashed(text: str, dim: int = 64) -> str:
+    """SQL of vectors.hashed_vector()."""
+    numbers = f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}+'), lambda w: ('0x' || substring(md5(w), 1, 4))::int)"
+    places = f"list_transform({numbers}, lambda h: case when h < 32768 then h % {dim} else h % {dim} - {dim} end)"
+    counts = f"(select list_transform(range({dim}), lambda d: coalesce(c[d], 0)::bigint - coalesce(c[d - {dim}], 0)::bigint) from (select histogram(x) as c from (select unnest({places}) as x)))"
+    return f"(select list_transform(v, lambda x: case when s > 0 then round(x / s * {vectors.STEPS}) / {vectors.STEPS} else 0.0::double end) from (select v, sqrt(list_sum(list_transform(v, lambda x: x * x))::double) as s from (select coalesce({counts}, list_transform(range({dim}), lambda d: 0)) as v)))"
+
+
+_APART = "list_sum(list_transform(list_zip(q.v, t.v), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"
+
+
+@_query(f"""with q as (select doc_id, {_hashed("text")} as v from documents), t as (select item_id as id, {_hashed("text")} as v from benchmark)
+select doc_id, id, round(distance, 6) as distance, cast(rank as int) as rank from (select *, row_number() over (partition by doc_id order by distance, id) as rank from (select doc_id, id, {_APART} as distance from q cross join t)) where rank <= 4""")
 def hash_encode_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents matched with the benchmark's items as terms, by the stand-in encoder."""
-    encoder = vectors.hashing_encoder()
-    terms = vectors.encoded(_table(spark, sf_dir, "benchmark"), "text", encoder).select(F.col("item_id").alias("id"), F.col("embedding").alias("vector"))
-    docs = vectors.encoded(_table(spark, sf_dir, "documents"), "text", encoder).select(F.col("doc_id").alias("query"), F.col("embedding").alias("vector"))
+    encoder = vectors.hashed_vector
+    terms = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), encoder(F.col("text")).alias("vector"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), encoder(F.col("text")).alias("vector"))
     return _rounded(match.nearest(docs, terms)).withColumnRenamed("query", "doc_id")
 
 
+#: The user's terms are the kinds and names of parts, one uri for each name; the columns are the parts, in tables by brand. Halves keep every sum exact.
+KINDS = """select row_number() over (order by label) as id, concat('http://kinds.example/', replace(p_name, ' ', '-')) as uri, label, concat('definition of ', label) as definition,
+  case when length(label) % 2 = 0 then 'prefLabel' else 'altLabel' end as qc_label from (select distinct p_name, concat(p_type, ' ', p_name) as label from {part})"""
+
+
+@_query(f"""with {CAT}, kinds as ({_oracle(KINDS)}), t as (select *, {_hashed("label")} as v from kinds),
+w as (select table_id, ordinal, name as header, {_hashed("name")} as a, {_hashed("description")} as d, trim(coalesce(description, '')) <> '' and lower(trim(description)) <> 'nan' as defined from (select * replace (concat(element, ' ', name) as name) from cat)),
+q as (select table_id, ordinal, header, case when defined then list_transform(list_zip(a, d), lambda p: 0.5 * p[1] + 0.5 * p[2]) else a end as v from w),
+near as (select *, row_number() over (partition by table_id, ordinal order by distance, id) as rank from (select table_id, ordinal, header, id, uri, label, definition, qc_label, {_APART} as distance from q cross join t) qualify rank <= 4)
+select table_id, ordinal, header, id, uri, label, definition as term_definition, qc_label, round(distance, 6) as distance from near
+qualify row_number() over (partition by table_id, ordinal, uri order by case qc_label when 'prefLabel' then 0 when 'altLabel' then 1 else 2 end, distance, id) = 1""")
+def match_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main user step: names and descriptions of all columns, encoded, blended, matched with a vocabulary, one hit for each uri."""
+    own = _catalogue(spark, sf_dir).withColumn("name", F.concat("element", F.lit(" "), "name"))
+    terms = _derived(spark, sf_dir, KINDS).withColumn("embedding", vectors.hashed_vector(F.col("label")))
+    return _rounded(pipelines.matched(own, terms, vectors.hashed_vector, alpha=0.5, native=True))
+
+
 @_query("""select page_id, concat('<a href="', url, '" target="_blank">', url, '</a>, <a href="http://vocab.example/', page_id, '" target="_blank">http://vocab.example/', page_id, '</a>') as links from pages""")
 def clickable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     uris = F.array(F.col("url"), F.concat(F.lit("http://vocab.example/"), F.col("page_id").cast("string")))

@@ -244,6 +244,32 @@ def test_links_and_hints(spark):
     assert (got[1].n, got[1].l) == ("v", "")
 
 
+def test_hashed_vector_by_a_loop(spark):
+    import hashlib
+    import math
+    import re
+
+    def loop(text):
+        v = [0] * 64
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+            v[h % 64] += 1 if h < 32768 else -1
+        size = math.sqrt(sum(x * x for x in v))
+        return [math.copysign(math.floor(abs(x) / size * 1024 + 0.5), x) / 1024 if size else 0.0 for x in v]
+
+    texts = ["soil depth", "Depth, SOIL", "", None, "12_3 ü ß", "a " * 5000 + "b", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", vectors.hashed_vector(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [loop(t) for t in texts]
+
+
+def test_matched_by_expression(spark):
+    cur = _meta(spark, [("soil depth", "", "", "depth of soil"), ("air", "", "", "nan")])
+    voc = spark.createDataFrame([(1, "u1", "soil depth", "d", "prefLabel"), (2, "u2", "air", "d", "prefLabel"), (3, "u1", "depth", "d", "altLabel")], "id long, uri string, label string, definition string, qc_label string")
+    got = pipelines.matched(cur, voc.withColumn("embedding", vectors.hashed_vector(F.col("label"))), vectors.hashed_vector, k=3, native=True)
+    assert _rows(select.best_selected(got, ("table_id", "header")).where("selected"), "header", "id", "uri") == [("air", 2, "u2"), ("soil depth", 1, "u1")]
+    assert len(_rows(got, "header", "uri")) == 4
+
+
 def test_matched(spark):
     cur = _meta(spark, [("soil depth", "", "", "depth of soil"), ("air", "", "", "")])
     words = [(1, "u1", "soil depth", "d", "prefLabel"), (2, "u2", "air", "d", "prefLabel"), (3, "u1", "depth", "d", "altLabel")]

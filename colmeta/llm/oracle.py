@@ -49,14 +49,14 @@ def _shared_out(nodes: str, parents: str, me: str) -> str:
 _LEAVES = "select domain, lang, source, sum(tokens) as available, case lang when 'en' then 3.0::double when 'de' then 2.0 when 'fr' then 2.0 when 'es' then 2.0 else 1.0 end as w_lang from base group by 1, 2, 3"
 MIXING = f"""
 with base as (select doc_id, case when regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' then 'other' else concat('d', regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 4) end as domain,
-  coalesce(lang, '') as lang, coalesce(source, '') as source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as tokens from documents),
+  coalesce(lang, '') as lang, coalesce(source, '') as source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as tokens, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as mark from documents),
 leaves as ({_LEAVES}),
 a as ({_shared_out("select domain, sum(available) * 3.0::double as cap, 1.0::double as w, (select sum(available) from leaves)::double as above from leaves group by 1", "", "domain")}),
 b as ({_shared_out("select l.domain, lang, sum(available) * 3.0::double as cap, max(w_lang) as w, max(a.budget) as above from leaves l join a using (domain) group by 1, 2", "domain", "lang")}),
 c as ({_shared_out("select l.domain, l.lang, source, sum(available) * 3.0::double as cap, 1.0::double as w, max(b.budget) as above from leaves l join b using (domain, lang) group by 1, 2, 3", "domain, lang", "source")}),
 plan as (select domain, lang, source, cast(floor(budget + 1e-6) as bigint) as budget, cast(available as bigint) as available from c join leaves using (domain, lang, source)),
 cut as (select *, case when available > 0 then budget // available else 0 end as epochs from plan),
-placed as (select base.*, epochs, budget - epochs * available as rest, ('0x' || substr(md5(concat_ws('|', '17', epochs + 1, coalesce(doc_id::varchar, ''))), 1, 15))::bigint as place from base join cut using (domain, lang, source) where tokens > 0),
+placed as (select base.*, epochs, budget - epochs * available as rest, ('0x' || substr(md5(concat_ws('|', '17', epochs + 1, coalesce(doc_id::varchar, ''), mark)), 1, 15))::bigint as place from base join cut using (domain, lang, source) where tokens > 0),
 run as (select *, sum(tokens) over (partition by domain, lang, source order by place, tokens rows unbounded preceding) - tokens as so_far from placed)
 select doc_id, domain, lang, source, tokens, cast(epoch as int) as epoch, tokens as taken from (select *, unnest(generate_series(1, epochs)) as epoch from placed)
 union all

@@ -85,6 +85,20 @@ def test_mixed_documents(spark, odd_docs):
     assert "Python" not in plan
 
 
+@pytest.mark.parametrize("same_text", [True, False])
+def test_rows_that_share_a_key_fill_the_budget_exactly(spark, same_text):
+    """Most rows have no key: of those as many go as the budget holds, and no task has to take them all."""
+    ten = lambda i: " ".join(f"w{0 if same_text else i}x{k}" for k in range(10))
+    rows = [(None if i % 4 else i, ten(i), "en", "src1", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for share in (0.5, 0.503):
+        want = int(4000 * share)
+        assert mixing.mixture(docs, share, 1).agg(F.sum("taken")).first()[0] == want
+        kept = mixing.mixed_documents(docs, share)
+        assert want <= 10 * kept.count() < want + 10
+    assert mixing.mixture(docs, 2.5, 3).agg(F.sum("taken")).first()[0] == 10_000
+
+
 def test_domain(spark):
     got = spark.createDataFrame([("src7",), ("x",), ("",)], "s string").select(mixing.domain_of(F.col("s")).alias("d"))
     assert [r.d for r in got.collect()] == ["d3", "other", "other"]

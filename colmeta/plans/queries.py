@@ -395,6 +395,14 @@ def change_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.change_groups(df, "kind", ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@_query("""select case when group_id % 2 = 0 then '🔶' else '🔷' end as marker, event_id, kind, group_id from (select event_id, kind, cast(sum(case when first or kind is distinct from before then 1 else 0 end) over (order by ts, event_id rows unbounded preceding) as int) as group_id
+from (select event_id, ts, kind, lag(kind) over w as before, row_number() over w = 1 as first from (select *, nullif(event_type, 'view') as kind from events) window w as (order by ts, event_id)))""")
+def change_groups_one_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one table, cut into ranges of its order."""
+    df = _table(spark, sf_dir, "events").select(F.lit("events").alias("table_id"), "event_id", "ts", F.nullif("event_type", F.lit("view")).alias("kind"))
+    return select.change_groups_across(df, "kind", ["table_id"], ["ts", "event_id"]).drop("table_id", "ts")
+
+
 _SUM = ", one as (select header, label, min(uri) as least, min(ordinal) as ordinal from best where pick group by 1, 2), summed as (select header, string_agg(label, ' || ' order by label) as vocab, min(ordinal) as first_at, concat('{', string_agg(concat('\"', label, '\":\"', least, '\"'), ',' order by label), '}') as element_uri from one group by 1)"
 def _sum_sql(pick: str) -> str:
     return f"{KEPT}{_SUM}".replace("where pick", f"where {pick}")

@@ -300,6 +300,22 @@ def test_a_column_without_cells_keeps_its_place(spark):
     assert _rows(bare, "a", "c") == sorted([("1", "3"), (None, None)], key=str)
 
 
+def test_change_groups_across_ranges(spark):
+    import random
+
+    random.seed(1)
+    rows = [("big", i, random.choice(["a", "a", "b", None])) for i in range(3000)] + [(t, i, v) for t in (None, "s", "t") for i, v in enumerate("aab")] + [("one", 1, None)]
+    rows += [("same", i, "x") for i in range(500)]
+    random.shuffle(rows)
+    df = spark.createDataFrame([(*r, "k") for r in rows], "t string, `o.1` int, value string, `group` string").repartition(5)
+    got = select.change_groups_across(df, "value", ["t"], ["o.1"])
+    want = select.change_groups(df.withColumnRenamed("o.1", "o"), "value", ["t"], ["o"]).withColumnRenamed("o", "o.1")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert max(r.group_id for r in got.collect()) > 1000
+    assert select.change_groups_across(df.where("false"), "value", ["t"], ["o.1"]).count() == 0
+
+
 def test_nothing_selected_changes_nothing(spark):
     hits = spark.createDataFrame([("t", "a", 0, "l1", "u1", False), ("s", "a", 0, "l1", "u1", True), ("s", "b", 1, "l2", "u2", False)], "table_id string, header string, ordinal int, label string, uri string, selected boolean")
     cur = _meta(spark, [("a", "old", "", ""), ("b", "old", "", "")])

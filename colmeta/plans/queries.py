@@ -791,6 +791,23 @@ def context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", F.md5("context").alias("context_md5"))
 
 
+_TALK = "(select conv_id, string_agg(concat(trim(text), chr(10)), '' order by turn) as c from conversations group by conv_id)"
+_TALKS = "(select 'talks' as conv_id, string_agg(concat(trim(text), chr(10)), '' order by conv_id, turn) as c from conversations)"
+
+
+@_query(
+    "select conv_id, sha256(concat('local|', regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '|role,text')) as cache_key, "
+    f"md5(concat('{_ASK}', 'role, text', '\nContext:\n', substring(c, 1, 30000))) as prompt_md5 from (select conv_id::varchar as conv_id, c from {_TALK} union all select * from {_TALKS})"
+)
+def context_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with each conversation as a context, and with all of them as one, which no task holds."""
+    turns = _table(spark, sf_dir, "conversations")
+    each = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "text")
+    both = each.unionByName(turns.select(F.lit("talks").alias("conv_id"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), "text"))
+    asked = both.select("conv_id").distinct().select("conv_id", F.lit(" local ").alias("provider"), F.array(F.lit("role"), F.lit("text")).alias("variables"))
+    return context.streamed_requests(both, asked, ("conv_id",)).select("conv_id", "cache_key", F.md5("prompt").alias("prompt_md5"))
+
+
 @_query("select page_id, md5(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', chr(10), 'g'), '(?s)<style.*?</style>', chr(10), 'g'), '<[^>]*>', chr(9), 'g'), '[^ \\t\\n\\r\\f\\v]+'), ' ')) as text_md5 from pages")
 def context_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.page_texts(_table(spark, sf_dir, "pages")).select("page_id", F.md5("text").alias("text_md5"))

@@ -316,6 +316,38 @@ def test_change_groups_across_ranges(spark):
     assert select.change_groups_across(df.where("false"), "value", ["t"], ["o.1"]).count() == 0
 
 
+def test_streamed_requests_equal_those_of_whole_contexts(spark):
+    wide = "ü€😀 " * 3000
+    docs = [("t", 2, " b "), ("t", 1, "\n\t a"), ("t", 3, None), ("t", 4, wide), ("t", 4, wide), ("t", 5, " \n "), ("s", 1, ""), ("s", 2, "\n"), ("v", 1, "not asked"), ("w", None, "x"), ("w", 0, "y"), (None, 1, "no name"), ("long", 1, "z" * 40_000), ("long", 2, wide)]
+    asks = [("t", " p ", ["a", "b"]), ("t", None, None), ("s", "p", []), ("u", "p", ["a"]), ("w", "q", ["a"]), (None, "p", ["a"]), ("long", "p", ["a"])]
+    documents, asked = spark.createDataFrame(docs, "table_id string, seq int, text string"), spark.createDataFrame(asks, "table_id string, provider string, variables array<string>")
+    got = context.streamed_requests(documents, asked)
+    whole = asked.alias("q").join(context.assembled(documents).withColumnRenamed("table_id", "k"), F.col("table_id").eqNullSafe(F.col("k")), "left")
+    want = answers.requests(whole.select("table_id", "provider", "context", "variables"))
+    names = ("table_id", "provider", "variables", "cache_key", "prompt")
+    assert _rows(got, *names) == _rows(want, *names)
+    assert {r.table_id: len(r.context) for r in got.collect()}["long"] == text.CONTEXT_CHARS
+    assert context.streamed_requests(documents.where("false"), asked.where("false")).count() == 0
+
+
+def test_a_context_of_any_size_takes_bounded_memory():
+    """256 MB go through the feed in pieces; what it holds stays below 2 MB."""
+    import hashlib
+    import tracemalloc
+
+    piece = b"word " * 800
+    feed = context._Feed()
+    feed.ask("p", ["a"], "p", "a")
+    tracemalloc.start()
+    for _ in range(64_000):
+        feed.add(piece)
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+    _, _, head, key = next(feed.rows())
+    whole = hashlib.sha256(b"p|" + (piece * 64_000)[:-1] + b"|a").hexdigest()
+    assert (len(head), key) == (text.CONTEXT_CHARS, whole)
+
+
 def test_nothing_selected_changes_nothing(spark):
     hits = spark.createDataFrame([("t", "a", 0, "l1", "u1", False), ("s", "a", 0, "l1", "u1", True), ("s", "b", 1, "l2", "u2", False)], "table_id string, header string, ordinal int, label string, uri string, selected boolean")
     cur = _meta(spark, [("a", "old", "", ""), ("b", "old", "", "")])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,25 +128,120 @@ def described(answers: DataFrame) -> DataFrame:
     return parts.select("table_id", "name", "description", "parse_error")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+class CacheConflict(RuntimeError):
+    """Another writer has committed a version since the base was read."""
+
+
+#: Versions of a stored cache that stay readable behind a new one, and commits that an upsert tries.
+KEPT, TRIES = 2, 20
+_COMMIT = re.compile(r"[0-9]{10}")
+
+
+class _Store:
+    """A cache in a folder: tables under data, and for each version a small file under commits that names its table.
+
+    A version exists once its commit file does. The file is made whole elsewhere and then given its name, which fails if
+    another writer has taken it; that is atomic on HDFS and, by a link, on local and NFS folders.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.at = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self.at(f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []
+
+    def newest(self) -> int:
+        """Number of the last version, 0 if there is none."""
+        return max((int(n) for n in self._names("commits") if _COMMIT.fullmatch(n)), default=0)
+
+    def _commit(self, version: int) -> str:
+        return f"{self.path}/commits/{version:010d}"
+
+    def table(self, version: int) -> str:
+        with contextlib.closing(self.files.open(self.at(self._commit(version)))) as f:
+            return bytes(f.readAllBytes()).decode()
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(CACHE).parquet(f"{self.path}/data/{self.table(version)}") if version else self.spark.createDataFrame([], CACHE)
+
+    def write(self, cache: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        cache.select(*(c.split()[0] for c in CACHE.split(", "))).write.parquet(f"{self.path}/data/{name}")
+        return name
+
+    def commit(self, name: str, version: int) -> bool:
+        """Make the table the given version, if that isn't taken."""
+        part, target = self.at(f"{self.path}/commits/.{name}"), self.at(self._commit(version))
+        with contextlib.closing(self.files.create(part, True)) as f:
+            f.write(bytearray(name.encode()))
+        try:
+            if self.files.getScheme() == "file":
+                os.link(part.toUri().getPath(), target.toUri().getPath())
+                return True
+            none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri()).rename(part, target, none)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError:
+            if self.files.exists(target):
+                return False
+            raise
+        finally:
+            self.files.delete(part, False)
+
+    def drop(self, name: str) -> None:
+        self.files.delete(self.at(f"{self.path}/data/{name}"), True)
+
+    def clear(self, newest: int) -> None:
+        """Delete versions older than the last KEPT before the newest."""
+        for n in sorted(int(x) for x in self._names("commits") if _COMMIT.fullmatch(x)):
+            if n < newest - KEPT:
+                name = self.table(n)
+                self.files.delete(self.at(self._commit(n)), False)
+                self.drop(name)
+
+
+def cache_version(spark: SparkSession, path: str) -> int:
+    """Number of the stored cache's last version, 0 where there is none."""
+    return _Store(spark, path).newest()
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at path, empty where there is none. Its versions are folders; the last complete one counts."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], CACHE)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    names = [f.getPath().getName() for f in found]
-    done = sorted(n for n in names if n.startswith("v") and _exists(spark, f"{path}/{n}/_SUCCESS"))
-    return spark.read.schema(CACHE).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], CACHE)
-
-
-def store_cache(cache: DataFrame, path: str) -> None:
-    """Write the cache as a new version beside the ones before; readers see it when it is complete."""
-    spark, n = cache.sparkSession, 0
-    while _exists(spark, f"{path}/v{n:08d}"):
-        n += 1
-    cache.write.parquet(f"{path}/v{n:08d}")
+    """The last version of the cache at path, empty where there is none. It stays readable while KEPT more are written."""
+    store = _Store(spark, path)
+    return store.read(store.newest())
+
+
+def store_cache(cache: DataFrame, path: str, base: int | None = None) -> int:
+    """Write the cache as the version after base (the last one, if not given); readers see it when it is complete.
+
+    CacheConflict if that version has been committed meanwhile: nothing of another writer is ever overwritten.
+    """
+    store = _Store(cache.sparkSession, path)
+    base = store.newest() if base is None else base
+    name = store.write(cache)
+    if not store.commit(name, base + 1):
+        store.drop(name)
+        raise CacheConflict(f"version {base + 1} of {path} is there already")
+    store.clear(base + 1)
+    return base + 1
+
+
+def upsert_cache(answers: DataFrame, path: str) -> int:
+    """Add answers to the cache at path as upserted() does; of several writers at once each adds its own to the others'.
+
+    The merge is made again on the version that came between, if there is one. answers should be stored: they are read again then.
+    """
+    store = _Store(answers.sparkSession, path)
+    for _ in range(TRIES):
+        base = store.newest()
+        try:
+            return store_cache(upserted(store.read(base), answers), path, base)
+        except CacheConflict:
+            continue
+    raise CacheConflict(f"{TRIES} commits to {path} met others")

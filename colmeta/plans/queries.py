@@ -727,6 +727,22 @@ def cache_store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.read_cache(spark, path).select("cache_key", "response", "version")
 
 
+@_query(f"""with {_KEYED}, writer as (select cache_key, doc_id % 3 as w, min(length(text)) as n, min(excerpt) as excerpt from keyed join documents using (doc_id) group by 1, 2),
+fresh as (select cache_key, count(*) as writers, concat('read ', min(n)) as response, min(excerpt) as context_excerpt from writer group by 1)
+select f.cache_key, f.context_excerpt, f.response, cast(case when c.cache_key is null then 0 else 3 end + writers as int) as version from fresh f left join cache c on f.cache_key = c.cache_key""")
+def cache_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writers add answers to one stored cache at the same time; none is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = store.new_path(spark)
+    answers.store_cache(_cache(spark, sf_dir), path)
+    asked = answers.requests(_contexts(spark, sf_dir)).withColumn("response", F.concat(F.lit("read "), F.length("context").cast("string")))
+    parts = [store.written(asked.where(F.col("table_id") % 3 == w)) for w in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda part: answers.upsert_cache(part, path), parts))
+    return answers.read_cache(spark, path).select("cache_key", "context_excerpt", "response", "version")
+
+
 @_query("select item_id::varchar as name, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from benchmark")
 def context_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word processor's file of each benchmark item, made and read back."""

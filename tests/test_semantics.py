@@ -458,6 +458,38 @@ def test_errors_of_a_provider_are_rows(spark, tmp_path):
     assert sorted(r.response for r in cache.collect()) == ["I cannot say.", '{"a": "fine"}']
 
 
+def _answers(spark, keys, response="r"):
+    return spark.createDataFrame([(k, f"context {k}", ["a"], response, "p") for k in keys], "cache_key string, context string, variables array<string>, response string, provider string")
+
+
+def test_writers_keep_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/cache"
+    assert answers.cache_version(spark, path) == answers.read_cache(spark, path).count() == 0
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda w: answers.upsert_cache(_answers(spark, [f"k{w}", "all"]), path), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4]
+    assert _rows(answers.read_cache(spark, path), "cache_key", "version") == [("all", 4), ("k0", 1), ("k1", 1), ("k2", 1), ("k3", 1)]
+
+
+def test_a_base_that_is_no_longer_the_last_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    first = answers.upsert_cache(_answers(spark, "a"), path)
+    old = answers.read_cache(spark, path)
+    mine = answers.upserted(old, _answers(spark, "b"))
+    answers.upsert_cache(_answers(spark, "c"), path)
+    with pytest.raises(answers.CacheConflict):
+        answers.store_cache(mine, path, first)
+    assert _rows(answers.read_cache(spark, path), "cache_key") == [("a",), ("c",)]
+    assert old.count() == 1  # a reader's version stays while newer ones come
+    for i in range(4):
+        answers.upsert_cache(_answers(spark, str(i)), path)
+    assert len(list((tmp_path / "cache" / "data").iterdir())) == answers.KEPT + 1
+    assert len([p for p in (tmp_path / "cache" / "commits").iterdir() if not p.name.startswith(".")]) == answers.KEPT + 1
+    assert answers.cache_version(spark, path) == 6
+
+
 def test_many_files(spark, tmp_path):
     (tmp_path / "a b.csv").write_bytes('name;Größe;name\r\n"x;y";1,5;NA\r\nz;;3\r\n'.encode("cp1252"))
     (tmp_path / "b.csv").write_text('k,t\n1,"two\nlines"\n2,"a ""b"""\n')

@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 _DIGITS = r"\d++(?:_\d++)*+"
 NUMBER = rf"^[ \t\n\x0B\f\r]*+[+-]?(?:(?:{_DIGITS}[.,]?(?:{_DIGITS})?|[.,]{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?|nan))[ \t\n\x0B\f\r]*+$"
 WHITE = r"^[ \t\n\x0B\f\r]*$"
-#: Date formats by the shape of the values that they fit. Two-part dates need a year of four digits.
-DATE_FORMATS = {
-    r":.*T|T.*:": ("y-M-d'T'H:m[:s[.SSSSSS]][XXX]",),
-    r":": ("y-M-d H:m[:s[.SSSSSS]][XXX]",),
-    r"[A-Za-z]": ("d-MMM-y", "MMM-yyyy"),
-    r"^\d+-\d+-": ("y-M-d", "M-d-y", "d-M-y"),
-    r"^\d+/\d+/": ("y/M/d", "M/d/y", "d/M/y"),
-    r"^\d+\.\d+\.": ("y.M.d", "M.d.y", "d.M.y"),
-    r"-": ("yyyy-M", "M-yyyy"),
-    r"/": ("yyyy/M", "M/yyyy"),
-}
-#: Shape of a value that is worth trying as a date.
-DATE_SHAPE = r"^(\d{1,4}[-/.](\d{1,2}|[A-Za-z]{3})[-/.]\d{1,4}([ T]\d{1,2}:\d{1,2}.*)?|\d{4}[-/]\d{1,2}|\d{1,2}[-/]\d{4}|[A-Za-z]{3}-\d{4})$"
+
+
+def _dates() -> str:
+    """Regular expression of the dates without time: what the calendar has, and nothing else.
+
+    Three numbers in the orders year-month-day, month-day-year and day-month-year with one of three separators, a day with
+    a month's name and a year, or a month with a year of four digits. Years have up to four digits, others up to two.
+    """
+    d28, d30, d31 = r"(?:0?[1-9]|1\d|2[0-8])", r"(?:0?[1-9]|[12]\d|30)", r"(?:0?[1-9]|[12]\d|3[01])"
+    fourth = r"(?:0[48]|[2468][048]|[13579][26])"
+    leap = rf"(?:[048]|00|[048]00|(?:00|{fourth})00|\d{{0,2}}{fourth})"
+    named = {"31": "(?i:jan|mar|may|jul|aug|oct|dec)", "30": "(?i:apr|jun|sep|nov)", "2": "(?i:feb)"}
+    months = ((r"(?:0?[13578]|1[02])", d31, named["31"], r"\d{1,4}"), (r"(?:0?[469]|11)", d30, named["30"], r"\d{1,4}"), ("0?2", d28, named["2"], r"\d{1,4}"), ("0?2", "29", named["2"], leap))
+    forms = []
+    for month, day, name, year in months:
+        forms += [s.join(order) for s in ("-", "/", r"\.") for order in ((year, month, day), (month, day, year), (day, month, year))]
+        forms.append(f"{day}-{name}-{year}")
+    month = r"(?:0?[1-9]|1[0-2])"
+    forms += [rf"\d{{4}}[-/]{month}", rf"{month}[-/]\d{{4}}", rf"{named['31'][:-1]}|apr|jun|sep|nov|feb)-\d{{4}}"]
+    return f"^(?:{'|'.join(forms)})$"
+
+
+DATE = _dates()
+#: Shape of a value that is worth trying as a date with a time, and its formats with a space and with a T.
+TIMED = r"^\d{1,4}-\d{1,2}-\d{1,4}[ T]\d{1,2}:\d{1,2}.*$"
+TIMED_FORMATS = ("y-M-d H:m[:s[.SSSSSS]][XXX]", "y-M-d'T'H:m[:s[.SSSSSS]][XXX]")
 #: Words for a missing value in delimited files.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TYPES = ("string", "numeric", "date")
@@ -48,11 +61,9 @@ def is_white(value: Column) -> Column:
 
 
 def is_date(value: Column) -> Column:
-    """Whether a trimmed text is a date in one of DATE_FORMATS. Only the formats of the value's shape are tried."""
-    fits = F.when(~value.rlike(DATE_SHAPE), False)
-    for shape, formats in DATE_FORMATS.items():
-        fits = fits.when(value.rlike(shape), F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats)).isNotNull())
-    return F.coalesce(fits.otherwise(False), F.lit(False))
+    """Whether a trimmed text is a date, by one test of DATE, or a date with a time, by one parse."""
+    timed = F.try_to_timestamp(value, F.when(value.contains("T"), TIMED_FORMATS[1]).otherwise(TIMED_FORMATS[0])).isNotNull()
+    return F.coalesce(F.when(value.rlike(DATE), True).when(value.rlike(TIMED), timed), F.lit(False))
 
 
 def without_na(value: Column) -> Column:

@@ -181,8 +181,9 @@ class _Store:
             if self.files.getScheme() == "file":
                 os.link(part.toUri().getPath(), target.toUri().getPath())
                 return True
-            none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-            none[0] = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+            none = self.spark.sparkContext._gateway.new_array(options, 1)
+            none[0] = options.NONE  # fails where the target exists
             self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri()).rename(part, target, none)
             return True
         except FileExistsError:

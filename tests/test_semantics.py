@@ -159,6 +159,27 @@ def test_vectors(spark):
     assert (got[1].n, got[1].b, got[0].t, got[1].t) == ([0.0, 0.0], [0.0, 0.0], True, False)
 
 
+def test_dates_are_those_of_the_calendar(spark):
+    import calendar
+    import itertools
+
+    names = [n.lower() for n in calendar.month_abbr]
+
+    def real(y, m, d):
+        return len(y) <= 4 and len(m) <= 2 and len(d) <= 2 and 1 <= int(m) <= 12 and 1 <= int(d) <= (29 if int(m) == 2 and calendar.isleap(int(y)) else 28 if int(m) == 2 else calendar.mdays[int(m)])
+
+    values, want = [], []
+    for (y, m, d), sep in itertools.product(itertools.product(("0", "4", "99", "100", "0400", "1900", "2000", "2023", "2024"), ("0", "1", "02", "2", "4", "9", "11", "12", "13"), ("0", "1", "09", "28", "29", "30", "31", "32")), "-/."):
+        for x in ((y, m, d), (m, d, y), (d, m, y)):
+            values.append(sep.join(x))
+            want.append(any(real(*o) for o in ((x[0], x[1], x[2]), (x[2], x[0], x[1]), (x[2], x[1], x[0]))))
+        if sep == "-" and 1 <= int(m) <= 12:
+            values += [f"{d}-{names[int(m)].upper()}-{y}", f"{y}-{m}", f"{m}/{y}", f"{names[int(m)]}-{y}"]
+            want += [real(y, m, d), *[len(y) == 4] * 3]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", predicates.is_date(F.col("v")).alias("d")).orderBy("i").collect()
+    assert [v for v, g, w in zip(values, got, want, strict=True) if g.d != w] == []
+
+
 def test_change_groups(spark):
     df = spark.createDataFrame([("t", i, v) for i, v in enumerate(["b", None, None, "a", "a"])], "table_id string, at int, v string")
     got = select.change_groups(df, "v", ["table_id"], ["at"])

@@ -678,6 +678,17 @@ def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_header(tables.sheet_cells(books.mapInPandas(made, "path string, content binary"))).drop("sheet")
 
 
+@_query(
+    f"""with cells as ({_oracle(SHEETS)}){_HEADER}, names as (select c.file, c.sheet, col, coalesce(max(case when row = header_row then nullif(trim(value), '') end), concat('col_', col)) as name from cells c join head using (file, sheet) where row >= header_row group by 1, 2, 3)
+select c.file, c.sheet, c.row - header_row - 1 as row_id, string_agg(concat(name, '=', value), ';' order by c.col) as line from cells c join head using (file, sheet) join names n on n.file = c.file and n.sheet = c.sheet and n.col = c.col where c.row > header_row group by 1, 2, 3"""
+)
+def sheets_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sheets of a book as wide rows in one job."""
+    wide = tables.wide_rows(_derived(spark, sf_dir, SHEETS))
+    line = F.array_join(F.zip_with("names", "values", lambda n, v: F.concat(n, F.lit("="), v)), ";")
+    return wide.select("file", "sheet", "row_id", line.alias("line"))
+
+
 @_query(f"with {CAT} select table_id, name, datatype, nullif(element, '') as element, unit, nullif(description, '') as description, element_uri from cat")
 def metadata_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's CSV export, imported again; blanks come back as missing values."""

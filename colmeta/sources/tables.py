@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ from datetime import datetime, timedelta
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colmeta.functions.predicates import without_na
@@ -21,8 +22,8 @@ from colmeta.functions.predicates import without_na
 DELIMITERS = (",", ";", "\t", "|")
 #: Spark reads Latin-1; where the two differ, Windows-1252 has these characters (or the replacement character).
 _CONTROL, _WINDOWS = bytes(range(128, 160)).decode("latin-1"), bytes(range(128, 160)).decode("cp1252", "replace")
-#: Rows of a sheet that may be the header.
-HEADER_ROWS = 10
+#: Rows of a sheet that may be the header; cells and shared strings that are handled at once.
+HEADER_ROWS, CELLS = 10, 10_000
 
 
 def sniffed(lines: DataFrame) -> DataFrame:
@@ -163,43 +164,78 @@ def _as_date(serial: str, start: datetime) -> str:
     return at.strftime("%Y-%m-%d") if seconds % 86400 == 0 else at.strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _elements(z: zipfile.ZipFile, name: str, inside: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements `tag` below `inside` of a workbook's part, one at a time; what has been read is forgotten."""
+    with z.open(name) as f:
+        above = None
+        for event, e in ElementTree.iterparse(f, events=("start", "end")):
+            if event == "start" and e.tag == f"{_XLSX}{inside}":
+                above = e
+            elif event == "end" and e.tag == f"{_XLSX}{tag}" and above is not None:
+                yield e
+                above.clear()
+
+
+class _Shared:
+    """A workbook's shared strings, in Arrow's buffers: their characters and an offset each."""
+
+    def __init__(self, z: zipfile.ZipFile) -> None:
+        parts, held = [], []
+        if "xl/sharedStrings.xml" in z.namelist():
+            for si in _elements(z, "xl/sharedStrings.xml", "sst", "si"):
+                held.append("".join(t.text or "" for t in si.iter(f"{_XLSX}t")))
+                if len(held) == CELLS:
+                    parts.append(pa.array(held, pa.string()))
+                    held = []
+        self.parts = [*parts, pa.array(held, pa.string())]
+
+    def __getitem__(self, i: int) -> str:
+        return self.parts[i // CELLS][i % CELLS].as_py()
+
+
 def _sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """Sheet name, row, column and text of the cells of a workbook: dates as ISO text, booleans as True or False."""
+    """Sheet name, row, column and text of the cells of a workbook: dates as ISO text, booleans as True or False.
+
+    Sheets are read row by row, so a workbook takes its own size and its shared strings, however many cells it has.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_XLSX}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_XLSX}si")]
+        shared = _Shared(z)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         dates, book = _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
         since_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_XLSX}workbookPr"))
         start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
         for sheet in book.iter(f"{_XLSX}sheet"):
             target = targets[sheet.get(_RELATION)].lstrip("/")
-            for c in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_XLSX}c"):
-                letters, number = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                col = 0
-                for x in letters:
-                    col = 26 * col + ord(x) - 64
-                kind, value = c.get("t"), c.find(f"{_XLSX}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_XLSX}t")) if kind == "inlineStr" else "" if value is None else value.text or ""
-                if text and kind == "s":
-                    text = shared[int(text)]
-                elif text and kind == "b":
-                    text = "True" if text == "1" else "False"
-                elif text and kind in (None, "n") and int(c.get("s") or 0) in dates:
-                    text = _as_date(text, start)
-                yield sheet.get("name"), int(number) - 1, col - 1, text
+            for row in _elements(z, target if target.startswith("xl/") else f"xl/{target}", "sheetData", "row"):
+                for c in row.iter(f"{_XLSX}c"):
+                    letters, number = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                    col = 0
+                    for x in letters:
+                        col = 26 * col + ord(x) - 64
+                    kind, value = c.get("t"), c.find(f"{_XLSX}v")
+                    text = "".join(t.text or "" for t in c.iter(f"{_XLSX}t")) if kind == "inlineStr" else "" if value is None else value.text or ""
+                    if text and kind == "s":
+                        text = shared[int(text)]
+                    elif text and kind == "b":
+                        text = "True" if text == "1" else "False"
+                    elif text and kind in (None, "n") and int(c.get("s") or 0) in dates:
+                        text = _as_date(text, start)
+                    yield sheet.get("name"), int(number) - 1, col - 1, text
 
 
 def sheet_cells(files: DataFrame) -> DataFrame:
-    """Cells of workbooks (path, content) in long form: file, sheet, row, col, value."""
+    """Cells of workbooks (path, content) in long form: file, sheet, row, col, value. They leave a task CELLS at a time."""
+    names, types = ["file", "sheet", "row", "col", "value"], (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame([(path, *c) for c in _sheet_cells(content)], columns=["file", "sheet", "row", "col", "value"])
+            for i in range(b.num_rows):  # one workbook's bytes at a time
+                path, cells = b.column(0)[i].as_py(), _sheet_cells(b.column(1)[i].as_py())
+                while part := list(itertools.islice(cells, CELLS)):
+                    columns = [[path] * len(part), *zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return files.select("path", "content").mapInPandas(run, "file string, sheet string, row int, col int, value string")
+    return files.select("path", "content").mapInArrow(run, "file string, sheet string, row int, col int, value string")
 
 
 def read_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -238,6 +274,27 @@ def as_table(named: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     return wide.select(*(F.col(str(r["ordinal"])).alias(n) for r, n in zip(found, unique_names([r["name"] for r in found]), strict=True)))
 
 
+def wide_rows(cells: DataFrame) -> DataFrame:
+    """All sheets in wide form in one job: file, sheet, row_id, names, values, where values[i] stands under names[i].
+
+    names are a sheet's unique headers in order; a cell that isn't there is null. Rows without a cell have no row.
+    """
+    heads = headers(cells).groupBy("file", "sheet").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("h"))
+    # a name's repeats get .1, .2 and so on, as unique_names() gives them
+    unique = F.aggregate(F.col("h")["name"], F.array().cast("array<string>"), lambda seen, n: F.concat(seen, F.array(_free_name(seen, n))))
+    heads = heads.select("file", "sheet", F.col("h")["ordinal"].alias("ordinals"), unique.alias("names"))
+    at = cells.join(header_rows(cells), ["file", "sheet"]).where("row > header_row")
+    rows = at.groupBy("file", "sheet", (F.col("row") - F.col("header_row") - 1).alias("row_id")).agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("by"))
+    values = F.transform("ordinals", lambda o: F.try_element_at("by", o))
+    return rows.join(heads, ["file", "sheet"]).select("file", "sheet", "row_id", "names", values.alias("values"))
+
+
+def _free_name(seen: Column, name: Column) -> Column:
+    """The name, or the first of name.1, name.2, ... that is not among those seen."""
+    tried = F.transform(F.sequence(F.lit(1), F.size(seen) + 1), lambda i: F.concat(name, F.lit("."), i.cast("string")))
+    return F.when(~F.array_contains(seen, name), name).otherwise(F.filter(tried, lambda t: ~F.array_contains(seen, t))[0])
+
+
 def sheet_table(cells: DataFrame) -> DataFrame:
     """One sheet's cells as a wide table, with every column that has a header or a cell."""
     return as_table(with_header(cells), headers(cells))

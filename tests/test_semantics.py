@@ -511,6 +511,32 @@ def test_a_base_that_is_no_longer_the_last_is_refused(spark, tmp_path):
     assert answers.cache_version(spark, path) == 6
 
 
+def test_a_large_sheet_takes_little_memory():
+    """200,000 cells, half of them shared strings, pass without a tree of them."""
+    import tracemalloc
+
+    space, out = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{space}">' + "".join(f"<si><r><t>text </t></r><r><t>{i}</t></r></si>" for i in range(50_000)) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>' + "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i % 50_000}</v></c><c r="AB{i}"><v>{i}.5</v></c></row>' for i in range(1, 100_001)) + "</sheetData></worksheet>")
+    content, n, last = out.getvalue(), 0, None
+    tracemalloc.start()
+    for cell in tables._sheet_cells(content):
+        n, last = n + 1, cell
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n, last) == (200_000, ("S", 99_999, 27, "100000.5"))
+    assert peak < 8_000_000
+
+
+def test_wide_rows_of_all_sheets(spark):
+    cells = [("f", "s", 0, 0, "title"), ("f", "s", 1, 0, "k"), ("f", "s", 1, 1, "v"), ("f", "s", 1, 2, "v"), ("f", "s", 2, 0, "1"), ("f", "s", 2, 2, "3"), ("f", "s", 4, 3, "x"), ("g", "s", 0, 0, "a"), ("g", "s", 1, 0, "b")]
+    got = tables.wide_rows(spark.createDataFrame(cells, "file string, sheet string, row int, col int, value string"))
+    assert _rows(got, "file", "row_id", "names", "values") == sorted([("f", 0, ["k", "v", "v.1", "col_3"], ["1", None, "3", None]), ("f", 2, ["k", "v", "v.1", "col_3"], [None, None, None, "x"]), ("g", 0, ["a"], ["b"])], key=str)
+
+
 def test_many_files(spark, tmp_path):
     (tmp_path / "a b.csv").write_bytes('name;Größe;name\r\n"x;y";1,5;NA\r\nz;;3\r\n'.encode("cp1252"))
     (tmp_path / "b.csv").write_text('k,t\n1,"two\nlines"\n2,"a ""b"""\n')

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colmeta.functions.vectors import distance
 
@@ -50,18 +51,20 @@ def nearest_by_expression(queries: DataFrame, terms: DataFrame, k: int = NEAREST
 
 
 def _packed(rows: int):
-    """Packs (id, vector) rows of a task into blocks of vectors of one size: ids, flat float64 vectors, their size."""
+    """Packs (id, vector) rows of a task into blocks of vectors of one size: ids (numbers as bytes, texts as a list), flat float64 vectors, their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy().astype(np.int64)
+            text = not pa.types.is_integer(b.schema.field(0).type)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             sizes = np.diff(b.column(1).offsets.to_numpy())
             for dim in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == dim)
                 for i in range(0, len(own), rows):
                     at = own[i : i + rows]
                     x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[at].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "xs", "dim"])
+                    own_ids = pa.array([ids[at].tolist()], pa.list_(pa.string())) if text else pa.array([ids[at].astype(np.int64).tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([own_ids, pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["ids", "xs", "dim"])
 
     return run
 
@@ -70,7 +73,7 @@ def _products(k: int, metric: str, exclude_same_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_ids, q_xs, dim, ids, xs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                qi, ti = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                qi, ti = (np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.array(x, object) for x in (q_ids, ids))
                 q, t = np.frombuffer(q_xs).reshape(-1, dim), np.frombuffer(xs).reshape(-1, dim)
                 if metric == "cosine":
                     q, t = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1) for x in (q, t))
@@ -91,12 +94,16 @@ def _products(k: int, metric: str, exclude_same_id: bool):
 def nearest(queries: DataFrame, terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", stripes: int | None = None, exclude_same_id: bool = False) -> DataFrame:
     """As nearest_by_expression(), by products of packed blocks: each pair of blocks gives k rows a query, not all pairs.
 
-    Blocks of terms are dealt to stripes and blocks of queries go to each, whatever the sizes of both.
+    Ids may be numbers or texts. Blocks of terms are dealt to stripes and blocks of queries go to each, whatever the sizes of both.
     """
-    block, stripes = "ids binary, xs binary, dim int", _stripes(terms, stripes)
-    t = _fine(terms, "id").select(F.col("id").cast("long"), "vector").repartition(stripes, "id").mapInArrow(_packed(TERMS), block).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int"))
-    q = _fine(queries, "query").select(F.col("query").cast("long"), "vector").mapInArrow(_packed(QUERIES), block).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), "dim", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    pairs = q.join(t, ["stripe", "dim"]).select("q_ids", "q_xs", "dim", "ids", "xs").mapInArrow(_products(k, metric, exclude_same_id), "query long, id long, distance double")
+    stripes, kinds = _stripes(terms, stripes), {}
+    for side, df in (("query", queries), ("id", terms)):
+        kinds[side] = "long" if isinstance(df.schema[side].dataType, T.IntegralType) else "string"
+    block = {side: f"ids {'binary' if kind == 'long' else 'array<string>'}, xs binary, dim int" for side, kind in kinds.items()}
+    same = exclude_same_id and kinds["query"] == kinds["id"]
+    t = _fine(terms, "id").select(F.col("id").cast(kinds["id"]), "vector").repartition(stripes, "id").mapInArrow(_packed(TERMS), block["id"]).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int"))
+    q = _fine(queries, "query").select(F.col("query").cast(kinds["query"]), "vector").mapInArrow(_packed(QUERIES), block["query"]).select(F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), "dim", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
+    pairs = q.join(t, ["stripe", "dim"]).select("q_ids", "q_xs", "dim", "ids", "xs").mapInArrow(_products(k, metric, same), f"query {kinds['query']}, id {kinds['id']}, distance double")
     return _ranked(pairs, k)
 
 

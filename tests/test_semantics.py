@@ -436,6 +436,15 @@ def _counting(folder, every=3, refuses="none", dies=None):
     return provider
 
 
+def test_nearest_of_text_ids(spark):
+    terms = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [5.0, 5.0]), ("é", [0.0, 1.0]), (None, [1.0, 1.0])], "id string, vector array<double>")
+    asked = spark.createDataFrame([("a", [0.0, 1.0]), ("q", [5.0, 4.0])], "query string, vector array<double>")
+    for f in (match.nearest_by_expression, match.nearest):
+        assert _rows(f(asked, terms, k=2), "query", "id", "rank") == [("a", "a", 1), ("a", "é", 2), ("q", "a", 2), ("q", "b", 1)]
+        assert _rows(f(asked, terms, k=1, exclude_same_id=True), "query", "id") == [("a", "é"), ("q", "b")]
+        assert _rows(f(asked.select(F.lit(7).alias("query"), "vector").limit(1), terms, k=1), "query", "id") in ([(7, "a")], [(7, "b")])
+
+
 def test_failing_calls_are_made_again_and_counted(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()

@@ -9,8 +9,8 @@ with some 20 bytes for every 14 words.
 A shard builds an FM-index over its segments and streams them through it: backward search over a wavelet matrix gives
 the longest matches, and those of a window's length and more are reported. Equal segments are indexed once.
 
-An anchor with very many segments has no shard: no task takes them all. Its windows are counted by digests of 128 bits,
-which Spark sums before the shuffle. Equal texts are one text; of a text that occurs twice every window is repeated.
+An anchor with very many segments has no shard: no task takes them all. Its windows are dealt to chunks, text by text, and
+counted by digests of 128 bits: by chunk first, then over all chunks. Equal texts are one text; of a text that occurs twice every window is repeated.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,12 @@ from .fm_index import FMIndex, repeated_intervals
 from .shared import scratch, stored, text_of
 from .words import chunks, exact_hashes, grams, kept_sha256, mixed, raw_texts
 
-#: Words of a window and of an anchor; words of a shard; segments of one anchor that a shard takes.
+#: Words of a window and of an anchor; words of a shard; segments of one anchor that go to a shard.
 WINDOW, GRAM = 35, 8
 SHARD_WORDS = 1 << 20
 ANCHOR_SEGMENTS = 1 << 13
+#: Windows under frequent anchors that are counted together before they meet others, but for a text's own.
+CHUNK_WINDOWS = 1 << 16
 
 
 def _anchors(words: np.ndarray, at: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,20 +125,57 @@ def _matched(window: int):
 
 
 def _windows(affected: DataFrame, window: int) -> DataFrame:
-    """digest, tid, start of each window under a frequent anchor."""
+    """chunk, tid, starts (8 bytes a window), digests (16 bytes) of each text's windows under frequent anchors, dealt to chunks of CHUNK_WINDOWS."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for tid, text, spans in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = exact_hashes(text)
-                some = np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in spans if s["frequent"]])
-                digests = np.stack([grams(words, window)[some], grams(mixed(words ^ np.uint64(0x2545F4914F6CDD1D)), window)[some]], axis=1)
-                for k in range(0, len(some), 10_000):
-                    part = np.ascontiguousarray(digests[k : k + 10_000])
-                    columns = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(part), [None, pa.py_buffer(part.tobytes())]).cast(pa.binary()), pa.array([tid] * len(part), pa.int64()), pa.array(some[k : k + 10_000])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["digest", "tid", "start"])
+                starts = np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in spans if s["frequent"]])
+                digests = np.stack([grams(words, window)[starts], grams(mixed(words ^ np.uint64(0x2545F4914F6CDD1D)), window)[starts]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n // CHUNK_WINDOWS]), pa.array([tid]), pa.array([starts.tobytes()]), pa.array([digests.tobytes()])], names=["chunk", "tid", "starts", "digests"])
+                n += len(starts)
 
-    return affected.where(F.exists("spans", lambda s: s["frequent"])).select("tid", "text", "spans").mapInArrow(cut, "digest binary, tid long, start long")
+    return affected.where(F.exists("spans", lambda s: s["frequent"])).select("tid", "text", "spans").mapInArrow(cut, "chunk long, tid long, starts binary, digests binary")
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """chunk, digest, n: a chunk's distinct windows, with how often it has each."""
+    pairs = np.frombuffer(b"".join(table["digests"].to_pylist()), "V16")
+    distinct, n = np.unique(pairs, return_counts=True)
+    return pa.table({"chunk": np.full(len(n), table["chunk"][0].as_py()), "digest": pa.array([d.tobytes() for d in distinct], pa.binary()), "n": n})
+
+
+def _marked(window: int):
+    """Function that gives what a chunk's windows among the repeated digests cover of each text: tid, start, end."""
+
+    def mark(texts: pa.Table, digests: pa.Table) -> pa.Table:
+        repeated = np.frombuffer(b"".join(digests["digest"].to_pylist()), "V16")
+        raw = texts["starts"].to_pylist()
+        found = np.isin(np.frombuffer(b"".join(texts["digests"].to_pylist()), "V16"), repeated)
+        start = np.frombuffer(b"".join(raw), np.int64)[found]
+        tid = np.repeat(texts["tid"].to_numpy(), [len(r) // 8 for r in raw])[found]
+        by = np.lexsort((start, tid))
+        tid, start = tid[by], start[by]
+        opens = np.flatnonzero(np.r_[True, (tid[1:] != tid[:-1]) | (start[1:] > start[:-1] + window)]) if len(start) else np.zeros(0, np.int64)
+        closes = np.r_[opens[1:], len(start)][: len(opens)] - 1
+        return pa.table({"tid": tid[opens], "start": start[opens], "end": start[closes] + window})
+
+    return mark
+
+
+def _frequent(affected: DataFrame, window: int) -> DataFrame:
+    """tid, start, end of what is repeated under frequent anchors.
+
+    A chunk's equal windows become one row before the shuffle, and only the repeated ones come back to it: as many rows as
+    chunks have distinct ones, however often a window occurs.
+    """
+    texts = stored(_windows(affected, window))
+    counted = stored(texts.groupBy("chunk").applyInArrow(_counted, "chunk long, digest binary, n long"))
+    twice = counted.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+    back = counted.select("chunk", "digest").join(twice.hint("rebalance"), "digest")
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_marked(window), "tid long, start long, end long")
 
 
 def _cleared(affected: DataFrame, found: DataFrame) -> DataFrame:
@@ -187,9 +227,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         dealt = _segments(affected, total // shard_words + 1, window)
         found = dealt.groupBy("shard").applyInArrow(_matched(window), "tid long, start long, end long")
         if frequent:
-            windows = stored(_windows(affected, window))
-            twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-            found = found.unionByName(windows.join(twice.hint("rebalance"), "digest").select("tid", "start", (F.col("start") + window).alias("end")))
+            found = found.unionByName(_frequent(affected, window))
         cleared = stored(_cleared(affected, found))
 
         result = one.select("d", "copies").join(cleared, "d", "left")

@@ -25,8 +25,7 @@ WINDOW, SURGE = 3, 80
 #: A name that leaves out this many times the text it holds is no article's name.
 OUTWEIGHS = 4
 
-#: A tag whose quoted values may hold a >, looked for in so many characters; else it ends at the first >.
-_QUOTED, QUOTED_MOST = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+)>""", re.S), 4096
+_HEAD, _STOP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"), re.compile(r"""[>"']""")
 _PLAIN, _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"), re.compile(r"</?[a-zA-Z]")
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is no text, blocks, elements that are no article.
@@ -94,8 +93,35 @@ def _kind(tag: str, attributes: str, inside: bool, by_name: int = NAMES) -> str:
     return named
 
 
-def _next_tag(page: str, pos: int) -> tuple[int, int, bool, str, str] | None:
-    """Start, end, whether it closes, name and attributes of the next tag; comments and a tag that the page's end cuts off have no name."""
+def _tag_end(page: str, pos: int, dead: set[int]) -> int:
+    """Where a tag ends whose name ends at pos: behind the first > that is in no quoted value (quotes stand after =), or -1 if there is none.
+
+    dead: quotes from which the page's end is reached without such a >. A way that comes to one of them fails at once, so
+    all failing ways together pass each quote once, and a page of any markup takes linear time.
+    """
+    seen = []
+    while (m := _STOP.search(page, pos)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.end()
+        before = m.start() - 1
+        while page[before] in " \t\n\f\r":
+            before -= 1
+        if page[before] != "=":  # a mark in a name or in a value without quotes
+            pos = m.end()
+            continue
+        seen.append(m.start())
+        pos = page.find(m[0], m.end()) + 1
+        if not pos:
+            break
+    dead.update(seen)
+    return -1
+
+
+def _next_tag(page: str, pos: int, dead: set[int]) -> tuple[int, int, bool, str, str] | None:
+    """Start, end, whether it closes, name and attributes of the next tag; comments and a tag that the page's end cuts off have no name.
+
+    Quoted values may hold a >; where no > stands outside of quotes any more, a tag ends at the first.
+    """
     while (at := page.find("<", pos)) >= 0:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
@@ -103,7 +129,11 @@ def _next_tag(page: str, pos: int) -> tuple[int, int, bool, str, str] | None:
         if page[at + 1 : at + 2] in ("!", "?"):
             end = page.find(">", at)
             return at, end + 1 if end >= 0 else len(page), False, "", ""
-        if m := _QUOTED.match(page, at, at + QUOTED_MOST) or _PLAIN.match(page, at):
+        if m := _HEAD.match(page, at):
+            end = _tag_end(page, m.end(), dead)
+            if end >= 0:
+                return at, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+        if m := _PLAIN.match(page, at):
             return at, m.end(), bool(m[1]), m[2].lower(), m[3]
         if _OPEN.match(page, at):
             return at, len(page), False, "", ""
@@ -127,7 +157,7 @@ def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
     leaf = ""  # the kind of the block without an end tag of its own that is open
     mains = {"main": 0, "content": 0}
     text: list[str] = []
-    pos, n = 0, len(page)
+    pos, n, dead = 0, len(page), set()
 
     def line() -> Line:
         nonlocal linked
@@ -150,7 +180,7 @@ def lines(page: str, by_name: int = NAMES) -> Iterator[Line]:
             mains[kind] -= 1
 
     while pos < n:
-        found = _next_tag(page, pos)
+        found = _next_tag(page, pos, dead)
         piece = page[pos : found[0] if found else n]
         if piece:
             text.append(piece)

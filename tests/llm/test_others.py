@@ -90,6 +90,21 @@ def test_hostile_pages_take_linear_time(unit):
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize("many", [10, 1000, 3000, 300_000])
+def test_quoted_values_of_any_length_stay_in_their_tag(many):
+    for page in ('<p title="%s">c</p>' % ("a>" * many), "<p title = '%s'>c</p>" % ("a>" * many), '<p data=don\'t title="%s">c</p>' % ("a'>" * many)):
+        assert html_text.main_text(page) == "c"
+
+
+@pytest.mark.parametrize("unit", ['<a b="', "<a b='", '<a b=">', '<a b="\' c=\'"', '<a "b>', "<a b= \t", '<a b="c" '])
+def test_quotes_without_an_end_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)) + "'")
+    assert time.process_time() - began < 20
+
+
 def test_windows_alone_find_unnamed_articles(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")

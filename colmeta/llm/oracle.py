@@ -29,12 +29,12 @@ call as (select u.conv_id, u.turn, concat('c', u.conv_id, '-', u.turn) as id, le
   case when u.turn % 4 < 2 and u.turn % 7 = 6 then 'words is missing' end as fault from u join lev using (conv_id, turn)),
 result as (select conv_id, turn, concat('c', conv_id, '-', turn - 1) as id, text from conversations where role = 'assistant')
 select c.conv_id, c.turn, 'call' as kind, c.id as call_id, level, name, fault, case when r.id is null then 'unanswered' else 'answered' end as status,
-  concat('{"arguments":', arguments, ',"id":', to_json(c.id), ',"level":', level, ',"name":', to_json(name), ',"result":', coalesce(to_json(r.text)::varchar, 'null'), ',"status":"', case when r.id is null then 'unanswered' else 'answered' end, '"}') as json
+  case when c.turn % 8 >= 2 then concat('["c', c.conv_id, '-', c.turn - 2, '"]') end as after, concat('{"arguments":', arguments, ',"id":', to_json(c.id), ',"level":', level, ',"name":', to_json(name), ',"result":', coalesce(to_json(r.text)::varchar, 'null'), ',"status":"', case when r.id is null then 'unanswered' else 'answered' end, '"}') as json
 from call c left join result r using (conv_id, id)
 union all
-select conv_id, turn, 'result', id, null, null, null, 'orphan', concat('{"id":', to_json(id), ',"level":null,"name":null,"result":', coalesce(to_json(text)::varchar, 'null'), ',"status":"orphan"}') from result r where not exists (select 1 from call c where c.conv_id = r.conv_id and c.id = r.id)
+select conv_id, turn, 'result', id, null, null, null, 'orphan', null, concat('{"id":', to_json(id), ',"level":null,"name":null,"result":', coalesce(to_json(text)::varchar, 'null'), ',"status":"orphan"}') from result r where not exists (select 1 from call c where c.conv_id = r.conv_id and c.id = r.id)
 union all
-select conv_id, turn, 'message', null, null, null, null, null, concat('{"content":', coalesce(to_json(text)::varchar, 'null'), ',"role":', to_json(role), '}') from conversations where role not in ('user', 'assistant')"""
+select conv_id, turn, 'message', null, null, null, null, null, null, concat('{"content":', coalesce(to_json(text)::varchar, 'null'), ',"role":', to_json(role), '}') from conversations where role not in ('user', 'assistant')"""
 
 
 def _shared_out(nodes: str, parents: str, me: str) -> str:

@@ -378,6 +378,28 @@ def test_nothing_that_is_said_is_lost(spark):
     assert said[1] == '{"content":"I look it up.","role":"assistant"}'
 
 
+def test_other_fields_and_canonical_results(spark):
+    rows = [
+        (1, 0, "assistant", ' \n{"tool_calls":[{"id":"a","name":"add","arguments":{"b":1,"a":1},"extra":{"z":1,"k":[2]},"after":["q"]}],"reasoning":"I add."}'),
+        (1, 1, "tool", '\t{"tool_call_id":"a","content":{"b":1,"a":"x/ü"},"is_error":true}'),
+        (1, 2, "tool", '{"tool_call_id":"b","is_error":false,"at":2.5}'),
+        (1, 3, "assistant", '{"content":"Hm.","tool_calls":[{"id":"c","name":"sub"}],"refusal":null}'),
+        (1, 4, "user", ' {"a": 1}'),
+        (1, 5, "tool", '{"content":"no call"}'),
+    ]
+    linked = tool_calls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    assert {r.after for r in linked} == {None, '["q"]'}
+    assert sorted((r.turn, r.kind, r.json) for r in linked) == [
+        (0, "call", '{"arguments":{"a":1,"b":1},"id":"a","level":0,"more":{"extra":{"k":[2],"z":1}},"name":"add","result":{"a":"x/ü","b":1},"result_more":{"is_error":true},"status":"answered"}'),
+        (0, "message", '{"content":null,"more":{"reasoning":"I add."},"role":"assistant"}'),
+        (2, "result", '{"id":"b","level":null,"name":null,"result":null,"result_more":{"at":2.5,"is_error":false},"status":"orphan"}'),
+        (3, "call", '{"id":"c","level":0,"name":"sub","result":null,"status":"unanswered"}'),
+        (3, "message", '{"content":"Hm.","more":{"refusal":null},"role":"assistant"}'),
+        (4, "message", '{"content":" {\\"a\\": 1}","role":"user"}'),
+        (5, "message", '{"content":"{\\"content\\":\\"no call\\"}","role":"tool"}'),
+    ]
+
+
 def test_chat_of_the_table(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     got = QUERIES["op7_tool_calls"](spark, sf_dir).collect()

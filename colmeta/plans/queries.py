@@ -221,7 +221,7 @@ def header_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""with lines as ({_oracle(LINES)}), bare as (select file, regexp_replace(value, '"[^"]*"', '', 'g') as b from lines where line_no < 50 and trim(value) <> ''),
+    f"""with lines as ({_oracle(LINES)}), bare as (select file, regexp_replace(value, '"[^"]*"', '', 'g') as b from lines where trim(value) <> ''),
 each_ as (select file, rank, d, length(b) - length(replace(b, d, '')) as n from bare cross join (select 0 as rank, ',' as d union all select 1, ';' union all select 2, chr(9) union all select 3, '|')),
 best as (select file, d, row_number() over (partition by file order by count(*) desc, n desc, rank) as place from each_ where n > 0 group by file, rank, d, n)
 select l.file, coalesce(d, ',') as delimiter, d is not null as found from (select distinct file from lines) l left join (select * from best where place = 1) b using (file)"""

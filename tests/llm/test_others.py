@@ -425,3 +425,20 @@ def test_pipeline(spark, sf_dir):
     want = p.STAGES[-1][1](spark, docs, sf_dir)
     see = ("doc_id", "doc_tokens")
     assert {tuple(r[c] for c in see) for r in p.run(spark, sf_dir).collect()} == {tuple(r[c] for c in see) for r in want.collect()}
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir, odd_docs, no_docs):
+    """Every stage takes nulls, ties, repeated rows, clashing columns and no rows, and returns the columns that it got."""
+    import corpus_pipeline as p
+    from colmeta.llm.shared import stored
+
+    for docs in (odd_docs, no_docs):
+        columns, n = docs.columns, docs.count()
+        for _, stage in p.STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+            assert docs.columns == columns
+            assert docs.count() <= n
+            n = docs.count()
+        packed = p.STAGES[-1][1](spark, docs, sf_dir)
+        pieces = packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}

@@ -65,24 +65,41 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
 STEPS = 1024
 
 
+def _hashed_words(dim: int) -> Callable[[str], list[float]]:
+    known: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        import hashlib
+
+        if len(known) >= 1 << 17:  # a stretch of texts shares most of its words
+            known.clear()
+        h = int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+        return known.setdefault(word, h % dim if h < 32768 else h % dim + dim)
+
+    def encode(words: str) -> list[float]:
+        parts = words.split()
+        if not parts:
+            return [0.0] * dim
+        both = np.bincount([known[w] if w in known else place(w) for w in parts], minlength=2 * dim)
+        v = both[:dim] - both[dim:]
+        size = np.sqrt(np.float64((v * v).sum()))
+        x = v / (size or 1.0) * STEPS
+        whole = np.trunc(x)
+        return ((whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0.0) + 0.0) / STEPS).tolist()
+
+    return encode
+
+
 def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """A stand-in encoder as an expression: signed hashes of lower-cased words, of about unit length, rounded to STEPS.
+    """A stand-in encoder of a text column: signed hashes of lower-cased words, of about unit length, rounded to STEPS.
 
     It compares words, not meanings. A word is a run of letters; the first four hex digits of its md5 are its number h: it
-    adds 1 to component h mod dim if h < 32768, else -1. A null text and one without words give the zero vector. One pass
-    counts each component's words, so a text costs dim looks at each of its words.
+    adds 1 to component h mod dim if h < 32768, else -1. A null text and one without words give the zero vector. Spark
+    tells words, a worker counts them, one look a word; texts go to workers by a hundred, so long ones take little memory.
     """
-    numbers = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"))
-    places = F.transform(numbers, lambda h: F.when(h < 32768, h % dim).otherwise(h % dim - dim))
-    count = lambda s, d: F.size(F.filter(s, lambda x: x == d)) - F.size(F.filter(s, lambda x: x == d - dim))
-
-    def unit(v: Column) -> Column:
-        size = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
-        return F.transform(v, lambda x: F.when(size > 0, F.round(x / size * STEPS) / STEPS).otherwise(F.lit(0.0)))
-
-    # each transform over an array of one binds its value, so that it is made once
-    whole = F.transform(F.array(places), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: count(s, d).cast("long")))
-    return F.transform(whole, unit)[0]
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")
+    encode = F.udf(_hashed_words(dim), "array<double>", useArrow=False).asNondeterministic()  # so that no filter on the vector makes it again
+    return encode(words)
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:

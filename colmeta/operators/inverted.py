@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colmeta.operators.match import NEAREST, QUERIES, TERMS, _fine, _products, _ranked, nearest
+from colmeta.operators.match import NEAREST, QUERIES, TERMS, _fine, _ranked, block_rows, met, nearest
 from colmeta.sources import store
 
 #: Terms that the centres and the number of probes are fitted on, at most; lists, at most; rounds of fitting; share of
 #: true neighbours that the probes have to find in the sample.
 SAMPLE, LISTS, ROUNDS, RECALL = 20_000, 4096, 12, 0.95
+#: Rows whose nearest lists are told at once.
+ROWS = 1024
 
 
 @dataclass
@@ -108,8 +110,8 @@ def _assigned(key: str, centres: np.ndarray, probes: int, metric: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, QUERIES):
-                part = b.slice(i, QUERIES)
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 order = _order(_unit(x) if metric == "cosine" else x, centres, min(probes, len(centres)))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), order.shape[1])
@@ -158,7 +160,7 @@ def inverted_file(terms: DataFrame, k: int = NEAREST, metric: str = "l2sq", list
     some = whole.orderBy(F.xxhash64(F.col("id")), "id").limit(sample).select("vector")
     centres, probes = _fitted(some, lists or max(1, min(LISTS, int(n**0.5))), k, recall, metric, seed)
     assign, row = _assigned("id", centres, 1, metric)
-    pack, block = _blocks(dim, TERMS, "ids", "xs")
+    pack, block = _blocks(dim, block_rows(dim, TERMS), "ids", "xs")
     placed = whole.select(F.col("id").cast("long"), "vector").mapInArrow(assign, row) if len(centres) else terms.sparkSession.createDataFrame([], row)
     ranged = placed.repartitionByRange("list", "id").sortWithinPartitions("list", "id")  # a large list is cut by id
     return Index(store.written(ranged.mapInArrow(pack, block), path), whole, centres, probes, k, metric)
@@ -177,11 +179,10 @@ def near_by_lists(queries: DataFrame, index: Index, k: int | None = None, probes
     if not len(index.centres):
         return queries.sparkSession.createDataFrame([], empty)
     assign, row = _assigned("query", index.centres, probes or index.probes, index.metric)
-    pack, block = _blocks(dim, QUERIES, "q_ids", "q_xs")
+    pack, block = _blocks(dim, block_rows(dim, QUERIES), "q_ids", "q_xs")
     asked = whole.mapInArrow(assign, row).repartitionByRange("list", "query").sortWithinPartitions("list", "query").mapInArrow(pack, block)
     pairs = asked.drop("dim").join(index.blocks, "list").select("q_ids", "q_xs", "dim", "ids", "xs")
-    found = pairs.mapInArrow(_products(k, index.metric, exclude_same_id), "query long, id long, distance double")
-    near = store.written(_ranked(found, k))
+    near = store.written(_ranked(met(pairs, k, index.metric, exclude_same_id), k))
     served = near.where(F.col("rank") == k).select("query")
     rest = whole.join(served, "query", "left_anti")
     return near.join(served, "query", "left_semi").unionByName(nearest(rest, index.terms, k, index.metric, exclude_same_id=exclude_same_id))

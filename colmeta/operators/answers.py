@@ -8,9 +8,8 @@ import os
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,23 +83,25 @@ def generated(missing: DataFrame, provider: Callable[[str, str], str], retries:
     again, whatever ended it, reads them there and calls only for the rest. Failures are not kept there. Of two tasks
     that run at the same time for the same request, as in speculation, both may call.
 
+    Workers get keys, names and prompts a hundred at a time, and no contexts.
     The calls happen wherever the result is computed: write it (store.written) before using it more than once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = _Journal(journal) if journal else None
-        for b in batches:
-            out = []
-            for key, name, prompt in zip(b["cache_key"], b["provider"], b["prompt"], strict=True):
-                said = kept.read(key) if kept else None
-                if said is None:
-                    said = _asked(provider, name, prompt, retries, wait)
-                    if kept and said["error"] is None:
-                        kept.write(key, said)
-                out.append(said)
-            yield b.assign(**{c: pd.Series([x[c] for x in out], b.index, dtype=t) for c, t in (("response", object), ("error", object), ("attempts", "int32"))})
-
-    return missing.mapInPandas(run, missing.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("response", "string"), ("error", "string"), ("attempts", "int")))).schema)
+    kept: list[_Journal] = []  # opened by the worker
+
+    def ask(key: str, name: str, prompt: str) -> tuple[str | None, str | None, int]:
+        if journal and not kept:
+            kept.append(_Journal(journal))
+        said = kept[0].read(key) if kept else None
+        if said is None:
+            said = _asked(provider, name, prompt, retries, wait)
+            if kept and said["error"] is None:
+                kept[0].write(key, said)
+        return said["response"], said["error"], said["attempts"]
+
+    said = F.udf(ask, "response string, error string, attempts int", useArrow=False).asNondeterministic()  # never called twice for a row
+    got = missing.withColumn("__said", said("cache_key", "provider", "prompt"))
+    return got.select(*missing.columns, "__said.response", "__said.error", "__said.attempts")
 
 
 def upserted(cache: DataFrame, answers: DataFrame) -> DataFrame:

@@ -68,13 +68,13 @@ def _known(xs: list[np.ndarray], low: int, high: int) -> np.ndarray:
 
 
 def _train(rows: list[bytes], labels: np.ndarray) -> bytes:
-    """FTRL-proximal over the sample; returns slots, weights and bias."""
-    xs = [np.frombuffer(x, np.uint32) for x in rows]
-    every = np.concatenate([_known(xs, a << 28, (a + 1) << 28) for a in range(16)])
-    own = []
-    for x in xs:
+    """FTRL-proximal over the sample, whose rows are used up; returns slots, weights and bias."""
+    own = [np.frombuffer(x, np.uint32) for x in rows]
+    rows.clear()
+    every = np.concatenate([_known(own, a << 28, (a + 1) << 28) for a in range(16)])
+    for i, x in enumerate(own):  # a row's places take the place of its slots
         at = np.minimum(np.searchsorted(every, x), max(len(every) - 1, 0))
-        own.append(at[every[at] == x] if len(every) else at[:0])
+        own[i] = (at[every[at] == x] if len(every) else at[:0]).astype(np.int32)
     z, n, bias_z, bias_n = np.zeros(len(every)), np.zeros(len(every)), 0.0, 0.0
 
     def weight(z, n, l1):

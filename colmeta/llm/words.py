@@ -18,12 +18,12 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes."""
+def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK:
+        if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

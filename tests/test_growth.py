@@ -65,3 +65,11 @@ def test_expression_form_is_compiled_and_sorts_few_pairs(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan.split("Join Inner")[0]
     assert "bound#" in plan
+
+
+def test_training_uses_up_its_rows():
+    from colmeta.llm import toxicity
+
+    rows = toxicity._features([b"good words here", b"bad words there"] * 20)
+    toxicity._train(rows, np.array([0, 1] * 20))
+    assert rows == []

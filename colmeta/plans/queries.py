@@ -430,7 +430,7 @@ _UNMATCHED = "full_ as (select header, vocab, element_uri, first_at from summed
 
 @_query(f"with {_sum_sql(_EVEN)}, {_UNMATCHED} select * from full_")
 def headers_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _picked(spark, sf_dir)
+    hits = store.written(_picked(spark, sf_dir))  # read three times
     headers = hits.groupBy("header").agg(F.min("ordinal").alias("first_at"))
     return _flat(select.with_unmatched(select.summary(hits), headers))
 

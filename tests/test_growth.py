@@ -108,6 +108,27 @@ def test_a_batch_of_pairs_is_few_bytes(spark, monkeypatch):
     assert got.count() == 1500 * 4
 
 
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    seen, met = [], match.met
+    monkeypatch.setattr(match, "met", lambda pairs, *a: seen.append(pairs) or met(pairs, *a))
+    x = np.random.default_rng(11).integers(-9, 10, (1500, 8))
+    got = match.nearest(_table(spark, x, "query").where("query % 100 = 0"), _table(spark, x, "id"), stripes=64)
+    assert got.count() == 15 * 4
+    seen[0].collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan  # the driver would hold a copy of the queries for each part of terms
+
+
+def test_hits_that_are_read_three_times_are_made_once(spark, sf_dir):
+    from colmeta.plans import queries
+
+    plan = queries.headers_without_match(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3
+    assert "BatchEvalPython" not in plan
+
+
 def test_training_uses_up_its_rows():
     from colmeta.llm import toxicity
 
